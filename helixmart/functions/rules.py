@@ -44,12 +44,13 @@ def norm_key(value: Column) -> Column:
 
 
 def to_double(value: Column) -> Column:
-    return F.trim(value.cast("string")).try_cast("double")
+    """Safe cast: text that is no number gives NULL."""
+    return value.try_cast("double")
 
 
 def to_bigint(value: Column) -> Column:
     """Safe integer cast that rounds decimals instead of dropping the value."""
-    return F.round(F.trim(value.cast("string")).try_cast("decimal(38,10)")).cast("bigint")
+    return F.round(value.try_cast("decimal(38,10)")).cast("bigint")
 
 
 def zero(value: Column) -> Column:
