@@ -1,6 +1,6 @@
 """Named queries over a data directory, with the SQL that checks them."""
 
-from helixmart.plans import check_views, jobs_features  # noqa: F401  (they register themselves)
+from helixmart.plans import check_views, jobs_features, jobs_similarity  # noqa: F401  (they register themselves)
 from helixmart.plans.registry import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]
