@@ -165,6 +165,50 @@ SELECT event_id AS question_id, CASE event_id % 7 WHEN 0 THEN 'How many users jo
 FROM events
 """
 
+ADAPTERS["landed_pages"] = """
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN '<meta name="citation_pdf_url" content="https://host.example/p' || CAST(page_id AS STRING)
+  || '.pdf">' WHEN 1 THEN '<a class="int-view" href="/articles/v' || CAST(page_id AS STRING) || '.pdf">view</a>'
+  WHEN 2 THEN '<a href="/articles/pdf/a' || CAST(page_id AS STRING) || '.pdf">file</a>'
+  WHEN 3 THEN '<a href="https://mirror.example/pdf/b.pdf">mirror</a>' ELSE '' END || html AS html
+FROM pages
+"""
+
+ADAPTERS["staged_vectors"] = """
+SELECT c_custkey AS id, CASE c_custkey % 10 WHEN 0 THEN '[1.5,2.5]' WHEN 1 THEN 'not a vector' ELSE '[' || CAST(c_custkey % 7 AS STRING)
+  || '.5,' || CAST(c_custkey % 3 AS STRING) || '.25,' || CAST(c_custkey % 5 AS STRING) || '.0]' END AS embedding_json
+FROM customer
+"""
+
+ADAPTERS["generated_texts"] = """
+SELECT c_custkey AS answer_id, 'Intro' || chr(10) || '1. RISK INTERPRETATION' || chr(10) || 'Risk of ' || c_name || ' in ' || c_mktsegment
+ || chr(10) || '2. Short' || chr(10) || '3. **PROGNOSIS** for balance ' || CAST(c_nationkey AS STRING) || ' and more words' AS answer,
+ '**1. Center ' || c_name || '**' || chr(10) || ' Street ' || CAST(c_nationkey AS STRING) || chr(10) || chr(10) || 'Type: NCI'
+ || chr(10) || '**2.  ' || c_mktsegment || ' Clinic **' || chr(10) || 'Phone' AS centres,
+ '```sql' || chr(10) || 'SELECT ' || CAST(c_custkey AS STRING) || chr(10) || '```' AS sql_reply,
+ '```markdown' || chr(10) || 'Finding ' || c_name || chr(10) || '```' AS insight_reply
+FROM customer
+"""
+
+ADAPTERS["evaluation_logs"] = """
+SELECT doc_id AS log_id, CAST(DATE '2024-03-01' + CAST(doc_id % 90 AS INT) AS TIMESTAMP) AS logged_at, lang AS question, source AS generated_answer,
+ CASE WHEN toxic = 1 THEN 0.25 END AS faithfulness_score, CASE WHEN toxic = 1 THEN 0.5 END AS relevancy_score,
+ CASE WHEN toxic = 1 THEN 0.75 END AS context_quality_score, CAST(NULL AS DOUBLE) AS correctness_score,
+ CASE WHEN toxic = 1 THEN 0.5 END AS overall_score
+FROM documents JOIN labels USING (doc_id)
+"""
+
+ADAPTERS["results"] = """
+SELECT event_id AS result_id, ts AS stored_at, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS risk_level FROM events
+"""
+
+ADAPTERS["interactions"] = """
+SELECT event_id AS log_id, ts AS asked_at, event_type AS question, event_id % 4 AS n_text, user_id % 3 AS n_images, value AS seconds FROM events
+"""
+
+ADAPTERS["chat_turns"] = """
+SELECT conv_id, turn, role, text AS content FROM conversations
+"""
+
 BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
