@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from helixmart.functions import constants as C
 from helixmart.functions.rules import band
 from helixmart.operators.lookups import mentions
+from helixmart.operators.ranking import running_total
 
 PAGE_CHARS = 3000
 
@@ -86,6 +87,37 @@ def chunk(papers: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OV
     )
 
 
+def chunk_page_rows(pages: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP) -> DataFrame:
+    """The same chunks from one row per page, without ever gathering a paper.
+
+    Each page gives the piece it adds to every chunk it touches; a chunk then joins its
+    few pieces. A paper with most of all pages is spread over tasks like any other rows.
+    """
+    step = size - overlap
+    own = pages.withColumn("_n", F.length("text") + 1)
+    placed = running_total(own.drop("text"), "paper_id", "page_number", "_n", "_begin").select(
+        "paper_id", "page_number", "_begin")
+    begin, end = F.col("_begin"), F.col("_begin") + F.col("_n")
+    first = F.greatest(F.floor((begin - size) / step) + 1, F.lit(0))
+    numbers = F.sequence(first.cast("int"), F.floor((end - 1) / step).cast("int"))
+    start = F.col("chunk_index") * step
+    low, high = F.greatest(start, begin), F.least(start + size, end)
+    piece = F.substring(F.concat("text", F.lit("\n")), low - begin + 1, high - low)
+    pieces = (
+        own.join(placed, ["paper_id", "page_number"])
+        .select("paper_id", "page_number", "text", "_n", "_begin", F.explode_outer(numbers).alias("chunk_index"))
+        .select("paper_id", "page_number", "chunk_index", high.alias("_high"), piece.alias("_piece"))
+    )
+    joined = pieces.groupBy("paper_id", "chunk_index").agg(
+        F.sort_array(F.collect_list(F.struct("page_number", "_piece"))).alias("_p"),
+        F.max("_high").alias("_end"), F.min("page_number").alias("start_page"), F.max("page_number").alias("end_page"))
+    return joined.select(
+        "paper_id", "chunk_index", F.array_join(F.col("_p._piece"), "").alias("chunk_text"),
+        (F.col("chunk_index") * step).alias("start_char"), F.col("_end").cast("int").alias("end_char"),
+        "start_page", "end_page", F.col("_p.page_number").alias("pages_spanned"),
+    ).withColumn("chunk_hash", F.sha2("chunk_text", 256))
+
+
 # -- ledgers ---------------------------------------------------------------------------------
 
 def unprocessed(papers: DataFrame, ledger: DataFrame) -> DataFrame:

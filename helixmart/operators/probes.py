@@ -140,20 +140,22 @@ def range_counts(corpus: DataFrame, probes: DataFrame, columns: list[str], probe
 
 
 def nearest_rows(corpus: DataFrame, probes: DataFrame, columns: list[str], corpus_id: str, probe_id: str,
-                 k: int = 5, max_probes: int = MAX_PROBES) -> DataFrame:
-    """Per probe the k rows of smallest Euclidean distance over the columns."""
+                 k: int = 5, carry: str | None = None, max_probes: int = MAX_PROBES) -> DataFrame:
+    """Per probe the k rows of smallest Euclidean distance over the columns, with one carried text column."""
+    extra = [carry] if carry else []
 
     def kernel(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         values, ids, out = rows[columns].to_numpy(dtype=float), rows[corpus_id].to_numpy(), []
         for probe, centre in zip(block[probe_id], block[columns].to_numpy(dtype=float)):
             distance = np.round(np.sqrt(((values - centre) ** 2).sum(axis=1)), 9)
             at = _best_rows(-distance, ids, np.isfinite(distance), k)
-            out.append(pd.DataFrame({probe_id: probe, corpus_id: ids[at], "distance": distance[at]}))
+            found = {probe_id: probe, corpus_id: ids[at], "distance": distance[at]}
+            out.append(pd.DataFrame(found | {c: rows[c].to_numpy()[at] for c in extra}))
         return pd.concat(out)
 
     kinds = dict(corpus.dtypes)[corpus_id], dict(probes.dtypes)[probe_id]
     partial, _ = probe_scan(
-        corpus.select(corpus_id, *columns), probes.select(probe_id, *columns), kernel,
-        f"{probe_id} {kinds[1]}, {corpus_id} {kinds[0]}, distance double", max_probes)
+        corpus.select(corpus_id, *columns, *extra), probes.select(probe_id, *columns), kernel,
+        ", ".join([f"{probe_id} {kinds[1]}, {corpus_id} {kinds[0]}, distance double", *[f"{c} string" for c in extra]]), max_probes)
     order = W.partitionBy(probe_id).orderBy("distance", corpus_id)
     return partial.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

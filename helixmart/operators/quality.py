@@ -62,7 +62,7 @@ def report(tables: Mapping[str, DataFrame]) -> DataFrame:
         tables["stg_clinical"].join(expression, "sample_id", "left_anti")
         .agg(F.countDistinct("sample_id").alias("n")).withColumn("key", F.lit("clinical_only_samples"))
     )
-    fan_out = tables["cell_lines_clean"].groupBy("cell_line").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    fan_out = tables["cell_lines"].groupBy("cell_line").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     return _stack([
         tidy(row_counts(tables), "rows", "table_name", "row_count"),
         tidy(distribution(clinical, "target_category"), "share_by_category", "target_category", "percentage"),

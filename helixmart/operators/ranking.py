@@ -75,11 +75,11 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
 def hashed_rank(df: DataFrame, group: str, identity: Column, rank_name: str = "hash_rank") -> DataFrame:
     """1-based position of every row inside ``group`` in the order of md5(identity).
 
-    The hash splits each group into 4096 even buckets, so ranks come from bucket
+    The hash splits each group into 65536 even buckets, so ranks come from bucket
     offsets plus a rank inside one small bucket; no task sorts a whole group.
     """
     hashed = df.withColumn("_h", F.md5(identity.cast("binary"))).withColumn(
-        "_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")
+        "_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int")
     )
     offsets = (
         hashed.groupBy(group, "_b").agg(F.count("*").alias("_n"))
@@ -95,3 +95,22 @@ def hashed_rank(df: DataFrame, group: str, identity: Column, rank_name: str = "h
         .withColumn(rank_name, (F.col("_before") + F.col("_r")).cast("bigint"))
         .drop("_h", "_b", "_before", "_r")
     )
+
+
+def running_total(df: DataFrame, key: str, order: str, value: str, name: str, block: int = 1000) -> DataFrame:
+    """Adds the sum of ``value`` over the rows before this one in its group.
+
+    ``order`` is a whole number, unique per group. Sums run inside blocks of it and over
+    the block totals, so no task holds a group.
+    """
+    blocks = df.withColumn("_k", F.floor(F.col(order) / float(block)))
+    inside = W.partitionBy(key, "_k").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    across = W.partitionBy(key).orderBy("_k").rowsBetween(W.unboundedPreceding, -1)
+    totals = blocks.groupBy(key, "_k").agg(F.sum(value).alias("_t")).select(
+        key, "_k", F.coalesce(F.sum("_t").over(across), F.lit(0)).alias("_base"))
+    return (
+        blocks.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .join(totals, [key, "_k"])
+        .withColumn(name, F.col("_base") + F.col("_in"))
+        .drop("_k", "_in", "_base")
+    )

@@ -26,7 +26,11 @@ def _near_cells(query_cells: DataFrame, cells: DataFrame, widths: dict[str, floa
     for name in widths:
         around = F.array(*[F.col(f"_{name}_bin") + step for step in (-1, 0, 1)])
         left = left.withColumn(f"_{name}_bin", F.explode(around))
-    left = left.withColumnsRenamed({name: f"q_{name}" for name in widths})
+    # The join multiplies rows, so its input is spread by number; adaptive merging of the
+    # small input would leave the whole output to one task.
+    spread = int(query_cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = left.withColumnsRenamed({name: f"q_{name}" for name in widths}).repartition(
+        spread, *[f"q_{name}" for name in widths], *[f"_{name}_bin" for name in widths])
     joined = left.join(_binned(cells, widths), [f"_{name}_bin" for name in widths])
     for name, width in widths.items():
         joined = joined.where(F.col(name).between(F.col(f"q_{name}") - width, F.col(f"q_{name}") + width))
@@ -132,8 +136,7 @@ def count_similar_profiles(queries: DataFrame, genomic: DataFrame, query_id: str
 def nearest_profiles(queries: DataFrame, genomic: DataFrame, query_id: str = "query_subtype", k: int = 5) -> DataFrame:
     """Five closest samples per query profile with their subtype."""
     known = genomic.where(F.col("sclc_subtype").isNotNull() & (F.col("sclc_subtype") != "MIXED"))
-    hits = nearest_rows(known, queries, MARKER_COLUMNS, "sample_id", query_id, k)
-    return hits.join(known.select("sample_id", "sclc_subtype"), "sample_id")
+    return nearest_rows(known, queries, MARKER_COLUMNS, "sample_id", query_id, k, carry="sclc_subtype")
 
 
 def profile_agreement(hits: DataFrame, query_id: str = "query_subtype") -> DataFrame:

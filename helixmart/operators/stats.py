@@ -152,7 +152,7 @@ def means_by_label(df: DataFrame, label: str, columns: Sequence[str]) -> DataFra
     """Mean per subtype; every subtype appears, in its fixed place."""
     order = df.sparkSession.createDataFrame([(i, s) for i, s in enumerate(C.SUBTYPES)], f"place int, {label} string")
     means = df.groupBy(label).agg(*[F.avg(c).alias(c) for c in columns])
-    return F.broadcast(order).join(means, label, "left")
+    return order.join(means, label, "left")
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -178,7 +178,7 @@ def proportions(df: DataFrame, label: str, z: float = 1.96) -> DataFrame:
     margin = z * F.sqrt((p * (1 - p) + z * z / (4 * size)) / size)
     bottom = 1 + z * z / size
     return (
-        F.broadcast(order).join(counted, "subtype", "left").fillna(0, ["n"]).withColumn("total", F.nullif(total, F.lit(0.0)))
+        order.join(counted, "subtype", "left").fillna(0, ["n"]).withColumn("total", F.nullif(total, F.lit(0.0)))
         .withColumn("p", F.coalesce(F.col("n") / size, F.lit(0.0)))
         .select("subtype", "n", F.round("p", 3).alias("proportion"),
                 F.coalesce(F.round(F.greatest((centre - margin) / bottom, F.lit(0.0)), 3), F.lit(0.0)).alias("ci_low"),

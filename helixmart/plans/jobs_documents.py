@@ -41,6 +41,10 @@ def chunks(w):
 
 job("i1_chunks", "SELECT paper_id, chunk_index, chunk_text, start_char, end_char FROM chunks")(
     lambda w: chunks(w).select("paper_id", "chunk_index", "chunk_text", "start_char", "end_char"))
+job("i1_chunks_from_page_rows", """
+SELECT paper_id, chunk_index, chunk_text, start_char, end_char, start_page, end_page FROM chunks""")(
+    lambda w: D.chunk_page_rows(D.page_rows(papers(w))).select(
+        "paper_id", "chunk_index", "chunk_text", "start_char", "end_char", "start_page", "end_page"))
 job("i2_page_spans", """
 SELECT paper_id, chunk_index, start_page, end_page, array_to_string(range(start_page, end_page + 1), ',') AS pages_spanned FROM chunks""")(
     lambda w: chunks(w).select("paper_id", "chunk_index", "start_page", "end_page", F.array_join(

@@ -70,7 +70,8 @@ def record_stream(w):
     """The events table as a file stream of landing records."""
     path = f"{w.folder}/events.parquet"
     schema = w.spark.read.parquet(path).schema
-    w.spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(w.folder).createOrReplaceTempView("events")
+    # as a pattern, since a stream source takes a folder or a pattern but no single file
+    w.spark.readStream.schema(schema).parquet(f"{path}*").createOrReplaceTempView("events")
     return w.spark.sql(ADAPTERS["event_records"])
 
 

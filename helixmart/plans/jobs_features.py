@@ -410,6 +410,40 @@ job("g2_distinct_check_genes", f"SELECT DISTINCT gene_symbol FROM stg_gene_expre
 job("g5_id_intersection", "SELECT line_id AS sample_id FROM sample_info INTERSECT SELECT sample_id FROM stg_gene_expression")(
     lambda w: w["sample_info"].select(F.col("line_id").alias("sample_id")).intersect(
         w["stg_gene_expression"].select("sample_id")))
+_CHECKED = ["stg_clinical", "stg_gene_expression", *_MARTS.values()]
+
+
+def _shares(check: str, table: str, key: str) -> str:
+    share = rnd("count(*) * 100.0::DOUBLE / sum(count(*)) OVER ()", 1)
+    return f"SELECT '{check}' AS check_name, CAST({key} AS VARCHAR) AS key, {share} AS value FROM {table} GROUP BY {key}"
+
+
+job("q1_check_report", " UNION ALL ".join([
+    *[f"SELECT 'rows' AS check_name, '{t}' AS key, CAST(count(*) AS DOUBLE) AS value FROM {t}" for t in [*_CHECKED, "cell_lines"]],
+    _shares("share_by_category", "mart_risk_features_clinical", "target_category"),
+    _shares("share_by_sex", "mart_risk_features_clinical", "is_male"),
+    _shares("share_by_subtype", "mart_risk_features_genomic", "sclc_subtype"),
+    f"""SELECT 'samples_by_gene', gene_symbol, CAST(count(DISTINCT sample_id) AS DOUBLE) FROM stg_gene_expression
+WHERE list_contains({C.CHECK_GENES}, gene_symbol) GROUP BY gene_symbol""",
+    """SELECT 'unmatched', 'clinical_only_samples', CAST(count(DISTINCT sample_id) AS DOUBLE) FROM stg_clinical
+WHERE sample_id NOT IN (SELECT sample_id FROM stg_gene_expression)""",
+    """SELECT 'repeated_cell_line', upper(trim(cell_line)), CAST(count(*) AS DOUBLE) FROM cell_lines
+GROUP BY upper(trim(cell_line)) HAVING count(*) > 1"""]))(
+    lambda w: quality.report({**{t: w[t] for t in _CHECKED}, "cell_lines": staging.cell_lines(w["cell_lines"])}))
+job("h_scalar_functions", f"""
+SELECT c_custkey, upper(trim(' ' || c_name)) AS h1, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS h2,
+ TRY_CAST(substring(c_name, 10) AS DOUBLE) AS h3, {rnd("sqrt(abs(c_acctbal)) + pow(2.0, c_nationkey / 8.0::DOUBLE)", 6)} AS h4,
+ greatest(c_nationkey, 7) AS h5, (c_nationkey BETWEEN 3 AND 9 OR c_name ILIKE '%000%') AS h6, length(c_name || c_mktsegment)::INT AS h7,
+ CAST(json_extract_string(json_object('k', c_nationkey), '$.k') AS INT) AS h8, make_timestamp(c_custkey * 1000000) AS h9,
+ sha256(c_name) AS h12, replace(split_part(c_name, '#', 2), '0', 'o') AS h13, regexp_extract(c_name, '([0-9]+)', 1) AS h14,
+ isnan(c_acctbal) OR c_acctbal IS NULL AS h17 FROM customer""")(
+    lambda w: rounded(w["customer"].selectExpr(
+        "c_custkey", "upper(trim(' ' || c_name)) AS h1", "coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS h2",
+        "try_cast(substring(c_name, 10) AS DOUBLE) AS h3", "sqrt(abs(c_acctbal)) + power(2.0D, c_nationkey / 8.0D) AS h4",
+        "greatest(c_nationkey, 7) AS h5", "c_nationkey BETWEEN 3 AND 9 OR c_name ILIKE '%000%' AS h6",
+        "length(c_name || c_mktsegment) AS h7", "parse_json(to_json(struct(c_nationkey AS k))):k::int AS h8",
+        "timestamp_millis(c_custkey * 1000) AS h9", "sha2(c_name, 256) AS h12", "replace(split_part(c_name, '#', 2), '0', 'o') AS h13",
+        "regexp_extract(c_name, '([0-9]+)', 1) AS h14", "isnan(c_acctbal) OR c_acctbal IS NULL AS h17"), {"h4": 6}))
 columns_job("k20_clinical_training_extract", "mart_risk_features_clinical", C.CLINICAL_EXPORT)
 columns_job("k20_genomic_training_extract", "mart_risk_features_genomic", C.SUBTYPE_EXTRACT,
             {"mean_expression": 9, "stddev_expression": 9})
