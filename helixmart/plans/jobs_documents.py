@@ -311,7 +311,8 @@ job("j11_logged_contexts", """
 SELECT q.query_id, list_aggregate(list_concat(q.texts, [substring(d.text, 1, 500)]), 'string_agg', '|') AS contexts
 FROM (SELECT query_id, list(d.text ORDER BY place) AS texts FROM text_hits h JOIN documents d ON d.doc_id = h.id WHERE place <= 3 GROUP BY query_id) q
 JOIN documents d ON d.doc_id = q.query_id""")(
-    lambda w: text_hits(w).join(w["documents"].select(F.col("doc_id").alias("id"), "text"), "id").groupBy("query_id").agg(
+    lambda w: text_hits(w).where("place <= 3").join(
+        w["documents"].select(F.col("doc_id").alias("id"), "text"), "id").groupBy("query_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]).alias("texts"))
     .join(w["documents"].select(F.col("doc_id").alias("query_id"), "text"), "query_id")
     .select("query_id", F.array_join(E.logged_contexts(F.col("texts"), F.col("text"), F.lit(None).cast("string")), "|").alias("contexts")))
