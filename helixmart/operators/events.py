@@ -10,7 +10,7 @@ FIELDS = ["event_id", "user_id", "session_id", "event_type", "button_name", "sta
 SESSION_GAP_SECONDS = 1800
 
 
-def to_event_json(events: DataFrame, source: str = "snowflake_sis") -> DataFrame:
+def to_event_json(events: DataFrame, source: str = "web_app") -> DataFrame:
     """The JSON text a producer sends: UTC time with Z, anonymous and unknown for missing ids."""
     body = F.struct(
         F.col("event_id").cast("string").alias("event_id"),

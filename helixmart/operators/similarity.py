@@ -7,7 +7,7 @@ nearest, so the range join meets distinct cells, never all pairs of patients.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from helixmart.functions import constants as C, markers as M
 from helixmart.operators import lookups
@@ -20,17 +20,20 @@ def _binned(df: DataFrame, widths: dict[str, float]) -> DataFrame:
     return df.withColumns({f"_{name}_bin": F.floor(F.col(name) / float(w)) for name, w in widths.items()})
 
 
+def _spread(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The range join multiplies rows, so its input is spread by number; adaptive merging of
+    the small input would leave the whole output to one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def _near_cells(query_cells: DataFrame, cells: DataFrame, widths: dict[str, float]) -> DataFrame:
     """Equi-join on neighbouring bins with the exact ranges as residual; query columns get a q_ prefix."""
     left = _binned(query_cells, widths)
     for name in widths:
         around = F.array(*[F.col(f"_{name}_bin") + step for step in (-1, 0, 1)])
         left = left.withColumn(f"_{name}_bin", F.explode(around))
-    # The join multiplies rows, so its input is spread by number; adaptive merging of the
-    # small input would leave the whole output to one task.
-    spread = int(query_cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = left.withColumnsRenamed({name: f"q_{name}" for name in widths}).repartition(
-        spread, *[f"q_{name}" for name in widths], *[f"_{name}_bin" for name in widths])
+    left = left.withColumnsRenamed({name: f"q_{name}" for name in widths})
+    left = _spread(left, [*[f"q_{name}" for name in widths], *[f"_{name}_bin" for name in widths]])
     joined = left.join(_binned(cells, widths), [f"_{name}_bin" for name in widths])
     for name, width in widths.items():
         joined = joined.where(F.col(name).between(F.col(f"q_{name}") - width, F.col(f"q_{name}") + width))
@@ -57,20 +60,74 @@ def count_similar(queries: DataFrame, patients: DataFrame) -> DataFrame:
     )
 
 
-def _nearest(queries: DataFrame, patients: DataFrame, widths: dict[str, float], closeness, k: int,
+def _steps(low: Column, high: Column, width: float) -> Column:
+    return F.explode(F.sequence(F.floor(low / float(width)), F.floor(high / float(width))))
+
+
+_AGE_GRID = 2
+
+
+def _reach(wanted: DataFrame, first: DataFrame, names: list[str], step: float, with_age: bool, k: int) -> DataFrame:
+    """A distance within which every query cell surely finds k patients, where there is one.
+
+    Both sides are counted on a coarse grid. Grid fields that lie inside all ranges as a
+    whole give upper bounds on distance; the bound at which k patients are reached limits
+    the later join. Without k sure patients the full ranges apply, so nothing is lost.
+    """
+    limit_a, limit_t = int(AGE_WIDTH / _AGE_GRID), int(TMB_WIDTH / step)
+    grid = {"_ga": F.floor(F.col("age") / float(_AGE_GRID)), "_gt": F.floor(F.col("tmb") / step)}
+    if "mutation_count" in names:
+        grid["_gm"] = F.floor(F.col("mutation_count") / float(MUTATION_WIDTH))
+    keys, same = list(grid), [g for g in grid if g == "_gm"]
+    queries = wanted.withColumns(grid)
+    counted = first.withColumns(grid).groupBy(*keys).agg(F.count("*").alias("_n"))
+    blocks = {"_ka": F.floor(F.col("_ga") / float(limit_a)), "_kt": F.floor(F.col("_gt") / float(limit_t))}
+    near = queries.select(*keys).distinct().withColumns(blocks)
+    for block in blocks:
+        near = near.withColumn(block, F.explode(F.array(*[F.col(block) + d for d in (-1, 0, 1)])))
+    near = near.withColumnsRenamed({"_ga": "_qa", "_gt": "_qt"})
+    da, dt = F.abs(F.col("_ga") - F.col("_qa")), F.abs(F.col("_gt") - F.col("_qt"))
+    bound = (dt + 1) * step + ((da + 1) * _AGE_GRID if with_age else F.lit(0))
+    asked = ["_qa", "_qt", *same]
+    rings = (
+        near.join(counted.withColumns(blocks), [*blocks, *same]).where((da < limit_a) & (dt < limit_t))
+        .groupBy(*asked, bound.cast("double").alias("_bound")).agg(F.sum("_n").alias("_n"))
+        .withColumn("_upto", F.sum("_n").over(
+            W.partitionBy(*asked).orderBy("_bound").rowsBetween(W.unboundedPreceding, 0)))
+    )
+    reach = rings.where(F.col("_upto") >= k).groupBy(*asked).agg(F.min("_bound").alias("reach"))
+    return queries.join(reach.withColumnsRenamed({"_qa": "_ga", "_qt": "_gt"}), keys, "left").select(*names, "reach")
+
+
+def _nearest(queries: DataFrame, patients: DataFrame, names: list[str], with_age: bool, step: float, k: int,
              carry: list[str]) -> DataFrame:
-    names = list(widths)
     in_cell = W.partitionBy(*names).orderBy("sample_id")
     first = (
         _known(patients, names).select("sample_id", *names, *[c for c in carry if c not in names])
         .withColumn("_p", F.row_number().over(in_cell)).where(F.col("_p") <= k).drop("_p")
     )
     wanted = _known(queries, names).select(*names).distinct()
+    reach = F.coalesce(F.col("reach"), F.lit(float(AGE_WIDTH + TMB_WIDTH)))
+    near_a = F.least(reach, F.lit(float(AGE_WIDTH))) if with_age else F.lit(float(AGE_WIDTH))
+    near_t = F.least(reach, F.lit(float(TMB_WIDTH)))
+    bins = {"_age_bin": ("age", AGE_WIDTH, near_a), "_tmb_bin": ("tmb", step, near_t)}
+    if "mutation_count" in names:
+        bins["_mutation_bin"] = ("mutation_count", MUTATION_WIDTH, F.lit(float(MUTATION_WIDTH)))
+    left = _reach(wanted, first, names, step, with_age, k)
+    for bin_name, (name, width, radius) in bins.items():
+        left = left.withColumn(bin_name, _steps(F.col(name) - radius, F.col(name) + radius, width))
     q_names = [f"q_{n}" for n in names]
-    order = W.partitionBy(*q_names).orderBy(closeness, "sample_id")
+    left = _spread(left.withColumnsRenamed(dict(zip(names, q_names))), [*q_names, *bins])
+    right = first.withColumns({b: F.floor(F.col(n) / float(w)) for b, (n, w, _) in bins.items()})
+    gap = {n: F.abs(F.col(n) - F.col(f"q_{n}")) for n in names}
+    distance = gap["age"] + gap["tmb"] if with_age else gap["tmb"]
+    met = left.join(right, list(bins)).where(
+        (gap["age"] <= AGE_WIDTH) & (gap["tmb"] <= TMB_WIDTH) & (distance <= reach))
+    if "mutation_count" in names:
+        met = met.where(gap["mutation_count"] <= MUTATION_WIDTH)
+    order = W.partitionBy(*q_names).orderBy(distance, "sample_id")
     ranked = (
-        _near_cells(wanted, first, widths)
-        .withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+        met.drop(*bins, "reach").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
         .withColumnRenamed("sample_id", "neighbour_id")
     )
     back = queries.select(F.col("sample_id"), *[F.col(n).alias(f"q_{n}") for n in names])
@@ -79,17 +136,14 @@ def _nearest(queries: DataFrame, patients: DataFrame, widths: dict[str, float],
 
 def nearest_by_burden(queries: DataFrame, patients: DataFrame, k: int = 5) -> DataFrame:
     """Up to five similar patients by burden difference."""
-    return _nearest(
-        queries, patients, {"age": AGE_WIDTH, "tmb": TMB_WIDTH}, F.abs(F.col("tmb") - F.col("q_tmb")), k,
-        ["mutation_count", "target_survival_months", "target_event"])
+    return _nearest(queries, patients, ["age", "tmb"], False, 0.5, k,
+                    ["mutation_count", "target_survival_months", "target_event"])
 
 
 def nearest_by_age_and_burden(queries: DataFrame, patients: DataFrame, k: int = 8) -> DataFrame:
     """Up to eight patients, mutation count within 100 too, by age plus burden difference."""
-    closeness = F.abs(F.col("age") - F.col("q_age")) + F.abs(F.col("tmb") - F.col("q_tmb"))
-    return _nearest(
-        queries, patients, {"age": AGE_WIDTH, "tmb": TMB_WIDTH, "mutation_count": MUTATION_WIDTH}, closeness, k,
-        ["target_survival_months", "target_category"])
+    return _nearest(queries, patients, ["age", "tmb", "mutation_count"], True, 1.0, k,
+                    ["target_survival_months", "target_category"])
 
 
 def cohort_summary(neighbours: DataFrame) -> DataFrame:

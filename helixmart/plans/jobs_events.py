@@ -30,7 +30,7 @@ job("a11_event_json", """
 SELECT event_id, json_object('event_id', CAST(event_id AS VARCHAR), 'event_type', event_type, 'timestamp', strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ'),
  'user_type', 'user', 'user_id', CASE WHEN event_id % 12 = 0 THEN 'anonymous' ELSE CAST(user_id AS VARCHAR) END, 'session_id',
  CASE WHEN event_id % 10 = 0 THEN 'unknown' ELSE 's' || user_id END, 'button_name', 'find_centers', 'status', 'success',
- 'source', 'snowflake_sis')::VARCHAR AS value FROM events""")(
+ 'source', 'web_app')::VARCHAR AS value FROM events""")(
     lambda w: E.to_event_json(w["events"].select(
         "event_id", "event_type", "ts", F.when(F.col("event_id") % 12 != 0, F.col("user_id")).alias("user_id"),
         F.when(F.col("event_id") % 10 != 0, F.concat(F.lit("s"), F.col("user_id").cast("string"))).alias("session_id"),

@@ -47,3 +47,11 @@ def test_build_stores_marts_and_reuses_them(spark, tiny, tmp_path):
     assert "mart_treatment_recommendations" in written and "stg_clinical" not in written
     assert w["mart_treatment_recommendations"].count() == lazy
     assert str(tmp_path) in plan(w["mart_risk_features_combined"])
+
+
+def test_hot_cells_are_cut_before_the_shuffle(w):
+    from helixmart.operators import similarity
+
+    clinical = w["mart_risk_features_clinical"]
+    text = plan(similarity.nearest_by_burden(clinical, clinical))
+    assert text.count("WindowGroupLimit") >= 4  # k per cell, then k per query, each before and after

@@ -123,7 +123,7 @@ def patients(spark, n, seed):
 
 
 def test_similar_patients_equal_brute_force(spark):
-    rows, df = patients(spark, 150, 5)
+    rows, df = patients(spark, 400, 5)
     near = lambda a, b: None not in (a[1], b[1]) and abs(a[1] - b[1]) <= 10 and abs(a[2] - b[2]) <= 5
     counts = {r["sample_id"]: r["similar_patients_found"] for r in S.count_similar(df, df).collect()}
     assert counts == {a[0]: sum(near(a, b) for b in rows) for a in rows}
