@@ -28,15 +28,19 @@ def biomarkers(expression: DataFrame) -> DataFrame:
     )
 
 
-def gene_summary(expression: DataFrame) -> DataFrame:
-    """Distinct genes, mean, sample deviation and exact median per sample."""
-    moments = expression.groupBy("sample_id").agg(
+def gene_moments(expression: DataFrame) -> DataFrame:
+    """Distinct genes, mean and sample deviation per sample."""
+    return expression.groupBy("sample_id").agg(
         F.countDistinct("gene_symbol").alias("total_genes_expressed"),
         F.avg("expression_value").alias("mean_gene_expression"),
         F.stddev_samp("expression_value").alias("stddev_gene_expression"),
     )
+
+
+def gene_summary(expression: DataFrame) -> DataFrame:
+    """Moments and the exact median per sample."""
     middle = group_quantiles(expression, ["sample_id"], "expression_value", {"median_gene_expression": 0.5})
-    return moments.join(middle, "sample_id", "left")
+    return gene_moments(expression).join(middle, "sample_id", "left")
 
 
 def risk_features_clinical(staged: DataFrame) -> DataFrame:
@@ -68,10 +72,14 @@ def risk_features_clinical(staged: DataFrame) -> DataFrame:
     )
 
 
-def risk_features_genomic(core: DataFrame, summary: DataFrame, corrected: bool = False) -> DataFrame:
+def genomic_features(core: DataFrame, corrected: bool = False) -> DataFrame:
+    """Everything in the genomic mart that needs no per-sample summary: subtype, markers, targets, flags.
+
+    Jobs that read only these columns use this form and spare the summary's scans.
+    """
     markers = {gene: zero(F.col(f"{gene.lower()}_expr")) for gene in C.SUBTYPE_MARKERS}
     known = F.col("sclc_subtype").isNotNull() & (F.col("sclc_subtype") != "MIXED")
-    return core.where(known).join(summary, "sample_id", "left").select(
+    return core.where(known).select(
         "sample_id", "sclc_subtype",
         *one_hot(F.col("sclc_subtype"), {f"is_sclc_{s[-1].lower()}": s for s in C.SUBTYPES}),
         *[zero(F.col(f"{g.lower()}_expr")).alias(f"{g.lower()}_expression") for g in C.BIOMARKERS],
@@ -81,15 +89,24 @@ def risk_features_genomic(core: DataFrame, summary: DataFrame, corrected: bool =
         flag(F.col("dll3_expr") >= 5).alias("dll3_targetable"),
         flag(F.col("bcl2_expr") >= 5).alias("bcl2_targetable"),
         flag(F.col("myc_family_score") >= 10).alias("myc_amplified"),
-        F.coalesce("total_genes_expressed", F.lit(0)).cast("bigint").alias("genes_expressed"),
-        zero(F.col("mean_gene_expression")).alias("mean_expression"),
-        zero(F.col("stddev_gene_expression")).alias("stddev_expression"),
-        zero(F.col("median_gene_expression")).alias("median_expression"),
         flag((F.col("tp53_rb1_dual_loss") == 1) & (F.col("myc_family_score") > 10)).alias("genomic_high_risk_flag"),
         F.lit("GENOMIC_COHORT").alias("cohort_type"),
     )
 
 
+_SUMMARY_COLUMNS = {
+    "genes_expressed": "total_genes_expressed", "mean_expression": "mean_gene_expression",
+    "stddev_expression": "stddev_gene_expression", "median_expression": "median_gene_expression",
+}
+
+
+def risk_features_genomic(features: DataFrame, summary: DataFrame) -> DataFrame:
+    """Genomic features with the summary columns that ``summary`` has; missing samples get 0."""
+    added = {name: F.coalesce(source, F.lit(0)).alias(name) for name, source in _SUMMARY_COLUMNS.items()
+             if source in summary.columns}
+    return features.join(summary, "sample_id", "left").select(*features.columns, *added.values())
+
+
 COMBINED_CLINICAL = [
     "patient_id", "study_id", "target_survival_months", "target_event", "target_category", "age",
     "age_group", "is_male", "smoking_status", "is_current_smoker", "is_former_smoker", "is_never_smoker",

@@ -28,10 +28,14 @@ def table_job(name: str, table: str, digits: dict[str, int] | None = None) -> No
         lambda w: rounded(w[table], digits) if digits else w[table])
 
 
+_SUMMARY = {"genes_expressed", "mean_expression", "stddev_expression", "median_expression"}
+
+
 def columns_job(name: str, table: str, columns: list[str], digits: dict[str, int] | None = None) -> None:
     digits = digits or {}
+    source = "genomic_features" if table == "mart_risk_features_genomic" and not _SUMMARY & set(columns) else table
     wanted = ", ".join(rnd(c, digits[c], 20 if digits[c] > 12 else 12) + f" AS {c}" if c in digits else c for c in columns)
-    job(name, f"SELECT {wanted} FROM {table}")(lambda w: rounded(w[table].select(*columns), digits))
+    job(name, f"SELECT {wanted} FROM {table}")(lambda w: rounded(w[source].select(*columns), digits))
 
 
 # -- models, whole -------------------------------------------------------------------------
@@ -180,7 +184,7 @@ FROM clinical_data WHERE sample_id IS NOT NULL AND overall_survival_months IS NO
 job("b32_confidence_gap_corrected", """
 SELECT sample_id, v[1] - v[2] AS subtype_confidence_score FROM (SELECT sample_id, list_reverse_sort(
  [ascl1_expression, neurod1_expression, pou2f3_expression, yap1_expression]) AS v FROM mart_risk_features_genomic)""")(
-    lambda w: marts.risk_features_genomic(w["core_biomarkers"], w["gene_summary"], corrected=True)
+    lambda w: marts.genomic_features(w["core_biomarkers"], corrected=True)
     .select("sample_id", "subtype_confidence_score"))
 
 _SCORE = "CAST(mutation_count AS DOUBLE) / 6"
@@ -204,7 +208,7 @@ SELECT sample_id, myc_expression + mycl_expression + mycn_expression AS myc_fami
  {rnd(f"list_avg([{', '.join(_NINE)}])", 9)} AS mean_nine, {rnd(f"list_stddev_pop([{', '.join(_NINE)}])", 9)} AS std_nine,
  CAST(len(list_filter([{', '.join(_NINE)}], lambda v : v > 5)) AS INT) AS genes_over_5
 FROM mart_risk_features_genomic""")(
-    lambda w: rounded(w["mart_risk_features_genomic"].select("sample_id", *M.serving_biomarkers(
+    lambda w: rounded(w["genomic_features"].select("sample_id", *M.serving_biomarkers(
         [F.col(c) for c in _NINE], F.col("tp53_expression"), F.col("rb1_expression"),
         [F.col(f"{g}_expression") for g in ("myc", "mycl", "mycn")])), {"mean_nine": 9, "std_nine": 9}))
 
@@ -226,7 +230,7 @@ SELECT sample_id, CASE v WHEN a THEN 'ASCL1' WHEN n THEN 'NEUROD1' WHEN p THEN '
  CASE WHEN a + n > p + y THEN 'Neuroendocrine' ELSE 'Non-Neuroendocrine' END AS nature, a + n AS ne_sum, p + y AS non_ne_sum
 FROM (SELECT sample_id, ascl1_expression a, neurod1_expression n, pou2f3_expression p, yap1_expression y,
  dominant_subtype_marker_expr v FROM mart_risk_features_genomic)""")(
-    lambda w: rounded(w["mart_risk_features_genomic"].select("sample_id", *M.factor_dominance(markers_of())),
+    lambda w: rounded(w["genomic_features"].select("sample_id", *M.factor_dominance(markers_of())),
                       {"dominance_ratio": 9}))
 job("b51_compatibility", """
 SELECT sample_id,
@@ -236,7 +240,7 @@ SELECT sample_id,
  CAST((y > 10)::INT*40 + (y > a AND y > n AND y > p)::INT*30 + (a < 8 AND n < 8)::INT*15 + (p < 8)::INT*15 AS INT) AS fit_y
 FROM (SELECT sample_id, ascl1_expression a, neurod1_expression n, pou2f3_expression p, yap1_expression y
  FROM mart_risk_features_genomic)""")(
-    lambda w: w["mart_risk_features_genomic"].select("sample_id", *[
+    lambda w: w["genomic_features"].select("sample_id", *[
         points.alias(f"fit_{s[-1].lower()}") for s, points in M.compatibility(markers_of()).items()]))
 
 
@@ -325,7 +329,7 @@ job("c15_patient_profile", """
 SELECT c.sample_id, c.age, c.tmb, c.target_category, g.sclc_subtype, g.ascl1_expression, g.neurod1_expression,
  g.pou2f3_expression, g.yap1_expression
 FROM mart_risk_features_clinical c LEFT JOIN mart_risk_features_genomic g ON c.sample_id = g.sample_id""")(
-    lambda w: lookups.patient_profiles(w["mart_risk_features_clinical"], w["mart_risk_features_genomic"]).select(
+    lambda w: lookups.patient_profiles(w["mart_risk_features_clinical"], w["genomic_features"]).select(
         "sample_id", "age", "tmb", "target_category", "sclc_subtype", "ascl1_expression", "neurod1_expression",
         "pou2f3_expression", "yap1_expression"))
 job("c16_id_overlap", """
@@ -353,7 +357,8 @@ for _id, _table, _key in [
     ("e3_percent_of_total", "mart_risk_features_combined", "data_source"),
 ]:
     job(_id, f"""SELECT {_key}, count(*) AS sample_count, {rnd("count(*) * 100.0::DOUBLE / sum(count(*)) OVER ()", 1)} AS percentage
-FROM {_table} GROUP BY {_key}""")(lambda w, t=_table, k=_key: quality.distribution(w[t], k))
+FROM {_table} GROUP BY {_key}""")(
+        lambda w, t=_table, k=_key: quality.distribution(w["genomic_features" if t == "mart_risk_features_genomic" else t], k))
 _MARTS = {"Clinical Features": "mart_risk_features_clinical", "Genomic Features": "mart_risk_features_genomic",
           "Combined Features": "mart_risk_features_combined", "Drug Sensitivity": "mart_drug_sensitivity",
           "Drug-Subtype Profile": "mart_drug_subtype_profile",
@@ -399,7 +404,7 @@ job("f2_first_sample_ids", "SELECT DISTINCT sample_id FROM stg_clinical ORDER BY
 job("f2_first_expression_ids", "SELECT DISTINCT sample_id FROM stg_gene_expression ORDER BY sample_id LIMIT 20")(
     lambda w: w["stg_gene_expression"].select("sample_id").distinct().orderBy("sample_id").limit(20))
 job("f2_first_genomic_ids", "SELECT DISTINCT sample_id FROM mart_risk_features_genomic ORDER BY sample_id LIMIT 20")(
-    lambda w: w["mart_risk_features_genomic"].select("sample_id").distinct().orderBy("sample_id").limit(20))
+    lambda w: w["genomic_features"].select("sample_id").distinct().orderBy("sample_id").limit(20))
 job("f3_preview_genomic")(lambda w: w["mart_risk_features_genomic"].limit(10))
 job("f3_preview_expression")(lambda w: w["stg_gene_expression"].limit(20))
 job("f4_top3_per_sample", f"SELECT {', '.join(_REC)} FROM mart_treatment_recommendations WHERE drug_rank <= 3 ORDER BY sample_id, drug_rank LIMIT 30")(

@@ -68,13 +68,13 @@ job("c12_nearest_by_age_and_burden",
     lambda w: S.nearest_by_age_and_burden(clinical(w), clinical(w))
     .select("sample_id", "neighbour_id", "age", "tmb", "target_category", "place"))
 job("c13_similar_profile_count", "SELECT * FROM profile_count")(
-    lambda w: S.count_similar_profiles(S.subtype_centroids(w["mart_risk_features_genomic"]), w["mart_risk_features_genomic"]))
+    lambda w: S.count_similar_profiles(S.subtype_centroids(w["genomic_features"]), w["genomic_features"]))
 job("c14_nearest_profiles", f"SELECT query_subtype, sample_id, sclc_subtype, place, {rnd('distance', 6)} AS distance FROM near_profile")(
-    lambda w: rounded(S.nearest_profiles(S.subtype_centroids(w["mart_risk_features_genomic"]), w["mart_risk_features_genomic"])
+    lambda w: rounded(S.nearest_profiles(S.subtype_centroids(w["genomic_features"]), w["genomic_features"])
                       .select("query_subtype", "sample_id", "sclc_subtype", "place", "distance"), {"distance": 6}))
 job("c14_profile_agreement", "SELECT * FROM profile_match")(
     lambda w: S.profile_agreement(S.nearest_profiles(
-        S.subtype_centroids(w["mart_risk_features_genomic"]), w["mart_risk_features_genomic"])))
+        S.subtype_centroids(w["genomic_features"]), w["genomic_features"])))
 job("d12_cohort_summary", f"""
 SELECT sample_id, count(*) AS cohort_size, {rnd("avg(age)", 6)} AS avg_age, {rnd("avg(round_even(tmb, 1))", 6)} AS avg_tmb,
  {rnd("avg(target_survival_months)", 6)} AS avg_survival, min(target_survival_months) AS min_survival,
@@ -96,7 +96,7 @@ SELECT sample_id, printf('Subtype %s. ASCL1 %.4f, NEUROD1 %.4f, POU2F3 %.4f, YAP
  || 'Report interpretation, key markers, alternatives, therapy and outlook.', sclc_subtype, ascl1_expression, neurod1_expression,
  pou2f3_expression, yap1_expression, tp53_expression, rb1_expression, myc_family_score) AS prompt
 FROM mart_risk_features_genomic""")(
-    lambda w: w["mart_risk_features_genomic"].select("sample_id", S.subtype_prompt(F.col("sclc_subtype")).alias("prompt")))
+    lambda w: w["genomic_features"].select("sample_id", S.subtype_prompt(F.col("sclc_subtype")).alias("prompt")))
 job("i12_centre_prompt", """
 SELECT s_suppkey, 'List 5 cancer treatment centers near ' || s_name || ', ' || n_name
  || ' for small cell lung cancer; prefer centers suited to HIGH_RISK patients.' AS prompt
@@ -114,7 +114,7 @@ SELECT query_subtype, CASE v WHEN a THEN 'ASCL1' WHEN n1 THEN 'NEUROD1' WHEN p T
  'Found ' || n || ' samples with similar biomarker expression patterns' AS message, 'full_subtype_analysis' AS analysis_type
 FROM (SELECT *, ascl1_expression a, neurod1_expression n1, pou2f3_expression p, yap1_expression y, greatest(a, n1, p, y) AS v
  FROM centroid) JOIN profile_count USING (query_subtype)""")(
-    lambda w: rounded(S.subtype_analysis(w["mart_risk_features_genomic"], S.subtype_centroids(w["mart_risk_features_genomic"])),
+    lambda w: rounded(S.subtype_analysis(w["genomic_features"], S.subtype_centroids(w["genomic_features"])),
                       {"ne_score": 9, "non_ne_score": 9}))
 job("m6_risk_flow", f"""
 SELECT sample_id, level AS risk_level, CASE level {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.TREATMENT_PROTOCOLS.items())} END AS protocol,
@@ -136,5 +136,5 @@ SELECT query_subtype, CASE v WHEN a THEN 'ASCL1' WHEN n THEN 'NEUROD1' WHEN p TH
  n_similar, n_matching, closest_id
 FROM (SELECT query_subtype, ascl1_expression a, neurod1_expression n, pou2f3_expression p, yap1_expression y,
  greatest(a, n, p, y) AS v FROM centroid) JOIN profile_match USING (query_subtype)""")(
-    lambda w: rounded(S.subtype_flow(S.subtype_centroids(w["mart_risk_features_genomic"]), w["mart_risk_features_genomic"]),
+    lambda w: rounded(S.subtype_flow(S.subtype_centroids(w["genomic_features"]), w["genomic_features"]),
                       {"dominance_ratio": 6, "ne_sum": 6, "non_ne_sum": 6}))

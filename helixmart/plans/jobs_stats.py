@@ -162,7 +162,7 @@ SELECT sample_id, binary_risk, CAST((row_number() OVER (PARTITION BY binary_risk
 job("k9_class_weights", f"""
 SELECT sclc_subtype, {rnd("CAST(sum(count(*)) OVER () AS DOUBLE) / (count(*) OVER () * count(*))", 9)} AS class_weight
 FROM mart_risk_features_genomic GROUP BY sclc_subtype""")(
-    lambda w: rounded(S.class_weights(w["mart_risk_features_genomic"], "sclc_subtype"), {"class_weight": 9}))
+    lambda w: rounded(S.class_weights(w["genomic_features"], "sclc_subtype"), {"class_weight": 9}))
 _SCORE = "CAST(mutation_count AS DOUBLE) / 6"
 job("d14_scored_summary", f"""
 SELECT count(*) AS n, count(*) FILTER (s >= 50) AS n_high, {rnd("count(*) FILTER (s >= 50) * 100.0::DOUBLE / count(*)", 0)} AS pct_high,

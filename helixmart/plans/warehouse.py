@@ -18,16 +18,20 @@ _MODELS = {
     "core_biomarkers": lambda w: marts.biomarkers(w["stg_gene_expression"]),
     "gene_summary": lambda w: marts.gene_summary(w["stg_gene_expression"]),
     "mart_risk_features_clinical": lambda w: marts.risk_features_clinical(w["stg_clinical"]),
-    "mart_risk_features_genomic": lambda w: marts.risk_features_genomic(w["core_biomarkers"], w["gene_summary"]),
+    "genomic_features": lambda w: marts.genomic_features(w["core_biomarkers"]),
+    "mart_risk_features_genomic": lambda w: marts.risk_features_genomic(w["genomic_features"], w["gene_summary"]),
+    # The combined mart takes no median, so it joins the moments alone unless the genomic mart is stored.
     "mart_risk_features_combined": lambda w: marts.risk_features_combined(
-        w["mart_risk_features_clinical"], w["mart_risk_features_genomic"]),
+        w["mart_risk_features_clinical"],
+        w["mart_risk_features_genomic"] if w.is_stored("mart_risk_features_genomic")
+        else marts.risk_features_genomic(w["genomic_features"], marts.gene_moments(w["stg_gene_expression"]))),
     "mart_drug_sensitivity": lambda w: marts.drug_sensitivity(
         w["stg_experiments"], staging.compounds(w["compounds"]), staging.cell_lines(w["cell_lines"])),
     "mart_drug_subtype_profile": lambda w: marts.drug_subtype_profile(
         w["mart_drug_sensitivity"], w["cell_line_subtypes"]),
     "top_drugs": lambda w: marts.top_drugs(w["mart_drug_subtype_profile"]),
     "mart_treatment_recommendations": lambda w: marts.treatment_recommendations(
-        w["mart_risk_features_genomic"], w["top_drugs"]),
+        w["genomic_features"], w["top_drugs"]),
     "mart_dose_response_summary": lambda w: marts.dose_response_summary(
         w["stg_dose_response"], w["stg_experiments"]),
 }
@@ -41,6 +45,7 @@ class Warehouse:
         self.spark = spark
         self.folder = folder.rstrip("/")
         self._frames: dict[str, DataFrame] = {}
+        self._stored: set[str] = set()
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._frames:
@@ -53,9 +58,13 @@ class Warehouse:
             self._frames[name] = frame
         return self._frames[name]
 
-    def use(self, name: str, frame: DataFrame) -> None:
-        """Replace a table, for instance by its stored form."""
+    def use_stored(self, name: str, frame: DataFrame) -> None:
+        """Let later models read the stored form of a table."""
         self._frames[name] = frame
+        self._stored.add(name)
+
+    def is_stored(self, name: str) -> bool:
+        return name in self._stored
 
 
 def build(w: Warehouse, target: str, names: Iterable[str] = MATERIALISED) -> dict[str, str]:
@@ -68,6 +77,6 @@ def build(w: Warehouse, target: str, names: Iterable[str] = MATERIALISED) -> dic
     for name in [n for n in _MODELS if n in set(names)]:
         path = f"{target.rstrip('/')}/{name}"
         w[name].write.mode("overwrite").parquet(path)
-        w.use(name, w.spark.read.parquet(path))
+        w.use_stored(name, w.spark.read.parquet(path))
         written[name] = path
     return written
