@@ -1,9 +1,12 @@
 """The registered queries of the training-data operators and the SQL that checks them."""
 
+from helixmart.llm.packing import op2_packing
 from helixmart.llm.sharding import op6_sharding, sharding_sql
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op6_sharding": op6_sharding,
+    "op10_token_files": op10_token_files,
 }
 ORACLE_SQL = {
     "op6_sharding": sharding_sql(),
