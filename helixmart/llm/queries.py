@@ -2,12 +2,16 @@
 
 from helixmart.llm.packing import op2_packing
 from helixmart.llm.sharding import op6_sharding, sharding_sql
+from helixmart.llm.token_files import op10_token_files
+from helixmart.llm.url_filter import op1_url_filter, url_filter_sql
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
     "op6_sharding": op6_sharding,
     "op10_token_files": op10_token_files,
 }
 ORACLE_SQL = {
+    "op1_url_filter": url_filter_sql(),
     "op6_sharding": sharding_sql(),
 }
