@@ -1,5 +1,6 @@
 """The registered queries of the training-data operators and the SQL that checks them."""
 
+from helixmart.llm.nearest import nearest_sql, op7_nearest
 from helixmart.llm.packing import op2_packing
 from helixmart.llm.sharding import op6_sharding, sharding_sql
 from helixmart.llm.token_files import op10_token_files
@@ -9,9 +10,11 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
     "op6_sharding": op6_sharding,
+    "op7_nearest": op7_nearest,
     "op10_token_files": op10_token_files,
 }
 ORACLE_SQL = {
     "op1_url_filter": url_filter_sql(),
     "op6_sharding": sharding_sql(),
+    "op7_nearest": nearest_sql(),
 }
