@@ -4,11 +4,13 @@ from helixmart.llm.nearest import nearest_sql, op7_nearest
 from helixmart.llm.packing import op2_packing
 from helixmart.llm.sharding import op6_sharding, sharding_sql
 from helixmart.llm.token_files import op10_token_files
+from helixmart.llm.toxicity import op4_toxicity
 from helixmart.llm.url_filter import op1_url_filter, url_filter_sql
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
+    "op4_toxicity": op4_toxicity,
     "op6_sharding": op6_sharding,
     "op7_nearest": op7_nearest,
     "op10_token_files": op10_token_files,
