@@ -1,7 +1,9 @@
 """The registered queries of the training-data operators and the SQL that checks them."""
 
+from helixmart.llm.jaccard import op3_jaccard
 from helixmart.llm.nearest import nearest_sql, op7_nearest
 from helixmart.llm.packing import op2_packing
+from helixmart.llm.secrets import op9_secrets
 from helixmart.llm.sharding import op6_sharding, sharding_sql
 from helixmart.llm.token_files import op10_token_files
 from helixmart.llm.toxicity import op4_toxicity
@@ -10,9 +12,11 @@ from helixmart.llm.url_filter import op1_url_filter, url_filter_sql
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
+    "op3_jaccard": op3_jaccard,
     "op4_toxicity": op4_toxicity,
     "op6_sharding": op6_sharding,
     "op7_nearest": op7_nearest,
+    "op9_secrets": op9_secrets,
     "op10_token_files": op10_token_files,
 }
 ORACLE_SQL = {
