@@ -5,6 +5,7 @@ from helixmart.llm.nearest import nearest_sql, op7_nearest
 from helixmart.llm.packing import op2_packing
 from helixmart.llm.secrets import op9_secrets
 from helixmart.llm.sharding import op6_sharding, sharding_sql
+from helixmart.llm.substrings import op8_substrings
 from helixmart.llm.token_files import op10_token_files
 from helixmart.llm.toxicity import op4_toxicity
 from helixmart.llm.url_filter import op1_url_filter, url_filter_sql
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op6_sharding": op6_sharding,
     "op7_nearest": op7_nearest,
+    "op8_substrings": op8_substrings,
     "op9_secrets": op9_secrets,
     "op10_token_files": op10_token_files,
 }
