@@ -318,7 +318,8 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, tie (hash of the text), n_shingles, component_id.
+    """One row per row of ``docs`` (doc_id, text): doc_id, tie (hash of the text), n_shingles, component_id, and
+    whether the row is the one that stays for its group (smallest doc_id, then smallest tie; equal rows alike).
 
     Null texts, and texts without words, have the empty set and are linked with nothing. Documents of equal sets
     are linked; a repeated doc_id is a document for each of its rows. Null doc_ids take part, but a group's id is
@@ -341,9 +342,11 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     labelled = counts.join(groups.withColumnRenamed("node", "digest"), "digest", "left").withColumn(
         "g", F.when(F.col("n") > 0, F.coalesce("component", "digest")))
     labelled = stored(labelled.select("doc_id", "tie", "n", "g"))
-    least = labelled.where("g IS NOT NULL").groupBy("g").agg(F.min("doc_id").alias("least"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    least = labelled.where("g IS NOT NULL").groupBy("g").agg(F.min(order).alias("least"))
     return labelled.join(least, "g", "left").select(
-        "doc_id", "tie", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+        "doc_id", "tie", F.col("n").alias("n_shingles"), F.coalesce("least.doc_id", "doc_id").alias("component_id"),
+        (F.col("least").isNull() | (F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.tie") == F.col("tie")))).alias("stays"))
 
 
 def op3_jaccard(spark: SparkSession, folder: str) -> DataFrame:

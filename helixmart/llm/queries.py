@@ -1,5 +1,6 @@
 """The registered queries of the training-data operators and the SQL that checks them."""
 
+from helixmart.llm.decontaminate import op5_decontaminate
 from helixmart.llm.jaccard import op3_jaccard
 from helixmart.llm.nearest import nearest_sql, op7_nearest
 from helixmart.llm.packing import op2_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_jaccard": op3_jaccard,
     "op4_toxicity": op4_toxicity,
+    "op5_decontaminate": op5_decontaminate,
     "op6_sharding": op6_sharding,
     "op7_nearest": op7_nearest,
     "op8_substrings": op8_substrings,

@@ -137,8 +137,8 @@ def discovery_steps(tokens: DataFrame) -> dict[int, int]:
     return limits
 
 
-def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The kept columns and ``spans``: array<struct<start,no,end,kind>> by start and kind, base and found ones.
+def scan(docs: DataFrame, keep: list[str], text: str = "text", out: str = "spans") -> DataFrame:
+    """The kept columns and ``out``: array<struct<start,no,end,kind>> by start and kind, base and found ones.
 
     A found span that a base span overlaps is left to that. Null and empty texts have no spans; equal rows are
     scanned each; an empty table gives no rows. Positions count code points.
@@ -148,21 +148,21 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     limits = discovery_steps(tokens)
     base = F.concat(*[spans_of(body, *spec) for spec in BASE])
     if limits:
-        rows = docs.select(*[F.col(f"`{c}`") for c in keep], base.alias("_base"), tokens_of(body).alias("_tokens"))
+        rows = docs.select(*[F.col(f"`{c}`") for c in keep], base.alias("__base"), tokens_of(body).alias("__tokens"))
         limit_of = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
 
         def found(s: Column) -> Column:
             t = battery(s["hit"])
             return t["step"] >= F.coalesce(F.element_at(limit_of, t["band"]), F.lit(P_LAST + 1))
 
-        free = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        extra = F.filter(F.filter("_tokens", free), found)
+        free = lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        extra = F.filter(F.filter("__tokens", free), found)
     else:
-        rows = docs.select(*[F.col(f"`{c}`") for c in keep], base.alias("_base"))
+        rows = docs.select(*[F.col(f"`{c}`") for c in keep], base.alias("__base"))
         extra = F.array().cast("array<struct<start:int,no:int,end:int,hit:string>>")
     kinds = F.array(*[F.lit(k) for k in [*(b[0] for b in BASE), "random"]])
     named = lambda s: F.struct(s["start"], s["no"], s["end"], F.get(kinds, s["no"]).alias("kind"))
-    return rows.select(*[F.col(f"`{c}`") for c in keep], F.transform(F.array_sort(F.concat("_base", extra)), named).alias("spans"))
+    return rows.select(*[F.col(f"`{c}`") for c in keep], F.transform(F.array_sort(F.concat("__base", extra)), named).alias(out))
 
 
 def joined(spans: Column) -> Column:
