@@ -44,8 +44,9 @@ def norm_key(value: Column) -> Column:
 
 
 def to_double(value: Column) -> Column:
-    """Safe cast: text that is no number gives NULL."""
-    return value.try_cast("double")
+    """Safe cast: text that is no finite number gives NULL, so "NaN" and "Infinity" spoil no mean or rank."""
+    number = value.try_cast("double")
+    return F.when(F.abs(number) < float("inf"), number)  # NaN is above infinity in Spark's order
 
 
 def to_bigint(value: Column) -> Column:

@@ -129,11 +129,12 @@ def next_batch(papers: DataFrame, ledger: DataFrame, size: int = C.PAPER_BATCH)
 
 
 def remaining_work(papers: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Papers left and the rounds the reference pace would take, with its stop rule."""
+    """Papers left, the rounds of PAPER_BATCH papers they take, whether these are more than one chain of runs may
+    have, and what comes next."""
     left = unprocessed(papers, ledger).agg(F.count("*").alias("remaining"))
     rounds = F.ceil(F.col("remaining") / F.lit(float(C.PAPER_BATCH))).cast("bigint")
     return left.select(
-        "remaining", F.least(rounds, F.lit(C.MAX_ROUNDS)).cast("bigint").alias("rounds"),
+        "remaining", rounds.alias("rounds"), (rounds > C.MAX_ROUNDS).alias("over_ceiling"),
         F.when(F.col("remaining") > 0, "trigger_next_run").otherwise("end_processing").alias("next_step"))
 
 
@@ -169,9 +170,10 @@ def image_rows(images: DataFrame, prefix: str = "s3://images/papers") -> DataFra
 
 # -- ids and locations -----------------------------------------------------------------------
 
-def unique_in_order(ids: DataFrame, column: str, position: str, limit: int = C.MAX_IDS) -> DataFrame:
-    """Distinct ids in order of first appearance, at most ``limit`` (the ingest limit)."""
-    return ids.groupBy(column).agg(F.min(position).alias(position)).orderBy(position).limit(limit)
+def unique_in_order(ids: DataFrame, column: str, position: str, limit: int | None = None) -> DataFrame:
+    """Distinct ids in order of first appearance; with ``limit`` only the first of them (C.MAX_IDS in one ingest)."""
+    unique = ids.groupBy(column).agg(F.min(position).alias(position)).orderBy(position)
+    return unique if limit is None else unique.limit(limit)
 
 
 def existing_ids(stored: DataFrame, wanted: DataFrame, column: str = "pmc_id") -> DataFrame:
@@ -271,13 +273,15 @@ def search_phrase(score: Column) -> Column:
 
 # -- generated text --------------------------------------------------------------------------
 
-def numbered_names(texts: DataFrame, text: str, limit: int = 5) -> DataFrame:
-    """Entries written as **1. Name** with the body up to the next entry; the first ``limit`` per text."""
+def numbered_names(texts: DataFrame, text: str, limit: int | None = None) -> DataFrame:
+    """Entries written as **1. Name** with the body up to the next entry; with ``limit`` the first ones per text."""
     mark = r"\*\*(\d+)\.\s*([^\*]+?)\*\*"
     keys = [c for c in texts.columns if c != text]
     names = F.regexp_extract_all(F.col(text), F.lit(mark), F.lit(2))
-    bodies = F.slice(F.split(F.col(text), mark), 2, limit)
-    pairs = F.slice(F.arrays_zip(names.alias("name"), bodies.alias("body")), 1, limit)
+    bodies = F.split(F.col(text), mark)
+    bodies = F.slice(bodies, F.lit(2), F.size(bodies))
+    pairs = F.arrays_zip(names.alias("name"), bodies.alias("body"))
+    pairs = pairs if limit is None else F.slice(pairs, 1, limit)
     return texts.select(*keys, F.posexplode(pairs).alias("i", "e")).select(
         *keys, (F.col("i") + 1).alias("entry"), F.trim("e.name").alias("name"),
         _stripped_lines(F.col("e.body")).alias("body"))

@@ -62,15 +62,24 @@ def sessions(flat: DataFrame) -> DataFrame:
         F.count("*").alias("n_events"))
 
 
-def gap_sessions(flat: DataFrame, user: str = "user_id", gap: int = SESSION_GAP_SECONDS) -> DataFrame:
-    """Sessions per user split by more than ``gap`` seconds of silence.
+def visitor() -> Column:
+    """Who an event belongs to: the user, else the session; rows without both have no visitor."""
+    user = F.when(F.col("user_id") != "anonymous", F.col("user_id"))
+    session = F.when(F.col("session_id") != "unknown", F.concat(F.lit("session "), "session_id"))
+    return F.coalesce(user, session)
+
+
+def gap_sessions(flat: DataFrame, user: str = "visitor", gap: int = SESSION_GAP_SECONDS) -> DataFrame:
+    """Sessions per visitor split by more than ``gap`` seconds of silence; events without a visitor are left out.
 
     Events are first reduced to one row per user and gap-long slot: inside a slot no
     silence can exceed the gap. The window then sees at most one row per slot, so a
     user with a third of all events stays small.
     """
     seconds = F.unix_micros("app_timestamp") / 1e6
-    slots = flat.where(F.col("app_timestamp").isNotNull()).groupBy(
+    if user == "visitor":
+        flat = flat.withColumn(user, visitor())
+    slots = flat.where(F.col("app_timestamp").isNotNull() & F.col(user).isNotNull()).groupBy(
         user, F.floor(seconds / gap).alias("_slot")
     ).agg(F.min("app_timestamp").alias("_first"), F.max("app_timestamp").alias("_last"), F.count("*").alias("_n"))
     in_order = W.partitionBy(user).orderBy("_slot")

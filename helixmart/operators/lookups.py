@@ -10,10 +10,6 @@ from helixmart.functions import constants as C
 from helixmart.functions.rules import band, flag, to_bigint
 
 
-def bulleted(lines: Sequence[str]) -> str:
-    return "\n• ".join(lines)
-
-
 def risk_level(score: Column, profile: str = "warehouse") -> Column:
     return band(score, C.RISK_CUTS[profile], C.RISK_REST[profile])
 
@@ -67,7 +63,7 @@ def _dimension(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def with_subtype_texts(df: DataFrame) -> DataFrame:
-    rows = [(s, *C.SUBTYPE_THERAPY[s], bulleted(C.SUBTYPE_TARGETS[s])) for s in C.SUBTYPES]
+    rows = [(s, *C.SUBTYPE_THERAPY[s], C.SUBTYPE_TARGETS[s]) for s in C.SUBTYPES]
     texts = _dimension(df, rows, "sclc_subtype string, nature string, marker string, therapy string, targets string")
     return df.join(texts, "sclc_subtype", "left").withColumn(
         "targets", F.coalesce("targets", F.lit(C.SUBTYPE_TARGET_REST)))

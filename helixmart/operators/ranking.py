@@ -17,7 +17,7 @@ def _octave(value: Column) -> Column:
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Linear-interpolated quantiles of ``value`` per group, exact for groups of any size.
+    """Linear-interpolated quantiles of the finite ``value``s per group, exact for groups of any size.
 
     Equal values are counted before the shuffle, a histogram over value buckets finds
     the buckets that hold the wanted ranks, and only those buckets are sorted. A hot
@@ -27,7 +27,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     anchor = keys or ["_all"]
     src = df if keys else df.withColumn("_all", F.lit(0))
     counted = (
-        src.where(F.col(value).isNotNull())
+        src.where(F.abs(F.col(value).cast("double")) < float("inf"))  # not NULL, NaN or infinite
         .groupBy(*anchor, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_n"))
         .withColumn("_b", _octave(F.col("_v")))

@@ -9,17 +9,6 @@ from helixmart.functions.rules import band
 from helixmart.operators.probes import vector_best, vector_top_k
 
 
-def cosine(left: Column, right: Column) -> Column:
-    """Cosine of two float arrays as a plain column; NULL for a zero vector."""
-    zero = F.lit(0.0)
-
-    def dot(a: Column, b: Column) -> Column:
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), zero,
-                           lambda acc, x: acc + x)
-
-    return dot(left, right) / F.nullif(F.sqrt(dot(left, left)) * F.sqrt(dot(right, right)), zero)
-
-
 def parsed_vectors(staged: DataFrame, text: str, size: int) -> DataFrame:
     """JSON text to a typed vector; ``is_valid`` marks the expected length."""
     vector = F.from_json(F.col(text), "array<double>")

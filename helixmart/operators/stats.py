@@ -20,10 +20,21 @@ def as_matrix(expression: DataFrame) -> DataFrame:
     return expression.groupBy("gene_symbol", "sample_id").agg(F.max("expression_value").alias("value"))
 
 
-def sample_groups(matrix: DataFrame, position: Column) -> DataFrame:
-    """Tumour or normal by column position: the first 79 of at least 80 columns, else the first 90 %."""
-    total = matrix.agg(F.countDistinct("sample_id")).scalar()
-    limit = F.when(total >= 80, F.lit(79)).otherwise(F.floor(total * 0.9))
+#: Tumour columns of the reference study, which has 86 columns.
+STUDY_TUMOURS = 79
+
+
+def sample_groups(matrix: DataFrame, position: Column, tumours: int | None = None) -> DataFrame:
+    """Tumour or normal by column position: the first ``tumours`` columns are tumours.
+
+    Without a number the reference rule holds, which fits its own study only: STUDY_TUMOURS of at least 80 columns,
+    else the first 90 %.
+    """
+    if tumours is None:
+        total = matrix.agg(F.countDistinct("sample_id")).scalar()
+        limit = F.when(total > STUDY_TUMOURS, F.lit(STUDY_TUMOURS)).otherwise(F.floor(total * 0.9))
+    else:
+        limit = F.lit(tumours)
     return matrix.withColumn("sample_group", F.when(position < limit, "tumor").otherwise("normal"))
 
 

@@ -75,7 +75,7 @@ QUALIFY row_number() OVER (PARTITION BY image_hash ORDER BY paper_id, page_numbe
 job("a7_image_keys", f"SELECT id, {_IMAGE_URL} AS s3_url FROM image_vectors")(
     lambda w: D.image_rows(w["image_vectors"]).select("id", "s3_url"))
 job("i7_remaining_work", """
-SELECT n AS remaining, CAST(least(ceil(n / 25), 200) AS BIGINT) AS rounds,
+SELECT n AS remaining, CAST(ceil(n / 25) AS BIGINT) AS rounds, ceil(n / 25) > 200 AS over_ceiling,
  CASE WHEN n > 0 THEN 'trigger_next_run' ELSE 'end_processing' END AS next_step
 FROM (SELECT count(*) AS n FROM papers WHERE pmc_id NOT IN (SELECT paper_id FROM text_processed))""")(
     lambda w: D.remaining_work(w["papers"], w["text_processed"]))
@@ -98,7 +98,7 @@ SELECT m.pmid, m.pmc_id FROM id_map m JOIN documents d ON m.pmid = CAST(d.doc_id
     lambda w: w["documents"].select(F.col("doc_id").cast("string").alias("pmid")).join(
         w["id_map"].where(F.col("pmc_id").isNotNull()), "pmid"))
 job("e4_unique_in_order", """
-SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id ORDER BY 2 LIMIT 1000""")(
+SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id""")(
     lambda w: D.unique_in_order(w["events"], "user_id", "event_id"))
 job("g3_stored_not_catalogued", """
 SELECT pmc_id FROM id_map WHERE pmc_id IS NOT NULL EXCEPT SELECT paper_id FROM text_processed""")(
@@ -269,10 +269,6 @@ FROM text_vectors q CROSS JOIN (SELECT label, list(x ORDER BY i) AS v, CASE labe
   unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) WHERE label < 3 GROUP BY label) m
 GROUP BY q.id""")(
     lambda w: R.closest_table(w["text_vectors"].withColumnRenamed("id", "query_id"), catalogue(w)).select("query_id", "table_name"))
-job("a19_table_catalogue", "SELECT * FROM (VALUES " + ", ".join(
-    "(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in C.TABLE_CATALOGUE)
-    + ") t(table_name, table_schema, description, columns_info)")(
-    lambda w: catalogue(w).select("table_name", "table_schema", "description", "columns_info"))
 job("i10_source_context", f"""
 SELECT query_id, count(*) AS n_sources, string_agg(tier || ' ' || kind || ': ' || source_text, chr(10) ORDER BY
  CASE tier WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 2 ELSE 4 END + (kind = 'image')::INT, place) AS context
@@ -321,7 +317,8 @@ SELECT log_id, CAST(round(seconds * 1000) AS BIGINT) AS response_ms, n_text + n_
     lambda w: E.interaction_stats(w["interactions"].withColumn("answered_at", F.timestamp_micros(
         F.unix_micros(F.col("asked_at").cast("timestamp")) + F.round(F.col("seconds") * 1e6).cast("bigint"))))
     .select("log_id", "response_ms", "has_sources"))
-job("a18_new_log_rows")(lambda w: E.new_log_rows(w["interactions"].select("log_id", "question")))
+job("a18_new_log_rows", "SELECT log_id, question, " + ", ".join(
+    f"NULL::DOUBLE AS {n}" for n in [*E.METRICS, "overall_score"]) + " FROM interactions")(lambda w: E.new_log_rows(w["interactions"].select("log_id", "question")))
 job("a17_note_parts", """
 SELECT conv_id, CAST(turn // 4 AS INT) AS part, '[' || string_agg(json_object('role', role, 'content', content)::VARCHAR, ',' ORDER BY turn) || ']' AS chat_history,
  count(*) FILTER (role = 'user') AS user_turns FROM chat_turns GROUP BY conv_id, turn // 4""")(

@@ -48,10 +48,11 @@ job("l4_sessions", """
 SELECT session_id, min(app_timestamp) AS started_at, max(app_timestamp) AS ended_at, count(*) AS n_events FROM flat_events GROUP BY session_id""")(
     lambda w: E.sessions(flat(w)))
 job("l4_gap_sessions", """
-SELECT user_id, session_no, min(app_timestamp) AS started_at, max(app_timestamp) AS ended_at, count(*) AS n_events
-FROM (SELECT *, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY app_timestamp, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_no
- FROM (SELECT *, CASE WHEN app_timestamp - lag(app_timestamp) OVER (PARTITION BY user_id ORDER BY app_timestamp, event_id) <= INTERVAL 30 MINUTE
-  THEN 0 ELSE 1 END AS fresh FROM flat_events)) GROUP BY user_id, session_no""")(lambda w: E.gap_sessions(flat(w)))
+SELECT visitor, session_no, min(app_timestamp) AS started_at, max(app_timestamp) AS ended_at, count(*) AS n_events
+FROM (SELECT *, CAST(sum(fresh) OVER (PARTITION BY visitor ORDER BY app_timestamp, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_no
+ FROM (SELECT *, CASE WHEN app_timestamp - lag(app_timestamp) OVER (PARTITION BY visitor ORDER BY app_timestamp, event_id) <= INTERVAL 30 MINUTE
+  THEN 0 ELSE 1 END AS fresh FROM (SELECT *, CASE WHEN user_id <> 'anonymous' THEN user_id
+   WHEN session_id <> 'unknown' THEN 'session ' || session_id END AS visitor FROM flat_events) WHERE visitor IS NOT NULL)) GROUP BY visitor, session_no""")(lambda w: E.gap_sessions(flat(w)))
 job("l4_retention", """
 SELECT cohort_week, CAST((week - cohort_week) // 7 AS INT) AS week_offset, count(*) AS n_users
 FROM (SELECT DISTINCT user_id, CAST(date_trunc('week', app_timestamp) AS DATE) AS week, CAST(min(date_trunc('week', app_timestamp))

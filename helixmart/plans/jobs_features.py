@@ -21,21 +21,26 @@ def replaced(digits: dict[str, int]) -> str:
     return ", ".join(f"{rnd(name, n, 20 if n > 12 else 12)} AS {name}" for name, n in digits.items())
 
 
-def table_job(name: str, table: str, digits: dict[str, int] | None = None) -> None:
-    """The whole table or model, with computed doubles rounded on both sides."""
+def _ordered(df, order: list[str] | None):
+    return df.orderBy(*order) if order else df
+
+
+def table_job(name: str, table: str, digits: dict[str, int] | None = None, order: list[str] | None = None) -> None:
+    """The whole table or model, with computed doubles rounded on both sides; extracts state an order."""
     star = f"* REPLACE ({replaced(digits)})" if digits else "*"
-    job(name, f"SELECT {star} FROM {table}")(
-        lambda w: rounded(w[table], digits) if digits else w[table])
+    job(name, f"SELECT {star} FROM {table}" + (f" ORDER BY {', '.join(order)}" if order else ""))(
+        lambda w: _ordered(rounded(w[table], digits) if digits else w[table], order))
 
 
 _SUMMARY = {"genes_expressed", "mean_expression", "stddev_expression", "median_expression"}
 
 
-def columns_job(name: str, table: str, columns: list[str], digits: dict[str, int] | None = None) -> None:
+def columns_job(name: str, table: str, columns: list[str], digits: dict[str, int] | None = None, order: list[str] | None = None) -> None:
     digits = digits or {}
     source = "genomic_features" if table == "mart_risk_features_genomic" and not _SUMMARY & set(columns) else table
     wanted = ", ".join(rnd(c, digits[c], 20 if digits[c] > 12 else 12) + f" AS {c}" if c in digits else c for c in columns)
-    job(name, f"SELECT {wanted} FROM {table}")(lambda w: rounded(w[source].select(*columns), digits))
+    job(name, f"SELECT {wanted} FROM {table}" + (f" ORDER BY {', '.join(order)}" if order else ""))(
+        lambda w: _ordered(rounded(w[source].select(*columns), digits), order))
 
 
 # -- models, whole -------------------------------------------------------------------------
@@ -64,23 +69,24 @@ for _name in schemas.RAW:
     table_job(f"a1_scan_{_name}", _name)
 
 job("a3_batch_profile", """
-SELECT count(*) AS n_rows, CAST(12 AS BIGINT) AS n_columns,
+SELECT count(*) AS n_rows, CAST(16 AS BIGINT) AS n_columns,
  CAST(sum((study_id IS NULL)::INT + (patient_id IS NULL)::INT + (sample_id IS NULL)::INT + (mutation_count IS NULL)::INT
   + (tmb_nonsynonymous IS NULL)::INT + (overall_survival_months IS NULL)::INT + (overall_survival_status IS NULL)::INT
   + (sex IS NULL)::INT + (diagnosis_age IS NULL)::INT + (smoker IS NULL)::INT + (smoking_history IS NULL)::INT
-  + (stage_at_diagnosis IS NULL)::INT) AS BIGINT) AS missing_cells
+  + (stage_at_diagnosis IS NULL)::INT + (oncotree_code IS NULL)::INT + (t_stage IS NULL)::INT + (n_stage IS NULL)::INT
+  + (m_stage IS NULL)::INT) AS BIGINT) AS missing_cells
 FROM clinical_data""")(lambda w: profiling.profile(w["clinical_data"]))
 
-columns_job("a14_export_clinical_features", "mart_risk_features_clinical", C.CLINICAL_EXPORT)
-table_job("a14_export_genomic_features", "mart_risk_features_genomic", _GENOMIC_DIGITS)
-table_job("a14_export_combined_features", "mart_risk_features_combined", {"mean_expression": 9})
-table_job("a14_export_drug_sensitivity", "mart_drug_sensitivity", {"ic50_um": 15})
+columns_job("a14_export_clinical_features", "mart_risk_features_clinical", C.CLINICAL_EXPORT, order=["sample_id"])
+table_job("a14_export_genomic_features", "mart_risk_features_genomic", _GENOMIC_DIGITS, ["sample_id"])
+table_job("a14_export_combined_features", "mart_risk_features_combined", {"mean_expression": 9}, ["sample_id"])
+table_job("a14_export_drug_sensitivity", "mart_drug_sensitivity", {"ic50_um": 15}, ["drug_name", "cell_line"])
 _REC = ["sample_id", "sclc_subtype", "drug_rank", "drug_name", "recommendation_score", "recommendation_priority",
         "treatment_rationale"]
-columns_job("a14_export_recommendations", "mart_treatment_recommendations", _REC)
-table_job("a14_export_gene_expression", "stg_gene_expression", {"log2_expression": 9})
-table_job("a14_export_clinical_raw", "clinical_data")
-table_job("a14_export_paper_metadata", "papers")
+columns_job("a14_export_recommendations", "mart_treatment_recommendations", _REC, order=["sample_id", "drug_rank"])
+table_job("a14_export_gene_expression", "stg_gene_expression", {"log2_expression": 9}, ["sample_id", "gene_symbol"])
+table_job("a14_export_clinical_raw", "clinical_data", order=["patient_id"])
+table_job("a14_export_paper_metadata", "papers", order=["pmc_id"])
 
 # -- B: projections and filters ------------------------------------------------------------
 
@@ -251,7 +257,7 @@ def _quoted(text: str) -> str:
 job("b52_lookup_texts", f"""
 SELECT g.sample_id, t.nature, t.marker, t.therapy, coalesce(t.targets, {_quoted(C.SUBTYPE_TARGET_REST)}) AS targets
 FROM (SELECT sample_id, sclc_subtype FROM core_biomarkers) g LEFT JOIN (VALUES {", ".join(
-    "(" + ", ".join(_quoted(x) for x in (s, *C.SUBTYPE_THERAPY[s], lookups.bulleted(C.SUBTYPE_TARGETS[s]))) + ")"
+    "(" + ", ".join(_quoted(x) for x in (s, *C.SUBTYPE_THERAPY[s], C.SUBTYPE_TARGETS[s])) + ")"
     for s in C.SUBTYPES)}) t(subtype, nature, marker, therapy, targets) ON g.sclc_subtype = t.subtype""")(
     lambda w: lookups.with_subtype_texts(w["core_biomarkers"].select("sample_id", "sclc_subtype"))
     .select("sample_id", "nature", "marker", "therapy", "targets"))
@@ -405,8 +411,12 @@ job("f2_first_expression_ids", "SELECT DISTINCT sample_id FROM stg_gene_expressi
     lambda w: w["stg_gene_expression"].select("sample_id").distinct().orderBy("sample_id").limit(20))
 job("f2_first_genomic_ids", "SELECT DISTINCT sample_id FROM mart_risk_features_genomic ORDER BY sample_id LIMIT 20")(
     lambda w: w["genomic_features"].select("sample_id").distinct().orderBy("sample_id").limit(20))
-job("f3_preview_genomic")(lambda w: w["mart_risk_features_genomic"].limit(10))
-job("f3_preview_expression")(lambda w: w["stg_gene_expression"].limit(20))
+job("f3_preview_genomic", "SELECT sample_id, sclc_subtype FROM mart_risk_features_genomic ORDER BY sample_id LIMIT 10")(
+    lambda w: w["mart_risk_features_genomic"].select("sample_id", "sclc_subtype").orderBy("sample_id").limit(10))
+job("f3_preview_expression", """
+SELECT sample_id, gene_symbol, expression_value FROM stg_gene_expression ORDER BY sample_id, gene_symbol, expression_value LIMIT 20""")(
+    lambda w: w["stg_gene_expression"].select("sample_id", "gene_symbol", "expression_value").orderBy(
+        "sample_id", "gene_symbol", "expression_value").limit(20))
 job("f4_top3_per_sample", f"SELECT {', '.join(_REC)} FROM mart_treatment_recommendations WHERE drug_rank <= 3 ORDER BY sample_id, drug_rank LIMIT 30")(
     lambda w: w["mart_treatment_recommendations"].where(F.col("drug_rank") <= 3).select(*_REC)
     .orderBy("sample_id", "drug_rank").limit(30))
@@ -449,6 +459,6 @@ SELECT c_custkey, upper(trim(' ' || c_name)) AS h1, coalesce(nullif(c_mktsegment
         "length(c_name || c_mktsegment) AS h7", "parse_json(to_json(struct(c_nationkey AS k))):k::int AS h8",
         "timestamp_millis(c_custkey * 1000) AS h9", "sha2(c_name, 256) AS h12", "replace(split_part(c_name, '#', 2), '0', 'o') AS h13",
         "regexp_extract(c_name, '([0-9]+)', 1) AS h14", "isnan(c_acctbal) OR c_acctbal IS NULL AS h17"), {"h4": 6}))
-columns_job("k20_clinical_training_extract", "mart_risk_features_clinical", C.CLINICAL_EXPORT)
+columns_job("k20_clinical_training_extract", "mart_risk_features_clinical", C.CLINICAL_EXPORT, order=["sample_id"])
 columns_job("k20_genomic_training_extract", "mart_risk_features_genomic", C.SUBTYPE_EXTRACT,
-            {"mean_expression": 9, "stddev_expression": 9})
+            {"mean_expression": 9, "stddev_expression": 9}, ["sample_id"])

@@ -34,24 +34,24 @@ def _selected(w):
 
 def _risk_scores(w):
     clinical = w["mart_risk_features_clinical"]
-    model, _ = ml.train_risk(clinical, trees=50)
+    model, _ = ml.train_risk(clinical)
     return ml.score_risk(model, clinical.select("sample_id", *C.RISK_FEATURES))
 
 
 def _subtype_scores(w):
     genomic = w["mart_risk_features_genomic"]
-    model, _ = ml.train_subtype(genomic, trees=30)
+    model, _ = ml.train_subtype(genomic)
     return ml.score_subtype(model, genomic.select("sample_id", *C.SUBTYPE_FEATURES))
 
 
 job("k3_imputed_and_scaled")(_scaled)
 job("k4_selected_features")(_selected)
-job("k7_risk_forest_metrics")(lambda w: ml.train_risk(w["mart_risk_features_clinical"], trees=200)[1])
-job("k8_subtype_forest_metrics")(lambda w: ml.train_subtype(w["mart_risk_features_genomic"], trees=100)[1])
+job("k7_risk_forest_metrics")(lambda w: ml.train_risk(w["mart_risk_features_clinical"], folds=5)[1])
+job("k8_subtype_forest_metrics")(lambda w: ml.train_subtype(w["mart_risk_features_genomic"], folds=5)[1])
 job("k12_risk_scores")(_risk_scores)
 job("k13_subtype_scores")(_subtype_scores)
 job("f13_feature_importance")(
-    lambda w: ml.importance(ml.train_risk(w["mart_risk_features_clinical"], trees=50)[0], C.RISK_FEATURES))
+    lambda w: ml.importance(ml.train_risk(w["mart_risk_features_clinical"])[0], C.RISK_FEATURES))
 job("k17_sample_components")(lambda w: ml.sample_components(matrix(w)))
 job("k18_classifier_comparison")(
     lambda w: ml.compare_classifiers(labels(w).select("sample_id", "z_label", *S.MARKERS), "z_label", S.MARKERS, trees=50, rounds=10))

@@ -5,7 +5,7 @@ RAW = {
         "study_id string, patient_id string, sample_id string, mutation_count bigint, "
         "tmb_nonsynonymous double, overall_survival_months double, overall_survival_status string, "
         "sex string, diagnosis_age bigint, smoker string, smoking_history string, "
-        "stage_at_diagnosis string"
+        "stage_at_diagnosis string, oncotree_code string, t_stage string, n_stage string, m_stage string"
     ),
     "gene_expression": "gene_symbol string, sample_id string, expression_value double",
     "compounds": "nsc string, cas string, drug_name string",
@@ -21,11 +21,6 @@ RAW = {
     ),
 }
 
-EVENT_CONTENT = (
-    "event_id string, event_type string, timestamp string, user_type string, user_id string, "
-    "session_id string, button_name string, status string, source string"
-)
-
 # Quoted headers of the clinical seed file.
 CLINICAL_SEED_RENAMES = {
     "Study ID": "study_id",

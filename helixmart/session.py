@@ -42,7 +42,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="helixmart-ckpt-"))
+        sc.setCheckpointDir(folder or _own_folder(spark, "ckpt"))
     return df.checkpoint()
 
 
@@ -51,4 +51,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return _own_folder(spark, name)
+
+
+def _own_folder(spark: SparkSession, name: str) -> str:
+    """A temporary folder of this machine, which only a local session may use."""
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return tempfile.mkdtemp(prefix=f"helixmart-{name}-")

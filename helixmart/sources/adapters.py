@@ -17,7 +17,11 @@ SELECT c_mktsegment AS study_id, ' p' || CAST(c_custkey AS STRING) AS patient_id
  CASE WHEN c_custkey % 19 = 0 THEN NULL ELSE 35 + (c_custkey*29) % 55 END AS diagnosis_age,
  CASE c_custkey % 5 WHEN 0 THEN 'Current smoker' WHEN 1 THEN 'Former smoker' END AS smoker,
  CASE c_custkey % 7 WHEN 0 THEN 'Never smoked' WHEN 1 THEN 'Current' END AS smoking_history,
- CASE c_custkey % 6 WHEN 0 THEN 'I' WHEN 1 THEN 'IIB' WHEN 2 THEN 'IIIA' WHEN 3 THEN 'IV' WHEN 4 THEN 'Limited' END AS stage_at_diagnosis
+ CASE c_custkey % 6 WHEN 0 THEN 'I' WHEN 1 THEN 'IIB' WHEN 2 THEN 'IIIA' WHEN 3 THEN 'IV' WHEN 4 THEN 'Limited' END AS stage_at_diagnosis,
+ CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'SCLC' END AS oncotree_code,
+ CASE c_custkey % 5 WHEN 0 THEN 'T1' WHEN 1 THEN 'T2' WHEN 2 THEN 'T3' WHEN 3 THEN 'T4' END AS t_stage,
+ CASE c_custkey % 4 WHEN 0 THEN 'N0' WHEN 1 THEN 'N1' WHEN 2 THEN 'N2' END AS n_stage,
+ CASE c_custkey % 3 WHEN 0 THEN 'M0' WHEN 1 THEN 'M1' END AS m_stage
 FROM customer
 """
 

@@ -157,9 +157,11 @@ def _one(xml: Column, path: str, rest: str) -> Column:
 def article_metadata(texts: DataFrame, xml: str = "text") -> DataFrame:
     """Bibliographic XML to title, abstract, authors and DOI, with stated defaults."""
     x = F.col(xml)
-    both = "//Author[LastName and ForeName]"
-    people = F.zip_with(_texts(x, f"{both}/ForeName/text()"), _texts(x, f"{both}/LastName/text()"),
-                        lambda first, last: F.concat_ws(" ", first, last))
+    # Names are read author by author, so an empty part of one cannot shift the others.
+    authors = F.regexp_extract_all(x, F.lit(r"(?s)<Author(?:\s[^>]*)?>.*?</Author>"), F.lit(0))
+    part = lambda a, name: F.get(F.xpath(a, F.lit(f"/Author/{name}/text()")), F.lit(0))
+    named = F.filter(authors, lambda a: F.xpath_boolean(a, F.lit("/Author[LastName and ForeName]")))
+    people = F.transform(named, lambda a: F.concat_ws(" ", part(a, "ForeName"), part(a, "LastName")))
     abstract = F.array_join(_texts(x, "//AbstractText/text()"), " ")
     return texts.where(F.xpath_boolean(x, F.lit("//PubmedArticle"))).select(
         *[c for c in texts.columns if c != xml],

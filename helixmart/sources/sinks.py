@@ -17,8 +17,3 @@ def materialise(df: DataFrame, path: str, sort_within: list[str] | None = None)
 def append_ledger(rows: DataFrame, path: str) -> None:
     """Append processed marks with their time; callers anti-join the ledger first, so a rerun adds nothing."""
     rows.withColumn("processed_at", F.current_timestamp()).write.mode("append").parquet(path)
-
-
-def append_vectors(rows: DataFrame, path: str) -> None:
-    """One columnar append of typed vectors with the load time."""
-    rows.where("is_valid").drop("is_valid").withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(path)

@@ -157,7 +157,7 @@ def test_gap_sessions_equal_brute_force(spark):
     rnd = random.Random(4)
     rows = [("u1" if i % 3 else "u2", 1_700_000_000 + rnd.randint(0, 200_000)) for i in range(400)]
     df = spark.createDataFrame(rows, "user_id string, s bigint").withColumn("app_timestamp", F.timestamp_seconds("s"))
-    got = sorted((r["user_id"], r["n_events"]) for r in E.gap_sessions(df).collect())
+    got = sorted((r["user_id"], r["n_events"]) for r in E.gap_sessions(df, "user_id").collect())
     want = []
     for user in ("u1", "u2"):
         times = sorted(t for u, t in rows if u == user)

@@ -45,9 +45,10 @@ def test_article_xml(spark, tmp_path):
     (tmp_path / "a.xml").write_text(
         "<Set><PubmedArticle><ArticleTitle>T</ArticleTitle><AbstractText>A1</AbstractText><AbstractText>A2</AbstractText>"
         "<AuthorList><Author><LastName>Doe</LastName><ForeName>Jo</ForeName></Author><Author><LastName>Solo</LastName></Author>"
+        "<Author><LastName>Bare</LastName><ForeName></ForeName></Author><Author><LastName>Roe</LastName><ForeName>Al</ForeName></Author>"
         "</AuthorList></PubmedArticle></Set>")
     row = files.article_metadata(files.whole_texts(spark, str(tmp_path / "a.xml"))).drop("path").first()
-    assert row.asDict() == {"title": "T", "abstract": "A1 A2", "authors": "Jo Doe", "doi": "No DOI available"}
+    assert row.asDict() == {"title": "T", "abstract": "A1 A2", "authors": "Jo Doe, Bare, Al Roe", "doi": "No DOI available"}
     (tmp_path / "b.xml").write_text("<Set><PubmedArticle><ArticleId IdType='pmc'>1</ArticleId><ArticleId IdType='doi'>10.1/x</ArticleId>"
                                     "</PubmedArticle></Set>")
     row = files.article_metadata(files.whole_texts(spark, str(tmp_path / "b.xml"))).drop("path").first()
