@@ -1,8 +1,8 @@
 """Scoring a large table against a set of probe rows without a cross join.
 
-The large side is scanned once in Arrow batches; each batch is scored against all
-probes with one matrix product and leaves only its own best rows, so no pair is
-ever written out. Probes are shared with the tasks only while their number stays
+The large side is scanned once in Arrow batches, scored in blocks of bounded size
+against all probes. A task keeps the best rows (or the count) per probe over all its
+batches and writes them once, so its output does not grow with its input. Probes are shared with the tasks only while their number stays
 within MAX_PROBES. Beyond that both sides are cut into tiles by key and salt and
 met tile by tile through a shuffle, with the same result.
 """
@@ -19,30 +19,43 @@ from helixmart.functions import constants as C
 
 MAX_PROBES = 4096
 TILE_ROWS = 50_000
+#: Scores held at once by a task: 32 MB of doubles.
+BLOCK_SCORES = 4_000_000
 
 Kernel = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
+Trim = Callable[[pd.DataFrame], pd.DataFrame]
 
 
 def probe_scan(corpus: DataFrame, probes: DataFrame, kernel: Kernel, schema: str,
-               max_probes: int = MAX_PROBES) -> tuple[DataFrame, bool]:
+               max_probes: int = MAX_PROBES, trim: Trim | None = None) -> tuple[DataFrame, bool]:
     """Apply ``kernel(corpus rows, probe rows)`` to every combination of both sides.
 
-    Returns partial results and whether a corpus row met the probes in several tiles.
+    ``trim`` reduces the results a task has so far to what can still matter. Returns partial results and whether a
+    corpus row met the probes in several tiles.
     """
     head = probes.limit(max_probes + 1).toPandas()
     if len(head) <= max_probes:
         shared = corpus.sparkSession.sparkContext.broadcast(head)
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch) and len(shared.value):
-                    yield kernel(batch, shared.value)
+            block, kept = shared.value, None
+            step = max(1, BLOCK_SCORES // max(1, len(block)))
+            for batch in batches if len(block) else ():
+                for at in range(0, len(batch), step):
+                    part = kernel(batch.iloc[at : at + step], block)
+                    if trim is None:
+                        yield part
+                    else:
+                        kept = trim(part if kept is None else pd.concat([kept, part], ignore_index=True))
+            if kept is not None:
+                yield kept
 
         return corpus.mapInPandas(scan, schema), False
 
     tiles = -(-2 * probes.count() // max_probes)
     salts = max(1, -(-corpus.count() // TILE_ROWS))
-    left = corpus.withColumn("_salt", F.pmod(F.xxhash64(corpus.columns[0]), F.lit(salts))).withColumn(
+    # By row number, since equal rows must not share a tile; results do not depend on it.
+    left = corpus.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))).withColumn(
         "_tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
     right = probes.withColumn("_tile", F.pmod(F.xxhash64(probes.columns[0]), F.lit(tiles)).cast("int")).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -70,6 +83,11 @@ def _best_rows(scores: np.ndarray, ids: np.ndarray, keep: np.ndarray, k: int) ->
     return at
 
 
+def _first_k(keys: list[str], ascending: list[bool], k: int) -> Trim:
+    """The first k rows of each probe (the first key) in the order of the other keys."""
+    return lambda found: found.sort_values(keys, ascending=ascending, kind="stable").groupby(keys[0], sort=False).head(k)
+
+
 def _same_space(corpus: DataFrame, probes: DataFrame, column: str) -> DataFrame:
     """Refuse to compare vectors of different models where both sides name one."""
     if "model" in corpus.columns and "model" in probes.columns:
@@ -95,7 +113,8 @@ def vector_top_k(corpus: DataFrame, probes: DataFrame, corpus_id: str, probe_id:
     ids = dict(corpus.dtypes)[corpus_id], dict(probes.dtypes)[probe_id]
     partial, _ = probe_scan(
         _same_space(corpus, probes, vector).select(corpus_id, vector), probes.select(probe_id, vector), kernel,
-        f"{probe_id} {ids[1]}, {corpus_id} {ids[0]}, score double", max_probes)
+        f"{probe_id} {ids[1]}, {corpus_id} {ids[0]}, score double", max_probes,
+        _first_k([probe_id, "score", corpus_id], [True, False, True], k))
     order = W.partitionBy(probe_id).orderBy(F.desc("score"), F.asc(corpus_id))
     return partial.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
@@ -135,7 +154,8 @@ def range_counts(corpus: DataFrame, probes: DataFrame, columns: list[str], probe
 
     kind = dict(probes.dtypes)[probe_id]
     partial, _ = probe_scan(corpus.select(*columns), probes.select(probe_id, *columns), kernel,
-                            f"{probe_id} {kind}, n bigint", max_probes)
+                            f"{probe_id} {kind}, n bigint", max_probes,
+                            lambda found: found.groupby(probe_id, as_index=False, sort=False).sum())
     return partial.groupBy(probe_id).agg(F.sum("n").alias("n"))
 
 
@@ -156,6 +176,7 @@ def nearest_rows(corpus: DataFrame, probes: DataFrame, columns: list[str], corpu
     kinds = dict(corpus.dtypes)[corpus_id], dict(probes.dtypes)[probe_id]
     partial, _ = probe_scan(
         corpus.select(corpus_id, *columns, *extra), probes.select(probe_id, *columns), kernel,
-        ", ".join([f"{probe_id} {kinds[1]}, {corpus_id} {kinds[0]}, distance double", *[f"{c} string" for c in extra]]), max_probes)
+        ", ".join([f"{probe_id} {kinds[1]}, {corpus_id} {kinds[0]}, distance double", *[f"{c} string" for c in extra]]), max_probes,
+        _first_k([probe_id, "distance", corpus_id], [True, True, True], k))
     order = W.partitionBy(probe_id).orderBy("distance", corpus_id)
     return partial.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
