@@ -46,18 +46,21 @@ def _known(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
-def count_similar(queries: DataFrame, patients: DataFrame) -> DataFrame:
-    """Patients within ten years and five mutations/Mb of each query patient."""
+def with_similar_count(queries: DataFrame, patients: DataFrame) -> DataFrame:
+    """The query rows, each with the number of patients within ten years and five mutations/Mb. Rows meet their
+    count by age and burden, so repeated ids are not multiplied."""
     widths = {"age": AGE_WIDTH, "tmb": TMB_WIDTH}
     names = list(widths)
     cells = _known(patients, names).groupBy(*names).agg(F.count("*").alias("n"))
     wanted = _known(queries, names).select(*names).distinct()
     counts = _near_cells(wanted, cells, widths).groupBy("q_age", "q_tmb").agg(F.sum("n").alias("n"))
-    return (
-        queries.select("sample_id", "age", "tmb")
-        .join(counts.withColumnsRenamed({"q_age": "age", "q_tmb": "tmb"}), names, "left")
-        .select("sample_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("similar_patients_found"))
-    )
+    met = queries.join(counts.withColumnsRenamed({"q_age": "age", "q_tmb": "tmb"}), names, "left")
+    return met.select(*queries.columns, F.coalesce("n", F.lit(0)).cast("bigint").alias("similar_patients_found"))
+
+
+def count_similar(queries: DataFrame, patients: DataFrame) -> DataFrame:
+    """Patients within ten years and five mutations/Mb of each query patient."""
+    return with_similar_count(queries.select("sample_id", "age", "tmb"), patients).select("sample_id", "similar_patients_found")
 
 
 def _steps(low: Column, high: Column, width: float) -> Column:
@@ -204,9 +207,8 @@ def profile_agreement(hits: DataFrame, query_id: str = "query_subtype") -> DataF
 
 def risk_analysis(patients: DataFrame, cohort: DataFrame, score: str = "risk_score") -> DataFrame:
     """Score, level, cohort count and prompt per patient in one row."""
-    counted = count_similar(patients, cohort)
     n = F.col("similar_patients_found").cast("string")
-    return patients.join(counted, "sample_id").select(
+    return with_similar_count(patients, cohort).select(
         "sample_id", F.col(score).alias("risk_score"),
         lookups.risk_level(F.col(score)).alias("risk_level"),
         "similar_patients_found",

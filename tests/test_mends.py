@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from helixmart.functions.rules import to_double
-from helixmart.operators import documents, events
+from helixmart.operators import documents, events, similarity
 from helixmart.operators.ranking import group_quantiles
 from helixmart.plans import oracle_sql, queries
 
@@ -38,3 +38,10 @@ def test_extracts_are_in_order(spark, tiny):
     keys = [r["sample_id"] for r in rows]
     assert len(keys) > 1 and keys == sorted(keys)
     assert "ORDER BY" in oracle_sql()["k20_genomic_training_extract"]
+
+
+def test_repeated_patients_are_not_multiplied(spark):
+    rows = [("a", 50, 2.0, 1, 3.0, 10), ("a", 50, 2.0, 1, 3.0, 10), ("a", 70, 9.0, 0, 5.0, 20), ("b", None, 1.0, 1, 2.0, 5)]
+    df = spark.createDataFrame(rows, "sample_id string, age long, tmb double, is_male int, risk_score double, mutation_count long")
+    got = sorted((r["sample_id"], r["similar_patients_found"]) for r in similarity.risk_analysis(df, df).collect())
+    assert got == [("a", 1), ("a", 2), ("a", 2), ("b", 0)]
