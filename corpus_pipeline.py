@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from helixmart.llm import toxicity
-from helixmart.llm.common import stored, table
+from helixmart.llm.common import maybe_in, stored, table
 from helixmart.llm.decontaminate import contaminated
 from helixmart.llm.jaccard import jaccard_groups
 from helixmart.llm.packing import TOKENIZER, pack
@@ -21,8 +21,12 @@ from helixmart.llm.secrets import redacted, scan
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows of the (doc_id, tie) in ``gone``; tie is the hash of a row's text."""
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).distinct()
-    return docs.join(stored(gone), docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__tie")), "left_anti")
+    gone = stored(gone.select(F.col("doc_id").cast("long").alias("__id"), F.col("tie").alias("__tie")).distinct())
+    marked = docs.withColumn("__k", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    marked = marked.withColumn("__maybe", maybe_in(F.col("__k"), gone.select(F.xxhash64("__id", "__tie").alias("k"))))
+    some = marked.where("__maybe").join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (
+        F.xxhash64("text") == F.col("__tie")), "left_anti")
+    return marked.where("NOT __maybe").unionByName(some).drop("__k", "__maybe")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

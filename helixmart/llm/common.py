@@ -8,9 +8,10 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 #: Postings in one chunk of documents, and documents in it (row numbers are 16 bit).
@@ -136,23 +137,54 @@ def components(edges: DataFrame) -> DataFrame:
     Nodes without an edge to another node are left out.
     """
     now = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
-    while True:
+    while not _stars(now):
         both = now.union(now.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("a"), F.col("m").alias("b"))
         now = stored(small.union(least.select(F.col("u"), F.col("m"))).distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == mark:
-            break
-        mark = state
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+#: Bits of a key filter, and of one of its pages: 8 MB on the driver and in a broadcast, whatever the corpus.
+FILTER_BITS, PAGE_BITS = 26, 15
+
+
+def maybe_in(key: Column, keys: DataFrame) -> Column:
+    """False only where ``key`` (64-bit hash) is surely not among ``keys`` (one such column): rows that need no
+    exact join are told apart before any shuffle. The filter has a fixed size; when very many keys fill it, more
+    rows go through the exact join, and results stay the same."""
+    name = keys.columns[0]
+    place = F.shiftrightunsigned(F.col(name), 64 - FILTER_BITS)
+    places = keys.select(F.shiftright(place, PAGE_BITS).cast("int").alias("page"), place.bitwiseAND((1 << PAGE_BITS) - 1).cast("int").alias("bit"))
+
+    def fill(page, t):
+        bits = np.zeros(1 << PAGE_BITS, np.uint8)
+        bits[t["bit"].to_numpy()] = 1
+        return pa.table({"page": pa.array([page[0].as_py()], pa.int32()), "bits": [np.packbits(bits).tobytes()]})
+
+    filled = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for page, bits in places.distinct().groupBy("page").applyInArrow(fill, "page int, bits binary").collect():
+        filled[page << (PAGE_BITS - 3) : (page + 1) << (PAGE_BITS - 3)] = np.frombuffer(bits, np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(filled)
+
+    @F.pandas_udf("boolean")
+    def hit(values: pd.Series) -> pd.Series:
+        at = values.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+        return pd.Series((shared.value[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool))
+
+    return hit(key)
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most and those that have one are nobody's smaller neighbour."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
