@@ -5,7 +5,8 @@ of which the first is a left and the second a right symbol (by a bit of their na
 hash of what it stands for, so every task gives the same run or pair the same name. What happens to a symbol is
 decided by its neighbours only: in two texts that share ``WINDOW`` words, the symbols that lie at least
 ``MARGIN`` words inside are the same, and a symbol covers ``2 * 2`` words at most, so every window holds one
-whole. The one with the smallest name is the window's symbol.
+whole. The one with the smallest name is the window's symbol; with the words around it that decided it, it
+gets a name of the next level.
 
 Symbols that occur in one document only are dropped first: they travel as 32 bits each, packed by chunk of
 documents and bucket of names. Only windows whose symbol is shared travel as 96-bit digests of their words; the
@@ -61,27 +62,25 @@ def recompressed(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def window_symbols(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the symbols that some window chooses, and for every window which of them (as an index)."""
+    """Names of the symbols that some window chooses, and for every window which of them (as an index). A name
+    stands for the symbol with MARGIN words on either side, which every window that chooses it holds as well, so
+    short symbols of common words are not shared by chance."""
     count = len(h) - WINDOW + 1
     if count <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     names, start, end = recompressed(h)
     # Windows w with w + MARGIN <= start and end <= w + WINDOW - MARGIN see the symbol.
     low, high = np.maximum(end - (WINDOW - MARGIN), 0), np.minimum(start - MARGIN, count - 1)
-    best = np.full(count, np.iinfo(np.uint64).max, np.uint64)
-    chosen = np.full(count, -1, np.int64)
-    for d in range(WINDOW - 2 * MARGIN):
-        at = np.flatnonzero(low + d <= high)
-        w = low[at] + d
-        # Written from the largest name down, so that of several symbols at one window the smallest stays.
-        order = np.argsort(names[at], kind="stable")[::-1]
-        at, w = at[order], w[order]
-        better = (names[at] < best[w]) | (chosen[w] < 0)
-        at, w = at[better], w[better]
-        best[w] = names[at]
-        chosen[w] = at
+    # Symbols write themselves to all their windows from the largest name down, so the smallest name stays.
+    order = np.argsort(names, kind="stable")[::-1]
+    w = low[order, None] + np.arange(WINDOW - 2 * MARGIN)
+    seen = w <= high[order, None]
+    chosen = np.zeros(count, np.int64)
+    chosen[w[seen]] = np.broadcast_to(order[:, None], w.shape)[seen]
     used, index = np.unique(chosen, return_inverse=True)
-    return names[used], index
+    around = window_hashes(h, 1 + 2 * MARGIN)
+    first, last = around[start[used] - MARGIN], around[end[used] - MARGIN - 1]
+    return mixed((names[used] * MULTIPLIERS[0] + first) * MULTIPLIERS[1] + last), index
 
 
 def _table(rows: list[tuple]) -> pa.Table:
