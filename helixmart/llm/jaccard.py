@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from helixmart.llm.common import (
-    CHUNK_POSTINGS, CHUNK_ROWS, by_bucket, components, encoded, mixed, repeated, shuffle_buckets, stored, table,
+    CHUNK_POSTINGS, CHUNK_ROWS, by_bucket, components, encoded, maybe_in, mixed, repeated, shuffle_buckets, stored, table,
     text_batches, window_hashes, word_hashes,
 )
 
@@ -267,7 +267,8 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     pools = stored(components(stars).toDF("digest", "pool"))
     hubs = stars.groupBy("a").count().join(pools, F.col("a") == F.col("digest")).groupBy("pool").agg(
         F.max(F.struct("count", "a"))["a"].alias("hub"))
-    members = pools.join(sets, "digest")
+    # Both sides grow with the corpus, so these joins shuffle at every size.
+    members = pools.join(sets.hint("merge"), "digest")
     sizes = stored(members.groupBy("pool").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast(
         "int").alias("blocks")).join(hubs, "pool"))
     blocks = F.when((F.col("digest") == F.col("hub")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(
@@ -336,7 +337,8 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
             yield pa.RecordBatch.from_arrays([pa.array([digest], pa.binary()), pa.array([n]), pa.array([shingles(text, width).tobytes()], pa.binary())],
                                              ["digest", "n", "tokens"])
 
-    met = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
+    few = docs.where(maybe_in(F.xxhash64("doc_id", "tie"), chosen.select(F.xxhash64("_id", "_tie").alias("k"))))
+    met = few.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
     sets = stored(met.select("digest", "n", "text").mapInArrow(sets_of, "digest binary, n long, tokens binary"))
     groups = stored(components(links(sets, percent)))
     labelled = counts.join(groups.withColumnRenamed("node", "digest"), "digest", "left").withColumn(
