@@ -65,7 +65,7 @@ class WordEncoder:
     tried on a sample of words.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 900_000):
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         tries = [*_LETTERS, "the", "straße", "École", "ab", "a.", "Über,", "Ab,"]
         short, whole = _Known(self.tokenizer, True, {}), _Known(self.tokenizer, False, {})
