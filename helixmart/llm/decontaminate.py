@@ -98,19 +98,32 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     return stored(cuts.join(first, ["form", "item_id"], "left_semi").drop("form").dropDuplicates(["item_id", "item_at"]))
 
 
+def _places(hits: list[dict], width: int) -> list[list[dict]]:
+    """Where a document may hold the item: every diagonal (equal distance to the item) by itself, and stretches of
+    neighbouring diagonals, for copies with some words more or less."""
+    lines: dict[int, list[dict]] = {}
+    for x in hits:
+        lines.setdefault(x["at"] - x["item_at"], []).append(x)
+    near, last = [], None
+    for diagonal in sorted(lines):
+        if last is None or diagonal - last > 2:
+            near.append([])
+        near[-1].append(lines[diagonal])
+        last = diagonal
+    places = list(lines.values())
+    for band in near:
+        if len(band) > 1:
+            joined = sorted((x for line in band for x in line), key=lambda x: (x["at"], x["item_at"]))
+            cuts = [i for i in range(1, len(joined)) if joined[i]["at"] - joined[i - 1]["at"] > 3 * width]
+            places += [joined[i:j] for i, j in zip([0, *cuts], [*cuts, len(joined)], strict=True)]
+    return places
+
+
 def _agreeing(hits: list[dict], width: int) -> tuple[int, int, bool]:
     """Of one document's hits with one item: words of the item covered in the best place, windows, and whether all
     slots are the item's own."""
-    hits = sorted(hits, key=lambda x: (x["at"], x["item_at"]))
-    places, best = [], (0, 0, False)
-    for x in hits:  # a place: windows that follow each other with nearly the same distance to the item
-        for place in reversed(places[-8:]):
-            if abs((x["at"] - x["item_at"]) - (place[-1]["at"] - place[-1]["item_at"])) <= 2 and x["at"] - place[-1]["at"] <= 3 * width:
-                place.append(x)
-                break
-        else:
-            places.append([x])
-    for place in places:
+    best = (0, 0, False)
+    for place in _places(hits, width):
         pairs = Counter(p for x in place for p in set(zip(x["item_slots"], x["slots"], strict=True)) if p[0])
         ours, theirs = {}, {}
         for (a, b), _ in pairs.most_common():

@@ -37,6 +37,21 @@ def test_slots_must_agree():
     assert D._agreeing(item, 2)[1] == 3
 
 
+def test_repeated_sentences_are_covered_whole(spark):
+    """An item that repeats one template sentence 20 times has 20 diagonals at each start."""
+    rng = random.Random(2)
+    item = " ".join(f"then box {rng.randrange(1000)} goes to room {rng.randrange(1000)} today." for _ in range(20))
+    changed = " ".join(str(int(w) + 5000) if w.isdigit() else w for w in item.split())
+    longer = item.replace("today. then", "today. and then", 1)
+    scattered = " ".join(f"{noise(rng, 30)} then box {i} goes to room {i + 1}" for i in range(3))
+    got = found(spark, [noise(rng, 40) + " " + item + " " + noise(rng, 40), changed, longer, scattered], [(1, item)])
+    assert set(got) == {(0, 1), (1, 1), (2, 1)}
+    assert got[0, 1].same_slots and not got[1, 1].same_slots
+    assert got[0, 1].covered_words == got[1, 1].covered_words == got[0, 1].item_words == 160
+    short = "plus 1 plus 2 plus 3 plus 4 plus 5 plus 6 plus 7 plus 8 plus 9 plus 10 plus 11 plus"
+    assert found(spark, [short], [(1, short)])[0, 1].same_slots  # diagonals two words apart
+
+
 def test_equal_templates_and_odd_items(spark):
     items = [(5, OTHER), (4, OTHER), (None, OTHER), (6, None), (7, ""), (8, "too short"), (9, "1 2 3 4 5 6 7 8 9 10 11 12 13")]
     assert set(found(spark, [OTHER, "1 2 3 4 5 6 7 8 9 10 11 12 13"], items)) == {(0, 4)}
