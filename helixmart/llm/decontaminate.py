@@ -6,6 +6,10 @@ documents' windows by hash join; a fixed-size bitmap of the benchmark's hashes k
 shuffled. A document counts as contaminated by an item when windows that agree on their slots (each value of the
 item stands for one value throughout, and the other way round) cover enough of the item. So an item is found
 with other numbers, names and units as well, while texts that merely share a form are not.
+
+Items that windows cannot tell (short ones, those of names and numbers, scripts without spaces, and those that share
+a template with another item) are found word for word: the hash of the whole item's words meets that of as many words
+of the documents.
 """
 
 from __future__ import annotations
@@ -17,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixmart.llm.common import encoded, stored, table, text_batches, window_hashes, word_hashes
+from helixmart.llm.common import MULTIPLIERS, encoded, mixed, stored, table, text_batches, window_hashes, word_hashes
 
-#: Words of a window, literal words it must have, and words of an item that must be covered (all, if it has fewer).
+#: Words of a window, literal words it must have, and words of an item that must be covered (all that its windows hold,
+#: if they hold fewer).
 WIDTH, LITERALS, COVERED = 7, 4, 12
 #: Bits of the bitmap that documents are checked against: 4 MB, whatever the benchmark's size.
 BITMAP_BITS = 25
@@ -32,6 +37,12 @@ _NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty "
     "fifty sixty seventy eighty ninety hundred thousand million billion".split())
 _NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*%?([a-z/]*)\Z").match
+#: Characters of scripts that are written without spaces; each counts as a word where words are compared literally.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
+_LITERALS = re.compile(f"[{_UNSPACED}]|[^{_UNSPACED}]+").findall
+_IS_UNSPACED = re.compile(f"[{_UNSPACED}]").search
+#: Words of the anchor by which places of literal items are found before whole items are compared.
+ANCHOR = 7
 _EDGES = "\"'()[]{}<>.,;:!?…«»“”‘’`*_|"
 
 
@@ -77,8 +88,109 @@ def _windows(names: list[bytes], slots: list[str | None], width: int) -> tuple[n
 _HITS = "key long, doc_id long, tie long, at int, slots array<string>"
 
 
+class _Literals(dict):
+    """token -> its words as they stand, lower-cased and without punctuation at the edges; emptied when full."""
+
+    def __missing__(self, token: str) -> list[bytes]:
+        if len(self) > 300_000:
+            self.clear()
+        found = [encoded(w) for piece in _LITERALS(token.lower()) if (w := piece.strip(_EDGES))]
+        if len(token) <= 64:  # a text without spaces is one token
+            self[token] = found
+        return found
+
+
+_LITERAL_WORDS = _Literals()
+
+
+def literals(text: str | None) -> list[bytes]:
+    return [w for token in (text or "").split() for w in _LITERAL_WORDS[token]]
+
+
+def range_hashes(h: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` values from each start on, in one step whatever the length: differences of running sums
+    of values times powers of an odd number, brought to one power."""
+    m = int(MULTIPLIERS[1])
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(len(h), m, np.uint64)) * np.uint64(pow(m, -1, 1 << 64))
+        back = np.cumprod(np.full(len(h), pow(m, -1, 1 << 64), np.uint64)) * np.uint64(m)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h) * powers)])
+        return mixed((sums[starts + length] - sums[starts]) * back[starts] + np.uint64(length))
+
+
+def literal_items(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(key, anchor, length, item_id, item_words) of the items that must be met word for word.
+
+    These are items without any window, with words of a script without spaces, and of a template that an item of
+    smaller id has with other slots (they count as that item). Items of numbers and units alone are left out.
+    """
+
+    def cut(batches):
+        for item, text in text_batches(batches, ["item_id", "text"]):
+            names, slots = template(text)
+            words = literals(text)
+            if not words or all(n in (b"<number>", b"<unit>") for n in names):
+                continue
+            h = word_hashes(words)
+            alone = not _windows(names, slots, width)[1].any() or bool(_IS_UNSPACED(text))
+            # Without windows a template tells nothing; such items are one only if their words are.
+            form = b" ".join([b"=", *words] if alone else names).decode("utf-8", "replace")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range_hashes(h, np.zeros(1, np.int64), len(h)).view(np.int64)),
+                 pa.array(window_hashes(h[:ANCHOR], min(ANCHOR, len(h))).view(np.int64)), pa.array([len(h)], pa.int32()),
+                 pa.array([item], pa.int64()), pa.array([max(len(names), 1)], pa.int32()), pa.array([form]), pa.array([alone])],
+                ["key", "anchor", "length", "item_id", "item_words", "form", "alone"])
+
+    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    rows = items.mapInArrow(cut, "key long, anchor long, length int, item_id long, item_words int, form string, alone boolean")
+    # One row per wording of a template; its first wording has windows, unless the template stands alone.
+    wordings = rows.groupBy("form", "alone", "key", "length").agg(F.min("item_id").alias("own"), F.first("anchor").alias("anchor"),
+                                                                  F.first("item_words").alias("item_words"))
+    first = wordings.groupBy("form").agg(F.min("own").alias("item_id"))
+    return stored(wordings.join(first, "form").where("alone OR own > item_id").select("key", "anchor", "length", "item_id", "item_words"))
+
+
+def verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, tie, item_id, item_words): the documents (doc_id, tie, text) that hold one of ``literal_items``."""
+    lengths = sorted(r[0] for r in items.select("length").distinct().collect())
+    shared = docs.sparkSession.sparkContext.broadcast((_bitmap(items, "anchor"), _bitmap(items, "key")))
+
+    def cut(batches):
+        anchors, keys = shared.value
+        for doc_id, tie, text in text_batches(batches, ["doc_id", "tie", "text"]):
+            h = word_hashes(literals(text))
+            at = {n: np.flatnonzero(_marked(anchors, window_hashes(h, n))) for n in {min(ANCHOR, n) for n in lengths}}
+            for n in lengths:
+                starts = at[min(ANCHOR, n)]
+                starts = starts[starts + n <= len(h)]
+                if len(starts):
+                    found = np.unique(range_hashes(h, starts, n))
+                    found = found[_marked(keys, found)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(found.view(np.int64)), pa.array([n] * len(found), pa.int32()), pa.array([doc_id] * len(found), pa.int64()),
+                         pa.array([tie] * len(found), pa.int64())], ["key", "length", "doc_id", "tie"])
+
+    met = docs.mapInArrow(cut, "key long, length int, doc_id long, tie long").join(items.drop("anchor"), ["key", "length"])
+    return met.select("doc_id", "tie", "item_id", "item_words")
+
+
+def _bitmap(items: DataFrame, key: str) -> np.ndarray:
+    """Fixed-size bitmap of the upper bits of ``key``; filled from at most 2 ** BITMAP_BITS places."""
+    marks = items.select(F.shiftrightunsigned(F.col(key), 64 - BITMAP_BITS).alias("p")).distinct()
+    bitmap = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
+    for part in marks.toLocalIterator():
+        bitmap[part[0] >> 3] |= 1 << (part[0] & 7)
+    return bitmap
+
+
+def _marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = h >> np.uint64(64 - BITMAP_BITS)
+    return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(key, item_id, item_words, item_at, item_slots); items of one template count as the one of smallest id."""
+    """(key, item_id, item_words, reach, item_at, item_slots); reach is the number of the item's words that its windows
+    hold. Items of one template count as the one of smallest id."""
 
     def cut(batches):
         for item, text in text_batches(batches, ["item_id", "text"]):
@@ -87,13 +199,14 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
             at = np.flatnonzero(good)
             if len(at):
                 form = b" ".join(names).decode("utf-8", "replace")
+                reach = len(np.unique(at[:, None] + np.arange(width)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h[at].view(np.int64)), pa.array([item] * len(at), pa.int64()), pa.array([len(names)] * len(at), pa.int32()),
-                     pa.array(at, pa.int32()), pa.array([[s or "" for s in slots[i : i + width]] for i in at.tolist()], pa.list_(pa.string())),
-                     pa.array([form] * len(at))], ["key", "item_id", "item_words", "item_at", "item_slots", "form"])
+                     pa.array([reach] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array([[s or "" for s in slots[i : i + width]] for i in at.tolist()], pa.list_(pa.string())),
+                     pa.array([form] * len(at))], ["key", "item_id", "item_words", "reach", "item_at", "item_slots", "form"])
 
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    cuts = stored(items.mapInArrow(cut, "key long, item_id long, item_words int, item_at int, item_slots array<string>, form string"))
+    cuts = stored(items.mapInArrow(cut, "key long, item_id long, item_words int, reach int, item_at int, item_slots array<string>, form string"))
     first = cuts.groupBy("form").agg(F.min("item_id").alias("item_id"))
     return stored(cuts.join(first, ["form", "item_id"], "left_semi").drop("form").dropDuplicates(["item_id", "item_at"]))
 
@@ -139,25 +252,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     """(doc_id, tie, item_id, covered_words, item_words, n_windows, same_slots): one row per document (doc_id, text)
     and benchmark item (item_id, text) found in it; tie is a hash of the text.
 
-    Null and empty texts, and items of fewer than ``width`` words or without enough literal words, match nothing.
-    Items with one template count as the one with the smallest id; null item ids are ignored. Repeated rows of
+    Null and empty texts, and items of numbers and units alone, match nothing; items that only a verbatim copy can tell
+    (``literal_items``) have n_windows 0 unless windows found them too. Items with one template count as the one with
+    the smallest id; null item ids are ignored. Repeated rows of
     documents give one row. Empty tables give no rows.
     """
     spark = docs.sparkSession
     items = item_windows(benchmark, width)
-    marks = items.select(F.expr(f"shiftrightunsigned(key, {64 - BITMAP_BITS})").alias("p")).distinct()
-    bitmap = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)  # filled from at most 2 ** BITMAP_BITS places
-    for part in marks.toLocalIterator():
-        bitmap[part[0] >> 3] |= 1 << (part[0] & 7)
-    shared = spark.sparkContext.broadcast(bitmap)
+    shared = spark.sparkContext.broadcast(_bitmap(items, "key"))
 
     def cut(batches):
         bits, out = shared.value, []
         for doc_id, tie, text in text_batches(batches, ["doc_id", "tie", "text"]):
             names, slots = template(text)
             h, good = _windows(names, slots, width)
-            place = h >> np.uint64(64 - BITMAP_BITS)
-            good &= (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            good &= _marked(bits, h)
             for i in np.flatnonzero(good).tolist():
                 out.append((int(h[i].view(np.int64)), doc_id, tie, i, [s or "" for s in slots[i : i + width]]))
             if len(out) > 5000:
@@ -173,13 +282,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
         rows = t.select(["at", "item_at", "slots", "item_slots"]).to_pylist()
         words, n, same = _agreeing(list({(r["at"], r["item_at"]): r for r in rows}.values()), width)
         size = t["item_words"][0].as_py()
-        keep = words >= min(covered, size)
+        keep = words >= min(covered, t["reach"][0].as_py())
         return pa.table({"doc_id": t["doc_id"][:1], "tie": t["tie"][:1], "item_id": t["item_id"][:1], "covered_words": pa.array([words], pa.int32()),
                          "item_words": pa.array([size], pa.int32()), "n_windows": pa.array([n], pa.int32()),
                          "same_slots": [same]}).slice(0, int(keep))
 
-    return met.groupBy("doc_id", "tie", "item_id").applyInArrow(
+    found = met.groupBy("doc_id", "tie", "item_id").applyInArrow(
         judge, "doc_id long, tie long, item_id long, covered_words int, item_words int, n_windows int, same_slots boolean")
+    wordings = literal_items(benchmark, width)
+    if wordings.isEmpty():
+        return found
+    exact = verbatim(docs, wordings).select("doc_id", "tie", "item_id", F.col("item_words").alias("covered_words"), "item_words",
+                                            F.lit(0).alias("n_windows"), F.lit(True).alias("same_slots"))
+    return found.unionByName(exact).groupBy("doc_id", "tie", "item_id").agg(*[
+        F.max(c).alias(c) for c in ("covered_words", "item_words", "n_windows", "same_slots")])
 
 
 def _hit_batch(out: list[tuple]) -> pa.RecordBatch:

@@ -57,6 +57,25 @@ def test_equal_templates_and_odd_items(spark):
     assert set(found(spark, [OTHER, "1 2 3 4 5 6 7 8 9 10 11 12 13"], items)) == {(0, 4)}
 
 
+def test_every_item_with_words_is_found_verbatim(spark):
+    items = [(1, "Who Wrote Hamlet?"), (2, "What is 12 times 7 plus 30 minus 4"), (3, "Alan Turing Met Kurt Gödel In Vienna Before Paris And Rome"),
+             (4, "水的沸点是多少？"), (5, "the river near the Old Town Hall Of Prague Has 31 bridges"), (6, "In 1912 Anna Lee of 31 Elm Road"),
+             (7, "add 3 apples and 3 pears to the big box today"), (8, "add 3 apples and 5 pears to the big box today"), (9, "photosynthesis")]
+    rng = random.Random(3)
+    texts = [f"{noise(rng, 60)} {t} {noise(rng, 10)}" for _, t in items] + ["请问水的沸点是多少？谢谢", "wrote hamlet", "水的沸点是", "31 elm road of anna lee in 1912"]
+    got = found(spark, texts, items)
+    # Items 7 and 8 have one template and count as 7.
+    assert set(got) == {(i, n) for i, (n, _) in enumerate(items) if n != 8} | {(7, 7), (9, 4)}
+    assert got[0, 1].same_slots and got[0, 1].covered_words == got[0, 1].item_words == 3
+
+
+def test_range_hashes_do_not_depend_on_the_place():
+    h = D.word_hashes([b"a", b"b", b"c", b"d", b"a", b"b", b"c", b"e"])
+    for n in (1, 2, 3):
+        at = D.range_hashes(h, D.np.array([0, 4, 1]), n)
+        assert at[0] == at[1] == D.range_hashes(h[4:], D.np.array([0]), n)[0] and at[0] != at[2]
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "item_id long, text string")
     assert D.contaminated(docs, bench).count() == 0
