@@ -123,8 +123,9 @@ class FactorizationMachine:
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, bits: int = BITS) -> tuple:
     """Features and labels of at most ``rows`` documents of each label, with weights that restore the labels' shares.
 
-    Only (doc_id, toxic) pairs with a label 0 or 1 count; of several labels of one doc_id the largest holds. The
-    ids chosen are at most ``2 * rows``, so they may be broadcast.
+    Only (doc_id, toxic) pairs with a label 0 or 1 count; of several labels of one doc_id the largest holds. Of several
+    rows of one doc_id the one whose text has the smallest hash is taken. The ids chosen are at most ``2 * rows``, so
+    they may be broadcast, and as many rows reach the driver.
     """
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {int(r[0]): r[1] for r in known.groupBy("toxic").count().collect()}
@@ -135,12 +136,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     few = F.broadcast(spark.createDataFrame([(r[0], int(r[1])) for r in chosen], "doc_id long, toxic int"))
 
     def read(batches):
-        for doc_id, toxic, text in text_batches(batches, ["doc_id", "toxic", "text"]):
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id]), pa.array([toxic], pa.int32()), pa.array([features(text, bits).tobytes()])],
-                                             ["doc_id", "toxic", "x"])
+        for doc_id, toxic, tie, text in text_batches(batches, ["doc_id", "toxic", "tie", "text"]):
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id]), pa.array([toxic], pa.int32()), pa.array([tie], pa.int64()),
+                                              pa.array([features(text, bits).tobytes()])], ["doc_id", "toxic", "tie", "x"])
 
-    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id")
-    got = met.mapInArrow(read, "doc_id long, toxic int, x binary").toPandas().sort_values(["doc_id", "x"], ignore_index=True)
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text").join(few, "doc_id")
+    one = met.mapInArrow(read, "doc_id long, toxic int, tie long, x binary").groupBy("doc_id", "toxic").agg(F.min(F.struct("tie", "x")).alias("row"))
+    got = one.select("doc_id", "toxic", F.col("row.x").alias("x")).toPandas().sort_values(["doc_id", "x"], ignore_index=True)
     y = got["toxic"].to_numpy(float)
     share = {v: totals[v] / max(1, int((y == v).sum())) for v in totals}
     scale = sum(totals.values()) / max(1, len(y))

@@ -46,6 +46,18 @@ def test_odd_rows(spark):
     assert len(empty) == 1
 
 
+def test_one_row_of_a_repeated_id_is_learnt(spark):
+    rows = corpus(60, 4)
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(7, f"other{n} text", "x") for n in range(200)] + [(8, rows[8][1], "x")] * 50, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i, _, _ in rows], "doc_id long, toxic int")
+    x, y, weights = T.labelled_sample(docs, labels, rows=20)
+    assert len(x) == len(y) == len(weights) == 40 and y.sum() == 20
+    x, y, _ = T.labelled_sample(docs, labels, rows=100)
+    assert len(x) == 60 and y.sum() == 30
+    again = T.labelled_sample(docs.orderBy(T.F.desc("text")).repartition(7), labels, rows=100)[0]
+    assert all((a == b).all() for a, b in zip(x, again, strict=True))
+
+
 def test_nothing_to_learn_or_score(spark):
     docs = spark.createDataFrame([(1, "a text", "x")], SCHEMA)
     none = spark.createDataFrame([], "doc_id long, toxic int")
