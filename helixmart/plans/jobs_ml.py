@@ -54,6 +54,6 @@ job("f13_feature_importance")(
     lambda w: ml.importance(ml.train_risk(w["mart_risk_features_clinical"])[0], C.RISK_FEATURES))
 job("k17_sample_components")(lambda w: ml.sample_components(matrix(w)))
 job("k18_classifier_comparison")(
-    lambda w: ml.compare_classifiers(labels(w).select("sample_id", "z_label", *S.MARKERS), "z_label", S.MARKERS, trees=50, rounds=10))
+    lambda w: ml.compare_classifiers(labels(w).select("sample_id", "z_label", *S.MARKERS), "z_label", S.MARKERS))
 job("k19_marker_clusters")(
     lambda w: ml.cluster_markers(S.z_scores(S.marker_matrix(w["core_biomarkers"]), S.MARKERS), [f"z_{m}" for m in S.MARKERS]))

@@ -69,3 +69,16 @@ def test_leaderboard_ties(spark):
     rows = [("a", 0.9, 0.8, 0.7, 0.2), ("b", 0.9, 0.8, 0.7, 0.1), ("c", 0.9, 0.9, 0.1, 0.5)]
     df = spark.createDataFrame(rows, "model string, train_accuracy double, test_accuracy double, cv_mean double, cv_std double")
     assert [r["model"] for r in ml.leaderboard(df).collect()] == ["c", "b", "a"]
+
+
+def test_comparison_trains_whole_models(spark, monkeypatch):
+    from helixmart.plans import queries
+
+    used = []
+    monkeypatch.setattr(ml, "RandomForestClassifier", lambda **k: used.append(k["numTrees"]))
+    monkeypatch.setattr(ml, "GBTClassifier", lambda **k: used.append(k["maxIter"]))
+    monkeypatch.setattr(ml, "OneVsRest", lambda **k: None)
+    monkeypatch.setattr(ml, "preparation", lambda features: 1 / 0)  # nothing is fitted here
+    with pytest.raises(ZeroDivisionError):
+        queries()["k18_classifier_comparison"](spark, "/root/testdata/sf0.001")
+    assert sorted(used) == [200, 300]
