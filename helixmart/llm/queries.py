@@ -1,5 +1,6 @@
 """The registered queries of the training-data operators and the SQL that checks them."""
 
+from helixmart.llm.conversations import op12_conversations
 from helixmart.llm.decontaminate import op5_decontaminate
 from helixmart.llm.jaccard import op3_jaccard
 from helixmart.llm.nearest import nearest_sql, op7_nearest
@@ -10,6 +11,7 @@ from helixmart.llm.substrings import op8_substrings
 from helixmart.llm.token_files import op10_token_files
 from helixmart.llm.toxicity import op4_toxicity
 from helixmart.llm.url_filter import op1_url_filter, url_filter_sql
+from helixmart.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
@@ -22,6 +24,8 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_secrets": op9_secrets,
     "op10_token_files": op10_token_files,
+    "op12_conversations": op12_conversations,
+    "op13_whitening": op13_whitening,
 }
 ORACLE_SQL = {
     "op1_url_filter": url_filter_sql(),
