@@ -3,6 +3,7 @@
 from helixmart.llm.conversations import op12_conversations
 from helixmart.llm.decontaminate import op5_decontaminate
 from helixmart.llm.jaccard import op3_jaccard
+from helixmart.llm.language_model import op11_language_model
 from helixmart.llm.nearest import nearest_sql, op7_nearest
 from helixmart.llm.packing import op2_packing
 from helixmart.llm.secrets import op9_secrets
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_secrets": op9_secrets,
     "op10_token_files": op10_token_files,
+    "op11_language_model": op11_language_model,
     "op12_conversations": op12_conversations,
     "op13_whitening": op13_whitening,
 }
