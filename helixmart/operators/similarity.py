@@ -1,61 +1,33 @@
 """Similar patients and profiles for a whole batch of patients at once.
 
-Patients with the same age, burden and mutation count form one cell. Counts are
-summed per cell, and only the first k patients of a cell can be among the k
-nearest, so the range join meets distinct cells, never all pairs of patients.
+Patients of equal values form one cell of a k-d tree (operators/profiles.py). Counts take whole nodes of the tree,
+nearest patients come from the leaves that a distance reaches, so cells are met where they are dense and never in pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from helixmart.functions import constants as C, markers as M
 from helixmart.operators import lookups
 from helixmart.operators.probes import nearest_rows, range_counts
+from helixmart.operators.profiles import WithinRanges, counts_of_all, nearest_of_all
 
 AGE_WIDTH, TMB_WIDTH, MUTATION_WIDTH = 10, 5, 100
 
 
-def _binned(df: DataFrame, widths: dict[str, float]) -> DataFrame:
-    return df.withColumns({f"_{name}_bin": F.floor(F.col(name) / float(w)) for name, w in widths.items()})
-
-
-def _spread(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The range join multiplies rows, so its input is spread by number; adaptive merging of
-    the small input would leave the whole output to one task."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
-
-
-def _near_cells(query_cells: DataFrame, cells: DataFrame, widths: dict[str, float]) -> DataFrame:
-    """Equi-join on neighbouring bins with the exact ranges as residual; query columns get a q_ prefix."""
-    left = _binned(query_cells, widths)
-    for name in widths:
-        around = F.array(*[F.col(f"_{name}_bin") + step for step in (-1, 0, 1)])
-        left = left.withColumn(f"_{name}_bin", F.explode(around))
-    left = left.withColumnsRenamed({name: f"q_{name}" for name in widths})
-    left = _spread(left, [*[f"q_{name}" for name in widths], *[f"_{name}_bin" for name in widths]])
-    joined = left.join(_binned(cells, widths), [f"_{name}_bin" for name in widths])
-    for name, width in widths.items():
-        joined = joined.where(F.col(name).between(F.col(f"q_{name}") - width, F.col(f"q_{name}") + width))
-    return joined.drop(*[f"_{name}_bin" for name in widths])
-
-
-def _known(df: DataFrame, names: list[str]) -> DataFrame:
-    for name in names:
-        df = df.where(F.col(name).isNotNull())
-    return df
+def _met(rows: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows meet what was found for their point; no id is multiplied by repeated ids."""
+    return rows.join(found, [rows[c].cast("double") == found[c] for c in columns]).drop(*[found[c] for c in columns])
 
 
 def with_similar_count(queries: DataFrame, patients: DataFrame) -> DataFrame:
-    """The query rows, each with the number of patients within ten years and five mutations/Mb. Rows meet their
-    count by age and burden, so repeated ids are not multiplied."""
-    widths = {"age": AGE_WIDTH, "tmb": TMB_WIDTH}
-    names = list(widths)
-    cells = _known(patients, names).groupBy(*names).agg(F.count("*").alias("n"))
-    wanted = _known(queries, names).select(*names).distinct()
-    counts = _near_cells(wanted, cells, widths).groupBy("q_age", "q_tmb").agg(F.sum("n").alias("n"))
-    met = queries.join(counts.withColumnsRenamed({"q_age": "age", "q_tmb": "tmb"}), names, "left")
-    return met.select(*queries.columns, F.coalesce("n", F.lit(0)).cast("bigint").alias("similar_patients_found"))
+    """The query rows, each with the number of patients within ten years and five mutations/Mb; none where age or burden
+    is unknown."""
+    reach = {"age": AGE_WIDTH, "tmb": TMB_WIDTH}
+    counts = counts_of_all(queries, patients, reach)
+    met = queries.join(counts, [queries[c].cast("double") == counts[c] for c in reach], "left")
+    return met.select(*[queries[c] for c in queries.columns], F.coalesce("n", F.lit(0)).cast("bigint").alias("similar_patients_found"))
 
 
 def count_similar(queries: DataFrame, patients: DataFrame) -> DataFrame:
@@ -63,90 +35,25 @@ def count_similar(queries: DataFrame, patients: DataFrame) -> DataFrame:
     return with_similar_count(queries.select("sample_id", "age", "tmb"), patients).select("sample_id", "similar_patients_found")
 
 
-def _steps(low: Column, high: Column, width: float) -> Column:
-    return F.explode(F.sequence(F.floor(low / float(width)), F.floor(high / float(width))))
-
-
-_AGE_GRID = 2
-
-
-def _reach(wanted: DataFrame, first: DataFrame, names: list[str], step: float, with_age: bool, k: int) -> DataFrame:
-    """A distance within which every query cell surely finds k patients, where there is one.
-
-    Both sides are counted on a coarse grid. Grid fields that lie inside all ranges as a
-    whole give upper bounds on distance; the bound at which k patients are reached limits
-    the later join. Without k sure patients the full ranges apply, so nothing is lost.
-    """
-    limit_a, limit_t = int(AGE_WIDTH / _AGE_GRID), int(TMB_WIDTH / step)
-    grid = {"_ga": F.floor(F.col("age") / float(_AGE_GRID)), "_gt": F.floor(F.col("tmb") / step)}
-    if "mutation_count" in names:
-        grid["_gm"] = F.floor(F.col("mutation_count") / float(MUTATION_WIDTH))
-    keys, same = list(grid), [g for g in grid if g == "_gm"]
-    queries = wanted.withColumns(grid)
-    counted = first.withColumns(grid).groupBy(*keys).agg(F.count("*").alias("_n"))
-    blocks = {"_ka": F.floor(F.col("_ga") / float(limit_a)), "_kt": F.floor(F.col("_gt") / float(limit_t))}
-    near = queries.select(*keys).distinct().withColumns(blocks)
-    for block in blocks:
-        near = near.withColumn(block, F.explode(F.array(*[F.col(block) + d for d in (-1, 0, 1)])))
-    near = near.withColumnsRenamed({"_ga": "_qa", "_gt": "_qt"})
-    da, dt = F.abs(F.col("_ga") - F.col("_qa")), F.abs(F.col("_gt") - F.col("_qt"))
-    bound = (dt + 1) * step + ((da + 1) * _AGE_GRID if with_age else F.lit(0))
-    asked = ["_qa", "_qt", *same]
-    rings = (
-        near.join(counted.withColumns(blocks), [*blocks, *same]).where((da < limit_a) & (dt < limit_t))
-        .groupBy(*asked, bound.cast("double").alias("_bound")).agg(F.sum("_n").alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(
-            W.partitionBy(*asked).orderBy("_bound").rowsBetween(W.unboundedPreceding, 0)))
-    )
-    reach = rings.where(F.col("_upto") >= k).groupBy(*asked).agg(F.min("_bound").alias("reach"))
-    return queries.join(reach.withColumnsRenamed({"_qa": "_ga", "_qt": "_gt"}), keys, "left").select(*names, "reach")
-
-
-def _nearest(queries: DataFrame, patients: DataFrame, names: list[str], with_age: bool, step: float, k: int,
-             carry: list[str]) -> DataFrame:
-    in_cell = W.partitionBy(*names).orderBy("sample_id")
-    first = (
-        _known(patients, names).select("sample_id", *names, *[c for c in carry if c not in names])
-        .withColumn("_p", F.row_number().over(in_cell)).where(F.col("_p") <= k).drop("_p")
-    )
-    wanted = _known(queries, names).select(*names).distinct()
-    reach = F.coalesce(F.col("reach"), F.lit(float(AGE_WIDTH + TMB_WIDTH)))
-    near_a = F.least(reach, F.lit(float(AGE_WIDTH))) if with_age else F.lit(float(AGE_WIDTH))
-    near_t = F.least(reach, F.lit(float(TMB_WIDTH)))
-    bins = {"_age_bin": ("age", AGE_WIDTH, near_a), "_tmb_bin": ("tmb", step, near_t)}
-    if "mutation_count" in names:
-        bins["_mutation_bin"] = ("mutation_count", MUTATION_WIDTH, F.lit(float(MUTATION_WIDTH)))
-    left = _reach(wanted, first, names, step, with_age, k)
-    for bin_name, (name, width, radius) in bins.items():
-        left = left.withColumn(bin_name, _steps(F.col(name) - radius, F.col(name) + radius, width))
-    q_names = [f"q_{n}" for n in names]
-    left = _spread(left.withColumnsRenamed(dict(zip(names, q_names))), [*q_names, *bins])
-    right = first.withColumns({b: F.floor(F.col(n) / float(w)) for b, (n, w, _) in bins.items()})
-    gap = {n: F.abs(F.col(n) - F.col(f"q_{n}")) for n in names}
-    distance = gap["age"] + gap["tmb"] if with_age else gap["tmb"]
-    met = left.join(right, list(bins)).where(
-        (gap["age"] <= AGE_WIDTH) & (gap["tmb"] <= TMB_WIDTH) & (distance <= reach))
-    if "mutation_count" in names:
-        met = met.where(gap["mutation_count"] <= MUTATION_WIDTH)
-    order = W.partitionBy(*q_names).orderBy(distance, "sample_id")
-    ranked = (
-        met.drop(*bins, "reach").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-        .withColumnRenamed("sample_id", "neighbour_id")
-    )
-    back = queries.select(F.col("sample_id"), *[F.col(n).alias(f"q_{n}") for n in names])
-    return back.join(ranked, q_names)
+def _nearest(queries: DataFrame, patients: DataFrame, reach: dict[str, float], counted: list[str], k: int, carry: list[str]) -> DataFrame:
+    names = list(reach)
+    own = {c: f"_of_{c}" for c in ["age", "tmb", *carry]}
+    rows = patients.select("sample_id", *names, *[F.col(c).alias(n) for c, n in own.items()])
+    metric = WithinRanges(list(reach.values()), [n in counted for n in names])
+    found = nearest_of_all(queries, rows, names, "sample_id", k, list(own.values()), metric).withColumnRenamed("sample_id", "neighbour_id")
+    return _met(queries.select("sample_id", *names), found, names).select("sample_id", "neighbour_id", *[F.col(n).alias(c) for c, n in own.items()], "place")
 
 
 def nearest_by_burden(queries: DataFrame, patients: DataFrame, k: int = 5) -> DataFrame:
     """Up to five similar patients by burden difference."""
-    return _nearest(queries, patients, ["age", "tmb"], False, 0.5, k,
+    return _nearest(queries, patients, {"age": AGE_WIDTH, "tmb": TMB_WIDTH}, ["tmb"], k,
                     ["mutation_count", "target_survival_months", "target_event"])
 
 
 def nearest_by_age_and_burden(queries: DataFrame, patients: DataFrame, k: int = 8) -> DataFrame:
     """Up to eight patients, mutation count within 100 too, by age plus burden difference."""
-    return _nearest(queries, patients, ["age", "tmb", "mutation_count"], True, 1.0, k,
-                    ["target_survival_months", "target_category"])
+    return _nearest(queries, patients, {"age": AGE_WIDTH, "tmb": TMB_WIDTH, "mutation_count": MUTATION_WIDTH}, ["age", "tmb"], k,
+                    ["mutation_count", "target_survival_months", "target_category"])
 
 
 def cohort_summary(neighbours: DataFrame) -> DataFrame:
@@ -205,6 +112,52 @@ def profile_agreement(hits: DataFrame, query_id: str = "query_subtype") -> DataF
     )
 
 
+def similar_profiles_of_all(samples: DataFrame, genomic: DataFrame) -> DataFrame:
+    """For every sample the number of samples with any of the four markers within two units of its own."""
+    counts = counts_of_all(samples, genomic, dict.fromkeys(MARKER_COLUMNS, 2.0), any_of=True)
+    return _met(samples, counts, MARKER_COLUMNS).select(*samples.columns, F.col("n").alias("samples_found"))
+
+
+def nearest_profiles_of_all(samples: DataFrame, genomic: DataFrame, k: int = 5) -> DataFrame:
+    """The k closest samples of a known subtype for every sample, one row each."""
+    known = genomic.where(F.col("sclc_subtype").isNotNull() & (F.col("sclc_subtype") != "MIXED"))
+    found = nearest_of_all(samples, known, MARKER_COLUMNS, "sample_id", k, ["sclc_subtype"]).withColumnsRenamed(
+        {"sample_id": "neighbour_id", "sclc_subtype": "neighbour_subtype"})
+    return _met(samples.select("sample_id", *MARKER_COLUMNS), found, MARKER_COLUMNS).select("sample_id", "neighbour_id", "neighbour_subtype", "place", "distance")
+
+
+def agreement_of_all(samples: DataFrame, genomic: DataFrame, predicted: str, k: int = 5) -> DataFrame:
+    """The rows of ``samples`` with n_similar, n_matching, closest_id and the subtypes of their closest samples, of which
+    those equal to the column ``predicted`` match. At most k neighbours are gathered per profile."""
+    known = genomic.where(F.col("sclc_subtype").isNotNull() & (F.col("sclc_subtype") != "MIXED"))
+    found = nearest_of_all(samples, known, MARKER_COLUMNS, "sample_id", k, ["sclc_subtype"])
+    near = found.groupBy(*MARKER_COLUMNS).agg(F.sort_array(F.collect_list(F.struct("place", "sample_id", "sclc_subtype"))).alias("_near"))
+    return _met(samples, near, MARKER_COLUMNS).select(
+        *samples.columns, F.size("_near").cast("bigint").alias("n_similar"),
+        F.size(F.filter("_near", lambda x: x["sclc_subtype"] == F.col(predicted))).cast("bigint").alias("n_matching"),
+        F.col("_near")[0]["sample_id"].alias("closest_id"),
+        F.array_join(F.transform("_near", lambda x: x["sclc_subtype"]), ",").alias("near_subtypes"))
+
+
+def subtype_analysis_of_all(genomic: DataFrame, samples: DataFrame, predicted: str = "sclc_subtype") -> DataFrame:
+    """Prediction, marker summary, similar-profile count and prompt of every sample in one row."""
+    markers = {g: F.col(f"{g.lower()}_expression") for g in C.SUBTYPE_MARKERS}
+    n = F.col("samples_found").cast("string")
+    return similar_profiles_of_all(samples, genomic).select(
+        "sample_id", F.col(predicted).alias("predicted_subtype"), *M.marker_summary(markers), "samples_found",
+        F.concat(F.lit("Found "), n, F.lit(" samples with similar biomarker expression patterns")).alias("message"),
+        subtype_prompt(F.col(predicted)).alias("prompt"), F.lit("full_subtype_analysis").alias("analysis_type"))
+
+
+def subtype_flow_of_all(samples: DataFrame, genomic: DataFrame, predicted: str = "sclc_subtype") -> DataFrame:
+    """Factor dominance, fit per subtype and agreement of the closest samples for every sample."""
+    markers = {g: F.col(f"{g.lower()}_expression") for g in C.SUBTYPE_MARKERS}
+    fits = [points.alias(f"fit_{s[-1].lower()}") for s, points in M.compatibility(markers).items()]
+    return agreement_of_all(samples, genomic, predicted).select(
+        "sample_id", F.col(predicted).alias("predicted_subtype"), *M.factor_dominance(markers), *fits, "n_similar", "n_matching", "closest_id",
+        "near_subtypes")
+
+
 def risk_analysis(patients: DataFrame, cohort: DataFrame, score: str = "risk_score") -> DataFrame:
     """Score, level, cohort count and prompt per patient in one row."""
     n = F.col("similar_patients_found").cast("string")

@@ -138,3 +138,53 @@ FROM (SELECT query_subtype, ascl1_expression a, neurod1_expression n, pou2f3_exp
  greatest(a, n, p, y) AS v FROM centroid) JOIN profile_match USING (query_subtype)""")(
     lambda w: rounded(S.subtype_flow(S.subtype_centroids(w["genomic_features"]), w["genomic_features"]),
                       {"dominance_ratio": 6, "ne_sum": 6, "non_ne_sum": 6}))
+
+# -- every sample as its own probe -------------------------------------------------------------
+
+V["sample_profile_count"] = f"""
+SELECT q.sample_id, count(*) AS samples_found FROM mart_risk_features_genomic q JOIN mart_risk_features_genomic g
+ON {" OR ".join(f"g.{c} BETWEEN q.{c} - 2 AND q.{c} + 2" for c in S.MARKER_COLUMNS)} GROUP BY q.sample_id"""
+V["sample_neighbours"] = f"""
+SELECT q.sample_id, q.sclc_subtype AS predicted, g.sample_id AS neighbour_id, g.sclc_subtype AS neighbour_subtype,
+ round(sqrt({" + ".join(f"(g.{c} - q.{c}) ** 2" for c in S.MARKER_COLUMNS)}), 9) AS distance,
+ CAST(row_number() OVER (PARTITION BY q.sample_id ORDER BY distance, g.sample_id) AS INT) AS place
+FROM mart_risk_features_genomic q CROSS JOIN mart_risk_features_genomic g WHERE g.sclc_subtype <> 'MIXED' QUALIFY place <= 5"""
+V["sample_agreement"] = """
+SELECT sample_id, count(*) AS n_similar, count(*) FILTER (neighbour_subtype = predicted) AS n_matching,
+ min_by(neighbour_id, place) AS closest_id, string_agg(neighbour_subtype, ',' ORDER BY place) AS near_subtypes
+FROM sample_neighbours GROUP BY sample_id"""
+
+job("c13_similar_profiles_of_all", "SELECT * FROM sample_profile_count")(
+    lambda w: S.similar_profiles_of_all(w["genomic_features"], w["genomic_features"]).select("sample_id", "samples_found"))
+job("c14_nearest_profiles_of_all",
+    f"SELECT sample_id, neighbour_id, neighbour_subtype, place, {rnd('distance', 6)} AS distance FROM sample_neighbours")(
+    lambda w: rounded(S.nearest_profiles_of_all(w["genomic_features"], w["genomic_features"]), {"distance": 6}))
+job("c14_agreement_of_all", "SELECT * FROM sample_agreement")(
+    lambda w: S.agreement_of_all(w["genomic_features"], w["genomic_features"], "sclc_subtype")
+    .select("sample_id", "n_similar", "n_matching", "closest_id", "near_subtypes"))
+job("m4_subtype_analysis_of_all", f"""
+SELECT sample_id, sclc_subtype AS predicted_subtype,
+ CASE v WHEN a THEN 'ASCL1' WHEN n1 THEN 'NEUROD1' WHEN p THEN 'POU2F3' ELSE 'YAP1' END AS dominant_tf,
+ v AS dominant_value, {rnd("(a + n1) / 2", 9)} AS ne_score, {rnd("(p + y) / 2", 9)} AS non_ne_score, samples_found,
+ 'Found ' || samples_found || ' samples with similar biomarker expression patterns' AS message,
+ printf('Subtype %s. ASCL1 %.4f, NEUROD1 %.4f, POU2F3 %.4f, YAP1 %.4f, TP53 %.4f, RB1 %.4f, MYC family %.4f. '
+ || 'Report interpretation, key markers, alternatives, therapy and outlook.', sclc_subtype, a, n1, p, y, tp53_expression,
+ rb1_expression, myc_family_score) AS prompt, 'full_subtype_analysis' AS analysis_type
+FROM (SELECT *, ascl1_expression a, neurod1_expression n1, pou2f3_expression p, yap1_expression y, greatest(a, n1, p, y) AS v
+ FROM mart_risk_features_genomic) JOIN sample_profile_count USING (sample_id)""")(
+    lambda w: rounded(S.subtype_analysis_of_all(w["genomic_features"], w["genomic_features"]), {"ne_score": 9, "non_ne_score": 9}))
+job("m6_subtype_flow_of_all", f"""
+SELECT sample_id, sclc_subtype AS predicted_subtype,
+ CASE v WHEN a THEN 'ASCL1' WHEN n THEN 'NEUROD1' WHEN p THEN 'POU2F3' ELSE 'YAP1' END AS dominant_tf,
+ v AS dominant_value, {rnd("CASE WHEN a + n + p + y - v = 0 THEN v ELSE v / ((a + n + p + y - v) / 3) END", 6)} AS dominance_ratio,
+ CASE WHEN a + n > p + y THEN 'Neuroendocrine' ELSE 'Non-Neuroendocrine' END AS nature,
+ {rnd("a + n", 6)} AS ne_sum, {rnd("p + y", 6)} AS non_ne_sum,
+ {bit("a > 10")}*40 + {bit("v = a")}*30 + {bit("n < 8")}*15 + {bit("p < 8 AND y < 8")}*15 AS fit_a,
+ {bit("n > 10")}*40 + {bit("v = n")}*30 + {bit("a < 8")}*15 + {bit("p < 8 AND y < 8")}*15 AS fit_n,
+ {bit("p > 10")}*40 + {bit("v = p")}*30 + {bit("a < 8 AND n < 8")}*15 + {bit("y < 8")}*15 AS fit_p,
+ {bit("y > 10")}*40 + {bit("v = y")}*30 + {bit("a < 8 AND n < 8")}*15 + {bit("p < 8")}*15 AS fit_y,
+ n_similar, n_matching, closest_id, near_subtypes
+FROM (SELECT *, ascl1_expression a, neurod1_expression n, pou2f3_expression p, yap1_expression y, greatest(a, n, p, y) AS v
+ FROM mart_risk_features_genomic) JOIN sample_agreement USING (sample_id)""")(
+    lambda w: rounded(S.subtype_flow_of_all(w["genomic_features"], w["genomic_features"]),
+                      {"dominance_ratio": 6, "ne_sum": 6, "non_ne_sum": 6}))

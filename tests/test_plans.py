@@ -50,8 +50,26 @@ def test_build_stores_marts_and_reuses_them(spark, tiny, tmp_path):
 
 
 def test_hot_cells_are_cut_before_the_shuffle(w):
-    from helixmart.operators import similarity
+    from helixmart.operators import profiles, similarity
 
     clinical = w["mart_risk_features_clinical"]
     text = plan(similarity.nearest_by_burden(clinical, clinical))
-    assert text.count("WindowGroupLimit") >= 4  # k per cell, then k per query, each before and after
+    assert text.count("WindowGroupLimit") == 2  # k per query, before and after
+    text = plan(profiles.first_of_cells(clinical, ["age", "tmb"], "sample_id", 5))
+    assert text.count("WindowGroupLimit") == 2  # k per cell
+
+
+def test_range_joins_meet_no_bins(spark, w):
+    """Without broadcasts, the only keys that ranges meet on are leaves and whole points."""
+    from helixmart.operators import similarity
+
+    clinical = w["mart_risk_features_clinical"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for frame in (similarity.count_similar(clinical, clinical), similarity.nearest_by_age_and_burden(clinical, clinical)):
+            text = plan(frame)
+            assert "Generate explode" not in text and "NestedLoop" not in text and "Cartesian" not in text and "_bin" not in text
+        rows = similarity.count_similar(clinical, clinical).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == clinical.count()
