@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 _STEPS_PER_OCTAVE = 64
 _SHIFT = 1 << 20
+#: Parts that a wanted bucket is cut into. A bucket spans 1/64 of a power of two, that is about 2**46 doubles, so no
+#: part can hold more than about 2**26 different values, however close together the data lie.
+_PARTS = 1 << 20
 
 
 def _octave(value: Column) -> Column:
@@ -16,12 +19,17 @@ def _octave(value: Column) -> Column:
     return F.when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size).cast("bigint")
 
 
+def _part(value: Column, low: Column, high: Column) -> Column:
+    """Order-preserving part of a bucket whose values run from ``low`` to ``high``: each step rounds monotonically."""
+    return F.when(high > low, F.floor((value - low) / (high - low) * float(_PARTS))).otherwise(F.lit(0)).cast("bigint")
+
+
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles of the finite ``value``s per group, exact for groups of any size.
 
-    Equal values are counted before the shuffle, a histogram over value buckets finds
-    the buckets that hold the wanted ranks, and only those buckets are sorted. A hot
-    group is therefore spread over many tasks instead of filling one buffer.
+    Radix selection: equal values are counted before the shuffle, a histogram over value buckets finds the buckets that
+    hold the wanted ranks, those are cut into a million parts between their least and largest value, and only the parts
+    that hold the ranks are sorted. So neither a hot group nor values that nearly agree fill one task.
     """
     keys = list(keys)
     anchor = keys or ["_all"]
@@ -32,33 +40,41 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         .agg(F.count("*").alias("_n"))
         .withColumn("_b", _octave(F.col("_v")))
     )
-    by_group = W.partitionBy(*anchor)
-    hist = (
-        counted.groupBy(*anchor, "_b").agg(F.sum("_n").alias("_bn"))
-        .withColumn("_upto", F.sum("_bn").over(by_group.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("_total", F.sum("_bn").over(by_group))
-        .withColumn("_before", F.col("_upto") - F.col("_bn"))
-    )
 
     def position(p: float) -> Column:
         return (F.col("_total") - 1) * F.lit(float(p))
 
+    ranks = {name: (F.floor(position(p)), F.ceil(position(p))) for name, p in probs.items()}
+
     def holds(rank: Column, first: Column, end: Column) -> Column:
         return (rank >= first) & (rank < end)
 
-    ranks = {name: (F.floor(position(p)), F.ceil(position(p))) for name, p in probs.items()}
-    wanted = None
-    for low, high in ranks.values():
-        for rank in (low, high):
-            hit = holds(rank, F.col("_before"), F.col("_upto"))
-            wanted = hit if wanted is None else wanted | hit
+    def wanted(first: Column, end: Column) -> Column:
+        hit = F.lit(False)
+        for low, high in ranks.values():
+            hit = hit | holds(low, first, end) | holds(high, first, end)
+        return hit
+
+    def upto(n: str, within: list[str], order: str) -> Column:
+        return F.sum(n).over(W.partitionBy(*within).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+
+    buckets = (
+        counted.groupBy(*anchor, "_b").agg(F.sum("_n").alias("_bn"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        .withColumn("_end", upto("_bn", anchor, "_b"))
+        .withColumn("_total", F.sum("_bn").over(W.partitionBy(*anchor)))
+        .withColumn("_before", F.col("_end") - F.col("_bn"))
+        .where(wanted(F.col("_before"), F.col("_end"))).drop("_bn", "_end")
+    )
+    inside = counted.join(buckets, [*anchor, "_b"]).withColumn("_s", _part(F.col("_v"), F.col("_low"), F.col("_high")))
+    parts = (
+        inside.groupBy(*anchor, "_b", "_s", "_total", "_before").agg(F.sum("_n").alias("_bn"))
+        .withColumn("_end", F.col("_before") + upto("_bn", [*anchor, "_b"], "_s"))
+        .withColumn("_start", F.col("_end") - F.col("_bn"))
+        .where(wanted(F.col("_start"), F.col("_end"))).select(*anchor, "_b", "_s", "_start")
+    )
     picked = (
-        counted.join(hist.where(wanted), [*anchor, "_b"])
-        .withColumn(
-            "_end",
-            F.col("_before")
-            + F.sum("_n").over(W.partitionBy(*anchor, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)),
-        )
+        inside.join(parts, [*anchor, "_b", "_s"])
+        .withColumn("_end", F.col("_start") + upto("_n", [*anchor, "_b", "_s"], "_v"))
         .withColumn("_first", F.col("_end") - F.col("_n"))
     )
     aggs = []

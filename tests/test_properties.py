@@ -201,3 +201,23 @@ def test_components_agree_between_orientations(spark, monkeypatch):
     for s, r in by_gene.items():
         assert abs(r["pc1"]) == pytest.approx(abs(by_sample[s]["pc1"]), abs=1e-6)
         assert r["share1"] == pytest.approx(by_sample[s]["share1"], abs=1e-9)
+
+
+def test_quantiles_of_values_that_nearly_agree(spark):
+    rnd = random.Random(8)
+    values = [1000 + rnd.random() * 0.5 for _ in range(20_000)] + [-1e-300, 5e-324, 0.0, 1e308, -1e308]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    probs = {"q01": 0.01, "q50": 0.5, "q99": 0.99, "low": 0.0, "high": 1.0}
+    got = ranking.group_quantiles(df, [], "v", probs).first()
+    ordered = sorted(values)
+    for name, p in probs.items():
+        at = (len(ordered) - 1) * p
+        low = math.floor(at)
+        high = min(low + 1, len(ordered) - 1)
+        assert got[name] == pytest.approx(ordered[low] + (ordered[high] - ordered[low]) * (at - low), rel=1e-15)
+    # One task would sort all of them if only buckets parted them; the parts hold a handful each.
+    b = df.where("v BETWEEN 999 AND 1001").withColumn("b", ranking._octave(F.col("v")))
+    assert b.groupBy("b").count().agg(F.max("count")).first()[0] == 20_000
+    s = b.crossJoin(b.agg(F.min("v").alias("low"), F.max("v").alias("high"))).withColumn(
+        "s", ranking._part(F.col("v"), F.col("low"), F.col("high")))
+    assert s.groupBy("b", "s").count().agg(F.max("count")).first()[0] < 10
