@@ -63,14 +63,14 @@ def sessions(flat: DataFrame) -> DataFrame:
 
 
 def visitor() -> Column:
-    """Who an event belongs to: the user, else the session; rows without both have no visitor."""
+    """Who an event belongs to: the user, else the session; events without both share one visitor, ``anonymous``."""
     user = F.when(F.col("user_id") != "anonymous", F.col("user_id"))
     session = F.when(F.col("session_id") != "unknown", F.concat(F.lit("session "), "session_id"))
-    return F.coalesce(user, session)
+    return F.coalesce(user, session, F.lit("anonymous"))
 
 
 def gap_sessions(flat: DataFrame, user: str = "visitor", gap: int = SESSION_GAP_SECONDS) -> DataFrame:
-    """Sessions per visitor split by more than ``gap`` seconds of silence; events without a visitor are left out.
+    """Sessions per visitor split by more than ``gap`` seconds of silence.
 
     Events are first reduced to one row per user and gap-long slot: inside a slot no
     silence can exceed the gap. The window then sees at most one row per slot, so a

@@ -47,12 +47,13 @@ job("l3_window_usage", "SELECT * FROM hourly")(lambda w: E.window_usage(flat(w))
 job("l4_sessions", """
 SELECT session_id, min(app_timestamp) AS started_at, max(app_timestamp) AS ended_at, count(*) AS n_events FROM flat_events GROUP BY session_id""")(
     lambda w: E.sessions(flat(w)))
-job("l4_gap_sessions", """
+_GAP_SESSIONS = """
 SELECT visitor, session_no, min(app_timestamp) AS started_at, max(app_timestamp) AS ended_at, count(*) AS n_events
 FROM (SELECT *, CAST(sum(fresh) OVER (PARTITION BY visitor ORDER BY app_timestamp, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_no
  FROM (SELECT *, CASE WHEN app_timestamp - lag(app_timestamp) OVER (PARTITION BY visitor ORDER BY app_timestamp, event_id) <= INTERVAL 30 MINUTE
   THEN 0 ELSE 1 END AS fresh FROM (SELECT *, CASE WHEN user_id <> 'anonymous' THEN user_id
-   WHEN session_id <> 'unknown' THEN 'session ' || session_id END AS visitor FROM flat_events) WHERE visitor IS NOT NULL)) GROUP BY visitor, session_no""")(lambda w: E.gap_sessions(flat(w)))
+   WHEN session_id <> 'unknown' THEN 'session ' || session_id ELSE 'anonymous' END AS visitor FROM flat_events))) GROUP BY visitor, session_no"""
+job("l4_gap_sessions", _GAP_SESSIONS)(lambda w: E.gap_sessions(flat(w)))
 job("l4_retention", """
 SELECT cohort_week, CAST((week - cohort_week) // 7 AS INT) AS week_offset, count(*) AS n_users
 FROM (SELECT DISTINCT user_id, CAST(date_trunc('week', app_timestamp) AS DATE) AS week, CAST(min(date_trunc('week', app_timestamp))
@@ -82,3 +83,24 @@ job("l2_stream_landing", "SELECT event_id, event_type, app_timestamp FROM flat_e
 job("l3_stream_usage", """
 SELECT * FROM hourly WHERE window_end <= (SELECT max(app_timestamp) - INTERVAL 1 HOUR FROM flat_events)""")(
     lambda w: stream.drain(stream.live_usage(record_stream(w)), scratch_dir(w.spark, "usage")))
+job("l3_stream_usage_open", "SELECT * FROM hourly")(
+    lambda w: stream.drain_updates(stream.live_usage(record_stream(w)), scratch_dir(w.spark, "usage"), ["window_start", "window_end", "event_type", "status"]))
+
+
+def ended_records(w, folder: str):
+    """The landed records as files of a stream, the last of which moves the watermark past all of them."""
+    records = w["event_records"]
+    records.write.parquet(folder)
+    end = E.flatten(records).agg(F.date_format(F.max("app_timestamp") + F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("t"))
+    last = end.select(F.lit("{}").alias("record_metadata"), F.concat(
+        F.lit('{"event_id":"end of stream","user_id":"end of stream","timestamp":"'), "t", F.lit('"}')).alias("record_content"))
+    last.write.mode("append").parquet(folder)
+    return stream.file_records(w.spark, folder)
+
+
+def _live_gap_sessions(w):
+    folder = scratch_dir(w.spark, "silence")
+    return stream.with_state_store(w.spark, lambda: stream.drain(stream.live_gap_sessions(ended_records(w, f"{folder}/in")), folder))
+
+
+job("l4_stream_gap_sessions", _GAP_SESSIONS)(_live_gap_sessions)

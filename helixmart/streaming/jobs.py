@@ -1,11 +1,14 @@
-"""Event streams: sources, deduplication, live counts and file sinks."""
+"""Event streams: sources, deduplication, live counts, sessions by silence, and file sinks."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from helixmart.operators import events as E
+from helixmart.streaming.silence import SCHEMA, SilenceSessions
 
 TOPIC = "user_events"
 #: Records that one trigger may take in the reference deployment; a ceiling of 167 records a second.
@@ -48,6 +51,57 @@ def live_sessions(records: DataFrame, gap: str = "30 minutes", delay: str = "1 h
         "session_id", F.col("w.start").alias("started_at"), F.col("w.end").alias("closed_at"), "n_events")
 
 
+def live_gap_sessions(records: DataFrame, gap: int = E.SESSION_GAP_SECONDS, delay: str = "1 hour") -> DataFrame:
+    """Sessions per visitor by more than ``gap`` seconds of silence, each sent once when the watermark rules out that it
+    goes on. Needs the RocksDB state store (``with_state_store``)."""
+    flat = deduplicated(E.flatten(records).where(F.col("app_timestamp").isNotNull()), delay)
+    seen = flat.select(E.visitor().alias("visitor"), "app_timestamp")
+    return seen.groupBy("visitor").transformWithStateInPandas(SilenceSessions(gap), SCHEMA, "append", "EventTime")
+
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def with_state_store(spark: SparkSession, run):
+    """``run()`` while streams start with the store that timers need; the session's own setting comes back after."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKSDB)
+    try:
+        return run()
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+
+
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows that came behind the watermark, over the query's recent batches."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
+def upsert_sink(stream: DataFrame, folder: str, checkpoint: str, once: bool = False) -> DataStreamWriter:
+    """Changed rows of every batch in update mode, open windows too. A batch owns the folder of its number and overwrites
+    it, so a batch that is run again after a failure changes nothing."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+    return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=TRIGGER)
+
+
+def upserted(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
+    """The table as of the last batch: for each key its row of the highest batch."""
+    rows = spark.read.option("basePath", folder).parquet(f"{folder}/batch=*")
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
+    return last.select(*keys, "_last.*")
+
+
+def compact(spark: SparkSession, folder: str, into: str, keys: Sequence[str]) -> None:
+    """Write the current table to a new folder, as its batch -1, for readers of a long-running sink."""
+    upserted(spark, folder, keys).write.mode("overwrite").parquet(f"{into}/batch=-1")
+
+
 def file_sink(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> DataStreamWriter:
     """Parquet sink with exactly-once commits; ``once`` drains what is there and stops."""
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", path).option(
@@ -55,6 +109,13 @@ def file_sink(stream: DataFrame, path: str, checkpoint: str, once: bool = False)
     return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=TRIGGER)
 
 
+def drain_updates(stream: DataFrame, folder: str, keys: Sequence[str]) -> DataFrame:
+    """Run the stream in update mode over everything available and read the table it keeps."""
+    query = upsert_sink(stream, f"{folder}/out", f"{folder}/checkpoint", once=True).start()
+    query.awaitTermination()
+    return upserted(stream.sparkSession, f"{folder}/out", keys)
+
+
 def drain(stream: DataFrame, folder: str) -> DataFrame:
     """Run the stream over everything available and read back what it committed."""
     query = file_sink(stream, f"{folder}/out", f"{folder}/checkpoint", once=True).start()

@@ -30,7 +30,7 @@ def test_ids_and_entries_are_not_cut(spark):
 def test_anonymous_visitors_are_told_apart_by_session(spark):
     rows = [("anonymous", "s1"), ("anonymous", "s2"), ("u", "s1"), ("anonymous", "unknown"), (None, None)]
     df = spark.createDataFrame(rows, "user_id string, session_id string").withColumn("app_timestamp", F.timestamp_seconds(F.lit(1_700_000_000)))
-    assert sorted(r["visitor"] for r in events.gap_sessions(df).collect()) == ["session s1", "session s2", "u"]
+    assert sorted(r["visitor"] for r in events.gap_sessions(df).collect()) == ["anonymous", "session s1", "session s2", "u"]
 
 
 def test_extracts_are_in_order(spark, tiny):
