@@ -8,12 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bytes of a block of the unary part; each block has one directory entry.
-BLOCK = 32
+#: Bytes of a block of the unary part; each block has one 32-bit directory entry.
+BLOCK = 8
 #: SELECT[byte, r] is the place of the r-th set bit (lowest first).
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 SELECT = np.argsort(1 - _BITS, axis=1, kind="stable").astype(np.uint8)
-_STEP = 1 << 15
 
 
 def _aligned(parts: list[np.ndarray]) -> bytes:
@@ -36,9 +35,9 @@ class EliasFano:
     """A non-decreasing sequence below 2**64: the low bits of each value side by side, the high bits in unary."""
 
     def __init__(self, buffer, at: int = 0):
-        (head, low, self.high, ones), self.end = _views(buffer, at)
+        (head, self.low, self.high, ones), self.end = _views(buffer, at)
         self.n, self.width = (int(v) for v in head.view("<u8"))
-        self.low, self.ones = low, ones.view("<u8")
+        self.ones = ones.view("<u4")
 
     @staticmethod
     def build(values: np.ndarray) -> bytes:
@@ -54,30 +53,41 @@ class EliasFano:
         low = np.concatenate([*packed, np.zeros(8, np.uint8)])
         places = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
         size = (top >> width) + n + 1
-        high = np.zeros(-(-size // (8 * BLOCK)) * BLOCK, np.uint8)
-        np.bitwise_or.at(high, places >> 3, (1 << (places & 7)).astype(np.uint8))
-        counts = np.bitwise_count(high).reshape(-1, BLOCK).sum(axis=1, dtype=np.uint64)
-        ones = np.concatenate([np.zeros(1, np.uint64), np.cumsum(counts)])
+        # One spare block lets every place be read with one word.
+        bits = np.zeros((-(-size // 64) + 1) * 64, np.uint8)
+        bits[places] = 1
+        high = np.packbits(bits, bitorder="little")
+        counts = np.bitwise_count(high.view("<u8")[:-1])
+        ones = np.concatenate([np.zeros(1, np.uint32), np.cumsum(counts, dtype=np.uint32)])
         return _aligned([np.array([n, width], "<u8"), low, high, ones])
 
     def _select(self, rank: np.ndarray, one: bool) -> np.ndarray:
         """Place of the bit of that rank (from 0) among the set or the clear bits of the unary part."""
-        out = np.empty(len(rank), np.int64)
-        before = self.ones.astype(np.int64)
-        if not one:
-            before = np.arange(len(before)) * (8 * BLOCK) - before
-        blocks = self.high.reshape(-1, BLOCK)
-        for start in range(0, len(rank), _STEP):
-            r = rank[start : start + _STEP]
-            block = np.searchsorted(before, r, side="right") - 1
-            rest = r - before[block]
-            part = blocks[block] if one else ~blocks[block]
-            upto = np.cumsum(np.bitwise_count(part), axis=1, dtype=np.int16)
-            byte = (upto <= rest[:, None]).sum(axis=1)
-            row = np.arange(len(r))
-            rest = rest - np.where(byte > 0, upto[row, byte - 1], 0)
-            out[start : start + _STEP] = block * (8 * BLOCK) + byte * 8 + SELECT[part[row, byte], rest]
-        return out
+        words = self.high.view("<u8")[:-1]
+        if one:
+            block = np.searchsorted(self.ones, rank, side="right") - 1
+            rest, part = rank - self.ones[block], words[block]
+        else:
+            clear = np.arange(len(self.ones)) * 64 - self.ones
+            block = np.searchsorted(clear, rank, side="right") - 1
+            rest, part = rank - clear[block], ~words[block]
+        out = block * 64
+        # Halve the word until one bit is left.
+        for width in (32, 16, 8):
+            half = part & np.uint64((1 << width) - 1)
+            count = np.bitwise_count(half)
+            above = rest >= count
+            rest = np.where(above, rest - count, rest)
+            part = np.where(above, part >> np.uint64(width), half)
+            out += above * width
+        return out + SELECT[part.astype(np.uint8), rest]
+
+    def _after(self, place: np.ndarray, one: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The next set (or clear) bit at or after each place, and whether it lies within the 57 bits that were read."""
+        words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.high, 8)[place >> 3]).view("<u8")[:, 0]
+        words = (words if one else ~words) >> (place & 7).astype(np.uint64)
+        words &= np.uint64((1 << 57) - 1)
+        return place + np.bitwise_count((words & -words) - np.uint64(1)), words != 0
 
     def _low(self, at: np.ndarray) -> np.ndarray:
         bit = at * self.width
@@ -89,6 +99,15 @@ class EliasFano:
         high = (self._select(at, True) - at).astype(np.uint64)
         return (high << np.uint64(self.width)) | self._low(at)
 
+    def span(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries ``at`` and ``at + 1``."""
+        place = self._select(at, True)
+        following, near = self._after(place + 1, True)
+        following[~near] = self._select(at[~near] + 1, True)
+        shift = np.uint64(self.width)
+        return (((place - at).astype(np.uint64) << shift) | self._low(at)).astype(np.int64), (
+            ((following - at - 1).astype(np.uint64) << shift) | self._low(at + 1)).astype(np.int64)
+
     def successor(self, values: np.ndarray, first: np.ndarray | None = None, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each value the index of the first entry at or above it within [first, end), and whether it is the value.
 
@@ -97,11 +116,13 @@ class EliasFano:
         if not self.n:
             return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
         high = (values >> np.uint64(self.width)).astype(np.int64)
-        top = len(self.high) * 8 - self.n  # clear bits there are
+        top = len(self.high) * 8 - 64 - self.n  # clear bits there are
         inside = high < top
         h = np.where(inside, high, 0)
-        low = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - (h - 1), 0)
-        stop = self._select(h, False) - h
+        before = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) + 1, 0)
+        after, near = self._after(before, False)
+        after[~near] = self._select(h[~near], False)
+        low, stop = before - h, after - h
         low, stop = np.where(inside, low, self.n), np.where(inside, stop, self.n)
         if first is not None:
             low, stop = np.clip(low, first, end), np.clip(stop, first, end)
@@ -162,23 +183,25 @@ class Trie:
         return head + b"".join(parts) + _aligned([np.ascontiguousarray(values)])
 
     def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(whether each key is there, its value or 0)."""
+        """(whether each key is there, its value or 0). Neighbouring keys of one context ask for it once."""
         left = sum(self.fields)
         node, found = np.zeros(len(keys), np.int64), np.ones(len(keys), bool)
         for i, width in enumerate(self.fields):
             left -= width
-            code = keys >> np.uint64(left) if left else keys
-            if width < 64:
-                code = code & np.uint64((1 << width) - 1)
-            at = np.flatnonzero(found)
+            prefix = keys >> np.uint64(left) if left else keys
+            new = np.ones(len(keys), bool)
+            new[1:] = prefix[1:] != prefix[:-1]
+            code = prefix[new] & np.uint64((1 << width) - 1) if width < 64 else prefix[new]
+            parent, hit = node[new], found[new]
+            at = np.flatnonzero(hit)
             if i == 0:
-                place, hit = self.codes[0].successor(code[at])
+                place, here = self.codes[0].successor(code[at])
             else:
-                parent = node[at]
-                first, end = self.pointers[i - 1][parent].astype(np.int64), self.pointers[i - 1][parent + 1].astype(np.int64)
-                place, hit = self.codes[i].successor(code[at] | (parent.astype(np.uint64) << np.uint64(width)), first, end)
-            node[at] = place
-            found[at] = hit
+                first, end = self.pointers[i - 1].span(parent[at])
+                place, here = self.codes[i].successor(code[at] | (parent[at].astype(np.uint64) << np.uint64(width)), first, end)
+            parent[at], hit[at] = place, here
+            run = np.cumsum(new) - 1
+            node, found = parent[run], hit[run]
         out = np.zeros(len(keys), self.values.dtype)
         out[found] = self.values[node[found]]
         return found, out

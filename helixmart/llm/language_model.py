@@ -30,11 +30,11 @@ from helixmart.llm.elias_fano import Trie
 ORDER, STRENGTH = 3, 100.0
 #: Additive constant of the shortest estimate.
 ADD = 0.1
-#: Tokens of a chunk, and distinct n-grams that a shard should receive on average.
-CHUNK_TOKENS, SHARD_KEYS = 1 << 21, 1 << 22
-#: Bits of the codes by level: the path of an n-gram has 46 bits within its shard; single words have all 64.
-FIELDS = {1: (64,), 2: (24, 22), 3: (18, 14, 14)}
-PATH_BITS, SHARD_BITS = 46, 17
+#: Tokens of a chunk, and tokens whose n-grams one shard takes on average.
+CHUNK_TOKENS, SHARD_KEYS = 1 << 20, 1 << 20
+#: Bits of the codes by level: the path of an n-gram has 42 bits within its shard; single words have all 64.
+FIELDS = {1: (64,), 2: (22, 20), 3: (16, 13, 13)}
+PATH_BITS, SHARD_BITS = 42, 21
 #: Quantised numbers: log10 in steps of 1/4096; 0 means "never seen".
 STEPS = 4096
 START, END = 0, 1
@@ -157,7 +157,7 @@ class _Grams:
         self.words = np.concatenate([np.array([_fixed(START), _fixed(END)], np.uint64), hashes])
         self.lengths, self.fronts, self.train = lengths.astype(np.int64), fronts.astype(np.int64), train.astype(bool)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.within = np.arange(len(self.x)) - np.repeat(self.starts, self.lengths)
+        self.within = np.arange(len(self.x), dtype=np.int32) - np.repeat(self.starts.astype(np.int32), self.lengths)
         own = self.within >= np.repeat(self.fronts, self.lengths)
         self.own, self.counted = own, own & np.repeat(self.train, self.lengths)
 
@@ -169,21 +169,31 @@ class _Grams:
         if n == 1:
             # Distinct words are known, only their order is not.
             order = np.argsort(self.words, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
             keys = self.words[order]
             edges = np.searchsorted((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), bounds)
-            return np.arange(len(self.x)), keys, rank[self.x], edges
-        at = np.flatnonzero(self.within >= n - 1)
-        h = [self.words[self.x[at - n + 1]]]
-        for k in range(n - 2, -1, -1):
-            h.append(mixed(h[-1] * np.uint64(0x9E3779B97F4A7C15) + self.words[self.x[at - k]]))
-        shard = ((h[-1] & np.uint64(0xFFFFFFFF)) * np.uint64(shards)) >> np.uint64(32)
-        key = shard
-        for width, code in zip(FIELDS[n], h, strict=True):
-            key = (key << np.uint64(width)) | (mixed(code) >> np.uint64(64 - width))
-        keys, place = np.unique(key, return_inverse=True)
-        return at, keys, place, np.searchsorted(keys, bounds << np.uint64(PATH_BITS))
+            return np.arange(len(self.x), dtype=np.int32), keys, rank[self.x], edges
+        at = np.flatnonzero(self.within >= n - 1).astype(np.int32)
+        h = self.words[self.x[at - (n - 1)]]
+        key = mixed(h) >> np.uint64(64 - FIELDS[n][0])
+        for k, width in zip(range(n - 2, -1, -1), FIELDS[n][1:], strict=True):
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h += self.words[self.x[at - k]]
+            h = mixed(h)
+            key <<= np.uint64(width)
+            key |= mixed(h) >> np.uint64(64 - width)
+        h &= np.uint64(0xFFFFFFFF)
+        h *= np.uint64(shards)
+        key |= (h >> np.uint64(32)) << np.uint64(PATH_BITS)
+        order = np.argsort(key)
+        key = key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        place = np.empty(len(key), np.int32)
+        place[order] = np.cumsum(new, dtype=np.int32) - 1
+        key = key[new]
+        return at, key, place, np.searchsorted(key, bounds << np.uint64(PATH_BITS))
 
 
 def requests(chunks: DataFrame, orders: tuple[int, ...], shards: int) -> DataFrame:
@@ -257,7 +267,7 @@ def scores(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, chun
     token from exact counts, score the interpolated n-gram probability. Null and empty texts hold the end alone. Rows of
     equal or null doc_id stay rows of their own; an empty table gives no rows, and without training rows every word is
     equally unknown. Columns beyond those named are ignored. Frequencies of n-grams are quantised to 1/4096 of a decade;
-    paths have 46 bits within a shard, so two n-grams of one shard are taken for one with a chance of 2**-46 a pair.
+    paths have 42 bits within a shard, so two n-grams of one shard are taken for one with a chance of 2**-42 a pair.
     """
     spark = docs.sparkSession
     chunks = stored(chunked(docs, order, chunk_tokens))
@@ -300,9 +310,9 @@ def _scored(chunk: pa.Table, found: dict[int, np.ndarray], shards: int, total: i
         at, _, place, _ = grams.keys(n, shards)
         own = found[n][place]
         p[at] = (own + strength * p[at]) / (context[at - 1] + strength)
-        context = np.zeros(len(p))
+        context.fill(0)
         context[at] = own
-    value = np.where(grams.own, np.log10(p), 0.0)
+        del at, place, own
 
     def per_piece(a: np.ndarray) -> np.ndarray:
         return np.add.reduceat(a, grams.starts)
@@ -310,7 +320,7 @@ def _scored(chunk: pa.Table, found: dict[int, np.ndarray], shards: int, total: i
     return pa.table({
         "row": chunk["rows"].combine_chunks().flatten(), "doc_id": chunk["doc_ids"].combine_chunks().flatten(), "train": pa.array(grams.train),
         "n_tokens": per_piece(grams.own.astype(np.int64)), "n_known": per_piece((grams.own & (count > 0)).astype(np.int64)),
-        "base_score": per_piece(np.where(grams.own, np.log10(base), 0.0)), "score": per_piece(value)})
+        "base_score": per_piece(np.where(grams.own, np.log10(base), 0.0)), "score": per_piece(np.where(grams.own, np.log10(p), 0.0))})
 
 
 def held_out(doc_id: Column) -> Column:

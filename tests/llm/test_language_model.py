@@ -95,7 +95,7 @@ def test_query(spark, tiny):
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-@pytest.mark.parametrize("fields", [(64,), (24, 22), (18, 14, 14)])
+@pytest.mark.parametrize("fields", [(64,), (22, 20), (16, 13, 13)])
 def test_trie(fields):
     rng, bits = np.random.default_rng(4), sum(fields)
     keys = np.unique(rng.integers(0, 2**bits - 1, 5000, dtype=np.uint64) & ~np.uint64(((1 << 20) - 1) << (bits // 3)))
