@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from helixmart.functions import constants as C
 from helixmart.functions.rules import round_half_up
@@ -72,3 +72,45 @@ def report(tables: Mapping[str, DataFrame]) -> DataFrame:
         tidy(unmatched, "unmatched", "key", "n"),
         tidy(fan_out, "repeated_cell_line", "cell_line", "n"),
     ])
+
+
+# -- checks that ride on other work ------------------------------------------------------------
+
+#: What a build counts: landed tables and views, then the marts.
+OBSERVED = [
+    "cell_lines", "stg_clinical", "stg_gene_expression", "core_biomarkers", "mart_risk_features_clinical", "mart_risk_features_genomic",
+    "mart_risk_features_combined", "mart_drug_sensitivity", "mart_drug_subtype_profile", "mart_treatment_recommendations",
+    "mart_dose_response_summary",
+]
+#: Letters or digits, then those and . _ - only.
+ID_FORMAT = "^[A-Z0-9][A-Z0-9._-]*$"
+
+
+def _values(check: str, column: str, values: Sequence) -> dict[tuple[str, str], Column]:
+    """Rows per known value of a column, and of all others."""
+    known = {(check, str(v)): F.count_if(F.col(column) == v) for v in values}
+    return known | {(check, "other"): F.count_if(F.col(column).isNull() | ~F.col(column).isin(list(values)))}
+
+
+def _ids(check: str) -> dict[tuple[str, str], Column]:
+    good = F.coalesce(F.col("sample_id").rlike(ID_FORMAT), F.lit(False))
+    return {(check, "well_formed"): F.count_if(good), (check, "other"): F.count_if(~good)}
+
+
+def observed_checks() -> dict[str, dict[tuple[str, str], Column]]:
+    """table or view -> (check, key) -> aggregate. Counts only, so they can be observed while rows pass."""
+    checks = {
+        "cell_lines": _values("panel", "panel", [C.CELL_LINE_PANEL]),
+        "stg_clinical": _ids("clinical_id_format"),
+        "stg_gene_expression": _ids("expression_id_format"),
+        # One row per sample: its genes that are there.
+        "core_biomarkers": {("samples_by_gene", g): F.count(f"{g.lower()}_expr") for g in C.CHECK_GENES},
+        "mart_risk_features_clinical": _values("category", "target_category", [label for _, _, label in C.SURVIVAL_BANDS]) | _values("is_male", "is_male", [0, 1]),
+        "mart_risk_features_genomic": _values("subtype", "sclc_subtype", [*C.SUBTYPES, "MIXED"]),
+        "mart_risk_features_combined": _values("has_genomic_data", "has_genomic_data", [0, 1]),
+    }
+    return {table: {("rows", table): F.count(F.lit(1))} | checks.get(table, {}) for table in OBSERVED}
+
+
+def observed_report(spark: SparkSession, rows: Sequence[tuple[str, str, float]]) -> DataFrame:
+    return spark.createDataFrame(list(rows), "check_name string, key string, value double")

@@ -10,6 +10,8 @@ from helixmart.functions.rules import round_half_up
 from helixmart.operators import lookups, marts, profiling, quality, staging
 from helixmart.plans.check_views import bit, pick, rnd
 from helixmart.plans.registry import job
+from helixmart.plans.warehouse import build_observed
+from helixmart.session import scratch_dir
 
 
 def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
@@ -445,6 +447,31 @@ WHERE sample_id NOT IN (SELECT sample_id FROM stg_gene_expression)""",
     """SELECT 'repeated_cell_line', upper(trim(cell_line)), CAST(count(*) AS DOUBLE) FROM cell_lines
 GROUP BY upper(trim(cell_line)) HAVING count(*) > 1"""]))(
     lambda w: quality.report({**{t: w[t] for t in _CHECKED}, "cell_lines": staging.cell_lines(w["cell_lines"])}))
+
+
+def _known(check: str, table: str, column: str, values: list) -> list[str]:
+    listed = ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
+    return [*[f"SELECT '{check}' AS check_name, '{v}' AS key, CAST(count(*) FILTER ({column} = {v!r}) AS DOUBLE) AS value FROM {table}" for v in values],
+            f"SELECT '{check}', 'other', CAST(count(*) FILTER ({column} IS NULL OR {column} NOT IN ({listed})) AS DOUBLE) FROM {table}"]
+
+
+def _formed(check: str, table: str) -> list[str]:
+    good = f"coalesce(regexp_matches(sample_id, '{quality.ID_FORMAT}'), false)"
+    return [f"SELECT '{check}' AS check_name, '{key}' AS key, CAST(count(*) FILTER ({test}) AS DOUBLE) AS value FROM {table}"
+            for key, test in (("well_formed", good), ("other", f"NOT {good}"))]
+
+
+job("q1_build_report", " UNION ALL ".join([
+    *[f"SELECT 'rows' AS check_name, '{t}' AS key, CAST(count(*) AS DOUBLE) AS value FROM {t}" for t in quality.OBSERVED],
+    *_known("panel", "cell_lines", "panel", [C.CELL_LINE_PANEL]),
+    *_formed("clinical_id_format", "stg_clinical"), *_formed("expression_id_format", "stg_gene_expression"),
+    *[f"SELECT 'samples_by_gene', '{g}', CAST(count(DISTINCT sample_id) AS DOUBLE) FROM stg_gene_expression WHERE gene_symbol = '{g}'"
+      for g in C.CHECK_GENES],
+    *_known("category", "mart_risk_features_clinical", "target_category", [label for _, _, label in C.SURVIVAL_BANDS]),
+    *_known("is_male", "mart_risk_features_clinical", "is_male", [0, 1]),
+    *_known("subtype", "mart_risk_features_genomic", "sclc_subtype", [*C.SUBTYPES, "MIXED"]),
+    *_known("has_genomic_data", "mart_risk_features_combined", "has_genomic_data", [0, 1])]))(
+    lambda w: build_observed(w, scratch_dir(w.spark, "marts")))
 job("h_scalar_functions", f"""
 SELECT c_custkey, upper(trim(' ' || c_name)) AS h1, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS h2,
  TRY_CAST(substring(c_name, 10) AS DOUBLE) AS h3, {rnd("sqrt(abs(c_acctbal)) + pow(2.0, c_nationkey / 8.0::DOUBLE)", 6)} AS h4,

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
-from helixmart.operators import marts, staging
+from helixmart.operators import marts, quality, staging
 from helixmart.sources import tables
 
 _MODELS = {
@@ -58,6 +58,10 @@ class Warehouse:
             self._frames[name] = frame
         return self._frames[name]
 
+    def replace(self, name: str, frame: DataFrame) -> None:
+        """Let models that are not made yet read ``frame`` under this name."""
+        self._frames[name] = frame
+
     def use_stored(self, name: str, frame: DataFrame) -> None:
         """Let later models read the stored form of a table."""
         self._frames[name] = frame
@@ -67,7 +71,7 @@ class Warehouse:
         return name in self._stored
 
 
-def build(w: Warehouse, target: str, names: Iterable[str] = MATERIALISED) -> dict[str, str]:
+def build(w: Warehouse, target: str, names: Iterable[str] = MATERIALISED, observed: dict[str, Observation] | None = None) -> dict[str, str]:
     """Write the table models below ``target`` in dependency order; views stay lazy.
 
     Later models read the stored form of the earlier ones, so each is computed once
@@ -76,7 +80,34 @@ def build(w: Warehouse, target: str, names: Iterable[str] = MATERIALISED) -> dic
     written = {}
     for name in [n for n in _MODELS if n in set(names)]:
         path = f"{target.rstrip('/')}/{name}"
-        w[name].write.mode("overwrite").parquet(path)
+        frame = _watched(w[name], name, observed) if observed is not None else w[name]
+        frame.write.mode("overwrite").parquet(path)
         w.use_stored(name, w.spark.read.parquet(path))
         written[name] = path
     return written
+
+
+def _watched(frame: DataFrame, name: str, observed: dict[str, Observation]) -> DataFrame:
+    checks = quality.observed_checks().get(name)
+    if checks is None:
+        return frame
+    observed[name] = Observation(f"{name} checks")
+    return frame.observe(observed[name], *[column.alias(f"m{i}") for i, column in enumerate(checks.values())])
+
+
+def build_observed(w: Warehouse, target: str) -> DataFrame:
+    """``build`` all marts; the checks of ``quality.observed_checks`` ride on the scans and writes that this takes anyway.
+
+    A landed table or view is observed where a mart first reads it, a mart where it is written, so nothing is scanned
+    again for its checks. Returns (check_name, key, value), as many rows as there are checks.
+    """
+    observed: dict[str, Observation] = {}
+    for name in quality.observed_checks():
+        if name not in MATERIALISED:
+            w.replace(name, _watched(w[name], name, observed))
+    build(w, target, observed=observed)
+    rows = []
+    for name, checks in quality.observed_checks().items():
+        found = observed[name].get
+        rows += [(check, key, float(found[f"m{i}"])) for i, (check, key) in enumerate(checks)]
+    return quality.observed_report(w.spark, rows)
