@@ -13,6 +13,7 @@ from pyspark.ml.feature import (
     PCA, Imputer, StandardScaler, StringIndexer, UnivariateFeatureSelector, VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from helixmart.functions import constants as C
 from helixmart.operators import stats
 from helixmart.operators.lookups import risk_level, scoring_defaults
+from helixmart.operators.ranking import group_quantiles
 from helixmart.session import cut_lineage
 
 SEED = 42
@@ -41,8 +43,18 @@ def preparation(columns: Sequence[str], output: str = "features") -> list:
     ]
 
 
+def with_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as doubles, missing values replaced by the column's exact median; no column is gathered in a task."""
+    ready = as_doubles(df, columns)
+    long = ready.select(*columns).unpivot([], list(columns), "feature", "value")
+    # One row per column.
+    middles = {r["feature"]: r["m"] for r in group_quantiles(long, ["feature"], "value", {"m": 0.5}).collect()}
+    return ready.fillna({c: m for c, m in middles.items() if m is not None})
+
+
 def feature_scores(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
-    """ANOVA F of each candidate against a class label, from group sums in one pass."""
+    """ANOVA F of each candidate against a class label, from group sums in one pass; medians stand for missing values."""
+    df = with_medians(df, columns)
     long = df.select(F.col(label).alias("y"), *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         ["y"], list(columns), "feature", "value").where(F.col("value").isNotNull())
     groups = long.groupBy("feature", "y").agg(
@@ -58,14 +70,12 @@ def select_features(df: DataFrame, label: str, keep: int = 9, forced: str = "age
                     candidates: Sequence[str] = tuple(C.RISK_CANDIDATES)) -> list[str]:
     """The forced feature plus the keep - 1 best of the rest by ANOVA F."""
     rest = [c for c in candidates if c != forced]
-    filled = [f"{c}_filled" for c in rest]
     stages = [
-        Imputer(strategy="median", inputCols=rest, outputCols=filled, relativeError=1e-4),
-        VectorAssembler(inputCols=filled, outputCol="candidates"),
+        VectorAssembler(inputCols=rest, outputCol="candidates"),
         UnivariateFeatureSelector(featuresCol="candidates", outputCol="chosen", labelCol=label, selectionMode="numTopFeatures")
         .setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(keep - 1),
     ]
-    ready = as_doubles(df, rest).withColumn(label, F.col(label).cast("double"))
+    ready = with_medians(df, rest).withColumn(label, F.col(label).cast("double"))
     chosen = Pipeline(stages=stages).fit(ready).stages[-1].selectedFeatures
     return [forced, *[rest[i] for i in sorted(chosen)]]
 
@@ -75,9 +85,11 @@ def _weighted(df: DataFrame, label: str) -> DataFrame:
 
 
 def _split(df: DataFrame, label: str, identity: str, share: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    """Stable train and test parts; checkpointed because training reads them many times."""
+    """Stable train and test parts; checkpointed because training reads them many times. The train part has the column
+    class_weight, from its own classes alone."""
     whole = cut_lineage(stats.stratified_split(df, label, identity, share))
-    return whole.where("split = 'train'").drop("split"), whole.where("split = 'test'").drop("split")
+    train, test = whole.where("split = 'train'").drop("split"), whole.where("split = 'test'").drop("split")
+    return cut_lineage(_weighted(train, label)), test
 
 
 # -- models ------------------------------------------------------------------------------------
@@ -107,13 +119,13 @@ def _accuracy(scored: DataFrame, label: str) -> float:
 
 def cross_validated(pipeline: Pipeline, train: DataFrame, label: str, class_label: str, identity: str,
                     folds: int = 5) -> tuple[float, float]:
-    """Mean and deviation of accuracy over stratified folds."""
+    """Mean and deviation of accuracy over stratified folds, whose models are fitted side by side."""
     with_folds = cut_lineage(stats.stratified_folds(train, class_label, identity, folds))
-    scores = []
-    for i in range(folds):
-        model = pipeline.fit(with_folds.where(F.col("fold") != i))
-        scores.append(_accuracy(model.transform(with_folds.where(F.col("fold") == i)), label))
-    return float(np.mean(scores)), float(np.std(scores))
+    search = CrossValidator(
+        estimator=pipeline, estimatorParamMaps=ParamGridBuilder().build(), numFolds=folds, foldCol="fold", parallelism=folds,
+        evaluator=MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="accuracy"))
+    found = search.fit(with_folds)
+    return float(found.avgMetrics[0]), float(found.stdMetrics[0])
 
 
 def metric_rows(df: DataFrame, metrics: dict[str, float]) -> DataFrame:
@@ -125,7 +137,7 @@ def train_risk(clinical: DataFrame, features: Sequence[str] = tuple(C.RISK_FEATU
     """Fit on 80 % and report train/test accuracy, gap, AUC and the learning check on the rest."""
     ready = as_doubles(stats.risk_targets(clinical).select("sample_id", "binary_risk", *features), features).withColumn(
         "binary_risk", F.col("binary_risk").cast("double"))
-    train, test = _split(_weighted(ready, "binary_risk"), "binary_risk", "sample_id")
+    train, test = _split(ready, "binary_risk", "sample_id")
     pipeline = risk_forest(features, trees)
     model = pipeline.fit(train)
     scored = model.transform(test).withColumn("p_high", vector_to_array("probability")[1])
@@ -145,7 +157,7 @@ def train_risk(clinical: DataFrame, features: Sequence[str] = tuple(C.RISK_FEATU
 
 def train_subtype(genomic: DataFrame, trees: int = 100, folds: int = 0) -> tuple[PipelineModel, DataFrame]:
     ready = as_doubles(genomic.select("sample_id", "sclc_subtype", *C.SUBTYPE_FEATURES), C.SUBTYPE_FEATURES)
-    train, test = _split(_weighted(ready, "sclc_subtype"), "sclc_subtype", "sample_id")
+    train, test = _split(ready, "sclc_subtype", "sample_id")
     pipeline = subtype_forest(trees=trees)
     model = pipeline.fit(train)
     train_accuracy, test_accuracy = _accuracy(model.transform(train), "label"), _accuracy(model.transform(test), "label")
@@ -211,21 +223,30 @@ def load_bundle(path: str) -> tuple[PipelineModel, dict]:
 
 # -- comparison, clustering, components ----------------------------------------------------------
 
-def compare_classifiers(labelled: DataFrame, label: str, features: Sequence[str], trees: int = 300, rounds: int = 200,
-                        folds: int = 0) -> DataFrame:
-    """Accuracy of logistic regression, forest and boosted trees; best first, ties by the usual rules."""
-    indexer = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip")
-    ready = indexer.fit(labelled).transform(as_doubles(labelled, features))
-    train, test = _split(_weighted(ready.select("sample_id", label, "label", *features), label), label, "sample_id", 0.25)
+def classifiers(trees: int = 300, rounds: int = 200) -> dict:
+    """The compared estimators; the binary models of one-vs-rest are fitted side by side."""
     boosted = GBTClassifier(maxIter=rounds, stepSize=0.07, maxDepth=3, seed=SEED)
-    models = {
-        "logistic": OneVsRest(classifier=LogisticRegression(maxIter=200), weightCol="class_weight"),
+    return {
+        "logistic": OneVsRest(classifier=LogisticRegression(maxIter=200), weightCol="class_weight", parallelism=4),
         "random_forest": RandomForestClassifier(numTrees=trees, maxDepth=15, minInstancesPerNode=2, weightCol="class_weight", seed=SEED),
-        "boosted_trees": OneVsRest(classifier=boosted),
+        "boosted_trees": OneVsRest(classifier=boosted, parallelism=4),
     }
+
+
+def _labelled(labelled: DataFrame, label: str, features: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    indexer = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip").fit(as_doubles(labelled, features))
+    ready = indexer.transform(as_doubles(labelled, features)).select("sample_id", label, "label", *features)
+    return *_split(ready, label, "sample_id", 0.25), indexer.labels
+
+
+def compare_classifiers(labelled: DataFrame, label: str, features: Sequence[str], trees: int = 300, rounds: int = 200,
+                        folds: int = 0, names: Sequence[str] | None = None) -> DataFrame:
+    """Accuracy of logistic regression, forest and boosted trees; best first, ties by the usual rules."""
+    models = classifiers(trees, rounds)
+    train, test, _ = _labelled(labelled, label, features)
     rows = []
-    for name, estimator in models.items():
-        pipeline = Pipeline(stages=[*preparation(features), estimator])
+    for name in names or models:
+        pipeline = Pipeline(stages=[*preparation(features), models[name]])
         model = pipeline.fit(train)
         cv = cross_validated(pipeline, train, "label", label, "sample_id", folds) if folds else (None, None)
         rows.append((name, _accuracy(model.transform(train), "label"), _accuracy(model.transform(test), "label"), *cv))
@@ -233,6 +254,31 @@ def compare_classifiers(labelled: DataFrame, label: str, features: Sequence[str]
         rows, "model string, train_accuracy double, test_accuracy double, cv_mean double, cv_std double"))
 
 
+def best_predictions(labelled: DataFrame, label: str, features: Sequence[str], board: DataFrame, trees: int = 300, rounds: int = 200) -> DataFrame:
+    """(sample_id, actual, predicted) of the test part by the first model of ``board``."""
+    best = board.first()["model"]
+    train, test, labels = _labelled(labelled, label, features)
+    model = Pipeline(stages=[*preparation(features), classifiers(trees, rounds)[best]]).fit(train)
+    names = F.array(*[F.lit(n) for n in labels])
+    return model.transform(test).select(
+        "sample_id", F.col(label).alias("actual"), F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"))
+
+
+def report_rows(predictions: DataFrame) -> DataFrame:
+    """Confusion counts and the report per class as rows: kind, label, other (predicted class or metric), value."""
+    matrix = stats.confusion(predictions, "actual", "predicted")
+    counts = matrix.select(F.lit("confusion").alias("kind"), F.col("actual").alias("label"), F.col("predicted").alias("other"), F.col("n").cast("double").alias("value"))
+    report = stats.class_report(matrix)
+    report = report.select("label", *[F.col(c).cast("double").alias(c) for c in ("precision", "recall", "f1", "support")]).unpivot(
+        ["label"], ["precision", "recall", "f1", "support"], "other", "value")
+    return counts.unionByName(report.select(F.lit("report").alias("kind"), "label", "other", "value"))
+
+
+def metric_board(spark: SparkSession, model: str) -> DataFrame:
+    """A board of one model that was chosen beforehand."""
+    return spark.createDataFrame([(model, None, None, None, None)], "model string, train_accuracy double, test_accuracy double, cv_mean double, cv_std double")
+
+
 def leaderboard(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc("test_accuracy"), F.desc_nulls_last("cv_mean"), F.asc_nulls_last("cv_std"), "model")
 

@@ -16,7 +16,8 @@ _UNION = " UNION ALL ".join(
     f"SELECT '{c}' AS feature, binary_risk AS y, CAST({c} AS DOUBLE) AS v FROM targets" for c in _CANDIDATES)
 job("k4_feature_scores", f"""
 SELECT feature, {rnd("(sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n)) / (count(*) - 1) / nullif(sum(n * s) / (sum(n) - count(*)), 0)", 4)} AS score
-FROM (SELECT feature, y, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM ({_UNION}) WHERE v IS NOT NULL GROUP BY feature, y) GROUP BY feature""")(
+FROM (SELECT feature, y, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM (SELECT feature, y, coalesce(v, median(v) OVER (PARTITION BY feature)) AS v
+ FROM ({_UNION})) WHERE v IS NOT NULL GROUP BY feature, y) GROUP BY feature""")(
     lambda w: rounded(ml.feature_scores(targets(w), "binary_risk", _CANDIDATES), {"score": 4}))
 
 
@@ -52,6 +53,26 @@ job("k12_risk_scores")(_risk_scores)
 job("k13_subtype_scores")(_subtype_scores)
 job("f13_feature_importance")(
     lambda w: ml.importance(ml.train_risk(w["mart_risk_features_clinical"])[0], C.RISK_FEATURES))
+job("f13_subtype_importance")(
+    lambda w: ml.importance(ml.train_subtype(w["mart_risk_features_genomic"])[0], C.SUBTYPE_FEATURES))
+
+
+def _cross_validated(w):
+    """Models whose five folds fit in minutes; boosted trees take hundreds of rounds for each class and fold."""
+    return ml.compare_classifiers(labels(w).select("sample_id", "z_label", *S.MARKERS), "z_label", S.MARKERS, folds=5,
+                                  names=["logistic", "random_forest"])
+
+
+def _best_model(w, board):
+    return ml.best_predictions(labels(w).select("sample_id", "z_label", *S.MARKERS), "z_label", S.MARKERS, board)
+
+
+job("k18_cross_validated")(_cross_validated)
+job("k18_best_model_report")(lambda w: ml.report_rows(_best_model(w, _cross_validated(w))))
+# What SQL can tell about any model's report: every test sample is there once, under its own class.
+job("k18_best_model_support", """
+SELECT z_label AS label, CAST(round(count(*) * 0.25::DOUBLE) AS BIGINT) AS support FROM labels_by_rule GROUP BY z_label""")(
+    lambda w: ml.stats.confusion(_best_model(w, ml.metric_board(w.spark, "logistic")), "actual", "predicted").groupBy(F.col("actual").alias("label")).agg(F.sum("n").alias("support")))
 job("k17_sample_components")(lambda w: ml.sample_components(matrix(w)))
 job("k18_classifier_comparison")(
     lambda w: ml.compare_classifiers(labels(w).select("sample_id", "z_label", *S.MARKERS), "z_label", S.MARKERS))

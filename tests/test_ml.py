@@ -82,3 +82,35 @@ def test_comparison_trains_whole_models(spark, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         queries()["k18_classifier_comparison"](spark, "/root/testdata/sf0.001")
     assert sorted(used) == [200, 300]
+
+
+def test_folds_and_best_model(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(f"s{i}", "xyz"[i % 3], i % 3 + r.gauss(0, 0.3), r.gauss(0, 1) if i % 5 else None) for i in range(240)]
+    df = spark.createDataFrame(rows, "sample_id string, kind string, a double, b double")
+    board = ml.compare_classifiers(df, "kind", ["a", "b"], trees=10, folds=3, names=["logistic", "random_forest"])
+    got = board.collect()
+    assert len(got) == 2 and all(0.6 < x["cv_mean"] <= 1 and 0 <= x["cv_std"] < 0.3 for x in got)
+    assert got[0]["test_accuracy"] >= got[1]["test_accuracy"]
+    report = ml.report_rows(ml.best_predictions(df, "kind", ["a", "b"], board, trees=10)).collect()
+    confusion = {(x["label"], x["other"]): x["value"] for x in report if x["kind"] == "confusion"}
+    metrics = {(x["label"], x["other"]): x["value"] for x in report if x["kind"] == "report"}
+    assert sum(confusion.values()) == 60 and sum(v for (a, b), v in confusion.items() if a == b) / 60 == pytest.approx(got[0]["test_accuracy"])
+    for c in "xyz":
+        assert metrics[c, "support"] == sum(v for (a, _), v in confusion.items() if a == c) == 20
+        assert metrics[c, "recall"] == pytest.approx(confusion.get((c, c), 0) / 20)
+
+
+def test_medians_stand_for_missing_values(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, 5.0), (None, 7.0), (4.0, None)], "a double, b double")
+    assert [tuple(r) for r in ml.with_medians(df, ["a", "b"]).collect()] == [(1.0, 6.0), (2.0, 5.0), (2.0, 7.0), (4.0, 6.0)]
+
+
+def test_weights_come_from_the_train_part(spark):
+    rows = [(f"s{i}", "ab"[i < 30], float(i)) for i in range(100)]
+    train, test = ml._split(spark.createDataFrame(rows, "sample_id string, y string, v double"), "y", "sample_id")
+    n = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
+    assert {(r["y"], round(r["class_weight"], 9)) for r in train.collect()} == {(y, round(80 / (2 * c), 9)) for y, c in n.items()}
+    assert "class_weight" not in test.columns

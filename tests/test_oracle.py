@@ -8,7 +8,7 @@ from helixmart.plans import oracle_sql, queries
 JOBS, CHECKS = queries(), oracle_sql()
 # Reported empty at this scale because the rule finds nothing, not because the job fails.
 MAY_BE_EMPTY = {"f6_extreme_changes"}
-SLOW = {"k18_classifier_comparison", "k7_risk_forest_metrics", "k8_subtype_forest_metrics"}
+SLOW = {"k18_classifier_comparison", "k18_cross_validated", "k18_best_model_report", "k7_risk_forest_metrics", "k8_subtype_forest_metrics"}
 
 
 @pytest.fixture(scope="module")
