@@ -6,6 +6,8 @@ nearest patients come from the leaves that a distance reaches, so cells are met
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from helixmart.functions import constants as C, markers as M
@@ -139,12 +141,12 @@ def agreement_of_all(samples: DataFrame, genomic: DataFrame, predicted: str, k:
         F.array_join(F.transform("_near", lambda x: x["sclc_subtype"]), ",").alias("near_subtypes"))
 
 
-def subtype_analysis_of_all(genomic: DataFrame, samples: DataFrame, predicted: str = "sclc_subtype") -> DataFrame:
+def subtype_analysis_of_all(genomic: DataFrame, samples: DataFrame, predicted: str = "sclc_subtype", also: Sequence[str] = ()) -> DataFrame:
     """Prediction, marker summary, similar-profile count and prompt of every sample in one row."""
     markers = {g: F.col(f"{g.lower()}_expression") for g in C.SUBTYPE_MARKERS}
     n = F.col("samples_found").cast("string")
     return similar_profiles_of_all(samples, genomic).select(
-        "sample_id", F.col(predicted).alias("predicted_subtype"), *M.marker_summary(markers), "samples_found",
+        "sample_id", F.col(predicted).alias("predicted_subtype"), *also, *M.marker_summary(markers), "samples_found",
         F.concat(F.lit("Found "), n, F.lit(" samples with similar biomarker expression patterns")).alias("message"),
         subtype_prompt(F.col(predicted)).alias("prompt"), F.lit("full_subtype_analysis").alias("analysis_type"))
 

@@ -6,6 +6,7 @@ from helixmart.plans import (  # noqa: F401  (they register themselves)
     jobs_events,
     jobs_features,
     jobs_ml,
+    jobs_scoring,
     jobs_similarity,
     jobs_stats,
 )
