@@ -1,10 +1,10 @@
 """Scoring a large table against a set of probe rows without a cross join.
 
-The large side is scanned once in Arrow batches, scored in blocks of bounded size
-against all probes. A task keeps the best rows (or the count) per probe over all its
-batches and writes them once, so its output does not grow with its input. Probes are shared with the tasks only while their number stays
-within MAX_PROBES. Beyond that both sides are cut into tiles by key and salt and
-met tile by tile through a shuffle, with the same result.
+Probes are written once as blocks in a shared file folder, neighbours in direction together. Every task of the large side
+streams the blocks past its rows, so no copy of the large side travels and the plan is the same for any number of
+probes. A block knows its centre and how far its probes lie from it; by the triangle inequality of angles, rows that no
+probe of the block can score high enough for are left out before any product is taken. A task keeps the best rows (or
+the count) per probe over all its batches and writes them once.
 """
 
 from __future__ import annotations
@@ -13,60 +13,80 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+import pyarrow.dataset as ds
+from pyarrow.fs import FileSystem
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from helixmart.functions import constants as C
+from helixmart.session import scratch_dir
 
-MAX_PROBES = 4096
-TILE_ROWS = 50_000
-#: Scores held at once by a task: 32 MB of doubles.
-BLOCK_SCORES = 4_000_000
+#: Probes of a block, rows of the large side that pass the blocks together, and scores held at once (32 MB of doubles).
+BLOCK_PROBES, ROWS_AT_ONCE, BLOCK_SCORES = 1024, 65_536, 4_000_000
+#: Blocks that a task keeps open; more are read again for the next rows.
+OPEN_BLOCKS = 64
 
-Kernel = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
+Kernel = Callable[[pd.DataFrame, object, pd.DataFrame | None], pd.DataFrame]
 Trim = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def probe_scan(corpus: DataFrame, probes: DataFrame, kernel: Kernel, schema: str,
-               max_probes: int = MAX_PROBES, trim: Trim | None = None) -> tuple[DataFrame, bool]:
-    """Apply ``kernel(corpus rows, probe rows)`` to every combination of both sides.
+def _blocks(folder: str, names: list[str], size: int, prepare) -> Iterator[object]:
+    fs, path = FileSystem.from_uri(folder)
+    for batch in ds.dataset(path, filesystem=fs, format="parquet").to_batches(columns=names, batch_size=size):
+        if batch.num_rows:
+            yield prepare(batch.to_pandas())
 
-    ``trim`` reduces the results a task has so far to what can still matter. Returns partial results and whether a
-    corpus row met the probes in several tiles.
+
+def probe_scan(corpus: DataFrame, probes: DataFrame, kernel: Kernel, schema: str, trim: Trim, per_row: bool = False,
+               prepare=lambda block: block, order: Column | None = None, size: int = BLOCK_PROBES) -> DataFrame:
+    """Apply ``kernel(corpus rows, probe block, what the block has so far)`` to every combination of both sides.
+
+    ``trim`` reduces results to what can still matter: those of a block, over all rows of a task, or with ``per_row`` those
+    of some rows, over all blocks. ``order`` puts neighbouring probes of a partition into one block.
     """
-    head = probes.limit(max_probes + 1).toPandas()
-    if len(head) <= max_probes:
-        shared = corpus.sparkSession.sparkContext.broadcast(head)
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            block, kept = shared.value, None
-            step = max(1, BLOCK_SCORES // max(1, len(block)))
-            for batch in batches if len(block) else ():
-                for at in range(0, len(batch), step):
-                    part = kernel(batch.iloc[at : at + step], block)
-                    if trim is None:
-                        yield part
-                    else:
-                        kept = trim(part if kept is None else pd.concat([kept, part], ignore_index=True))
-            if kept is not None:
-                yield kept
-
-        return corpus.mapInPandas(scan, schema), False
-
-    tiles = -(-2 * probes.count() // max_probes)
-    salts = max(1, -(-corpus.count() // TILE_ROWS))
-    # By row number, since equal rows must not share a tile; results do not depend on it.
-    left = corpus.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))).withColumn(
-        "_tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    right = probes.withColumn("_tile", F.pmod(F.xxhash64(probes.columns[0]), F.lit(tiles)).cast("int")).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    keys = [F.col("_tile").cast("int"), F.col("_salt").cast("int")]
-
-    def meet(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) and len(block):
-            return kernel(rows.drop(columns=["_tile", "_salt"]), block.drop(columns=["_tile", "_salt"]))
-        return pd.DataFrame()
-
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema), True
+    folder = scratch_dir(corpus.sparkSession, "probe-blocks")
+    (probes if order is None else probes.sortWithinPartitions(order)).write.parquet(folder)
+    names = probes.columns
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[int, pd.DataFrame] = {}
+        opened: list | None = []
+
+        def all_blocks():
+            nonlocal opened
+            if opened:
+                return opened
+            if opened is None:
+                return _blocks(folder, names, size, prepare)
+            for block in _blocks(folder, names, size, prepare):
+                opened.append(block)
+                if len(opened) > OPEN_BLOCKS:
+                    opened = None
+                    return _blocks(folder, names, size, prepare)
+            return opened
+
+        def meet(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            step, found = max(1, BLOCK_SCORES // size), []
+            for i, block in enumerate(all_blocks()):
+                for at in range(0, len(rows), step):
+                    part = kernel(rows.iloc[at : at + step], block, kept.get(i))
+                    if per_row:
+                        found.append(part)
+                    elif len(part):
+                        kept[i] = trim(pd.concat([kept[i], part], ignore_index=True) if i in kept else part)
+            if found:
+                yield trim(pd.concat(found, ignore_index=True))
+
+        waiting: list[pd.DataFrame] = []
+        for batch in batches:
+            waiting.append(batch)
+            if sum(map(len, waiting)) >= ROWS_AT_ONCE:
+                yield from meet(pd.concat(waiting, ignore_index=True))
+                waiting = []
+        if waiting:
+            yield from meet(pd.concat(waiting, ignore_index=True))
+        yield from kept.values()
+
+    return corpus.mapInPandas(scan, schema)
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -75,6 +95,35 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
+class VectorBlock:
+    """Unit vectors of some probes, their centre, and the cosine and sine of the widest angle to it."""
+
+    def __init__(self, block: pd.DataFrame, probe_id: str, vector: str):
+        block = block.sort_values(probe_id, kind="stable")
+        self.ids, self.unit = block[probe_id].to_numpy(), _unit(block[vector])
+        centre = self.unit.sum(axis=0)
+        length = np.linalg.norm(centre)
+        self.centre = centre / length if length > 0 else None
+        if self.centre is not None and (self.unit**2).sum(axis=1).min() > 0.5:
+            self.cos = float(np.clip((self.unit @ self.centre).min(), -1, 1))
+        else:  # vectors of length zero have no angle
+            self.centre, self.cos = None, -1.0
+        self.sin = float(np.sqrt(1 - self.cos**2))
+
+    def ceiling(self, rows: np.ndarray) -> np.ndarray:
+        """No probe's cosine with a (unit) row is above this: the angle to the centre less the widest angle."""
+        if self.centre is None:
+            return np.ones(len(rows))
+        cos = np.clip(rows @ self.centre, -1, 1)
+        bound = cos * self.cos + np.sqrt(1 - cos**2) * self.sin
+        return np.where(cos >= self.cos, 1.0, bound) + 1e-7
+
+
+def _direction(vector: str, places: int = 16) -> Column:
+    """Signs of the first components: probes that point alike get equal beginnings."""
+    return F.array_join(F.transform(F.slice(vector, 1, places), lambda x: F.when(x > 0, "1").otherwise("0")), "")
+
+
 def _best_rows(scores: np.ndarray, ids: np.ndarray, keep: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best kept rows: score descending, id ascending."""
     at = np.flatnonzero(keep)
@@ -99,53 +148,61 @@ def _same_space(corpus: DataFrame, probes: DataFrame, column: str) -> DataFrame:
 
 
 def vector_top_k(corpus: DataFrame, probes: DataFrame, corpus_id: str, probe_id: str, vector: str = "embedding",
-                 k: int = C.TOP_HITS, min_score: float = C.TEXT_MIN_SCORE, max_probes: int = MAX_PROBES) -> DataFrame:
+                 k: int = C.TOP_HITS, min_score: float = C.TEXT_MIN_SCORE, size: int = BLOCK_PROBES) -> DataFrame:
     """Per probe the k rows of highest cosine above ``min_score``: probe id, corpus id, score, place."""
-
-    def kernel(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        scores = np.round(_unit(rows[vector]) @ _unit(block[vector]).T, 9)
-        ids, out = rows[corpus_id].to_numpy(), []
-        for j, probe in enumerate(block[probe_id]):
-            at = _best_rows(scores[:, j], ids, scores[:, j] > min_score, k)
-            out.append(pd.DataFrame({probe_id: probe, corpus_id: ids[at], "score": scores[at, j]}))
-        return pd.concat(out)
-
     ids = dict(corpus.dtypes)[corpus_id], dict(probes.dtypes)[probe_id]
-    partial, _ = probe_scan(
+
+    def kernel(rows: pd.DataFrame, block: VectorBlock, kept: pd.DataFrame | None) -> pd.DataFrame:
+        unit, floor = _unit(rows[vector]), min_score
+        if kept is not None and len(kept) == k * len(block.ids):
+            floor = max(floor, float(kept["score"].min()))
+        near = np.flatnonzero(block.ceiling(unit) >= floor)
+        scores = np.round(unit[near] @ block.unit.T, 9)
+        names, out = rows[corpus_id].to_numpy()[near], []
+        for j, probe in enumerate(block.ids):
+            at = _best_rows(scores[:, j], names, scores[:, j] > min_score, k)
+            if len(at):
+                out.append((np.full(len(at), probe, block.ids.dtype), names[at], scores[at, j]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0)] * 3
+        return pd.DataFrame(dict(zip([probe_id, corpus_id, "score"], columns, strict=True)))
+
+    partial = probe_scan(
         _same_space(corpus, probes, vector).select(corpus_id, vector), probes.select(probe_id, vector), kernel,
-        f"{probe_id} {ids[1]}, {corpus_id} {ids[0]}, score double", max_probes,
-        _first_k([probe_id, "score", corpus_id], [True, False, True], k))
-    order = W.partitionBy(probe_id).orderBy(F.desc("score"), F.asc(corpus_id))
-    return partial.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+        f"{probe_id} {ids[1]}, {corpus_id} {ids[0]}, score double",
+        _first_k([probe_id, "score", corpus_id], [True, False, True], k), prepare=lambda b: VectorBlock(b, probe_id, vector),
+        order=_direction(vector), size=size)
+    best = W.partitionBy(probe_id).orderBy(F.desc("score"), F.asc(corpus_id))
+    return partial.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 
 
 def vector_best(scanned: DataFrame, probes: DataFrame, scanned_id: str, probe_id: str, vector: str = "embedding",
-                min_score: float | None = None, max_probes: int = MAX_PROBES) -> DataFrame:
-    """Per scanned row its closest probe: scanned id, probe id, score; narrow while probes are shared."""
+                min_score: float | None = None, size: int = BLOCK_PROBES) -> DataFrame:
+    """Per scanned row its closest probe: scanned id, probe id, score; narrow, and every row meets all probes in its task."""
+
+    def kernel(rows: pd.DataFrame, block: VectorBlock, _) -> pd.DataFrame:
+        unit = _unit(rows[vector])
+        at = np.flatnonzero(block.ceiling(unit) >= min_score) if min_score is not None else np.arange(len(rows))
+        scores = np.round(unit[at] @ block.unit.T, 9)
+        first = scores.argmax(axis=1) if len(at) else np.zeros(0, int)
+        return pd.DataFrame({"_row": rows.index.to_numpy()[at], scanned_id: rows[scanned_id].to_numpy()[at], probe_id: block.ids[first],
+                             "score": scores[np.arange(len(at)), first]})
 
-    def kernel(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(probe_id)
-        scores = np.round(_unit(rows[vector]) @ _unit(block[vector]).T, 9)
-        at = scores.argmax(axis=1)
-        return pd.DataFrame({scanned_id: rows[scanned_id].to_numpy(), probe_id: block[probe_id].to_numpy()[at],
-                             "score": scores[np.arange(len(at)), at]})
+    def nearest(found: pd.DataFrame) -> pd.DataFrame:
+        ordered = found.sort_values(["_row", "score", probe_id], ascending=[True, False, True], kind="stable")
+        return ordered.groupby("_row", sort=False).head(1).drop(columns="_row")
 
     ids = dict(scanned.dtypes)[scanned_id], dict(probes.dtypes)[probe_id]
-    found, tiled = probe_scan(
+    found = probe_scan(
         _same_space(scanned, probes, vector).select(scanned_id, vector), probes.select(probe_id, vector), kernel,
-        f"{scanned_id} {ids[0]}, {probe_id} {ids[1]}, score double", max_probes)
-    if tiled:
-        best = F.min(F.struct((-F.col("score")).alias("s"), F.col(probe_id)))
-        found = found.groupBy(scanned_id).agg(best.alias("b")).select(
-            scanned_id, F.col(f"b.{probe_id}"), (-F.col("b.s")).alias("score"))
+        f"{scanned_id} {ids[0]}, {probe_id} {ids[1]}, score double", nearest, per_row=True,
+        prepare=lambda b: VectorBlock(b, probe_id, vector), order=_direction(vector), size=size)
     return found if min_score is None else found.where(F.col("score") > min_score)
 
 
-def range_counts(corpus: DataFrame, probes: DataFrame, columns: list[str], probe_id: str, width: float,
-                 max_probes: int = MAX_PROBES) -> DataFrame:
+def range_counts(corpus: DataFrame, probes: DataFrame, columns: list[str], probe_id: str, width: float, size: int = BLOCK_PROBES) -> DataFrame:
     """Per probe the corpus rows where ANY of the columns lies within ``width``."""
 
-    def kernel(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+    def kernel(rows: pd.DataFrame, block: pd.DataFrame, _) -> pd.DataFrame:
         values, out = rows[columns].to_numpy(dtype=float), []
         for probe, centre in zip(block[probe_id], block[columns].to_numpy(dtype=float)):
             near = (values >= centre - width) & (values <= centre + width)
@@ -153,18 +210,17 @@ def range_counts(corpus: DataFrame, probes: DataFrame, columns: list[str], probe
         return pd.DataFrame(out, columns=[probe_id, "n"])
 
     kind = dict(probes.dtypes)[probe_id]
-    partial, _ = probe_scan(corpus.select(*columns), probes.select(probe_id, *columns), kernel,
-                            f"{probe_id} {kind}, n bigint", max_probes,
-                            lambda found: found.groupby(probe_id, as_index=False, sort=False).sum())
+    partial = probe_scan(corpus.select(*columns), probes.select(probe_id, *columns), kernel, f"{probe_id} {kind}, n bigint",
+                         lambda found: found.groupby(probe_id, as_index=False, sort=False).sum(), size=size)
     return partial.groupBy(probe_id).agg(F.sum("n").alias("n"))
 
 
 def nearest_rows(corpus: DataFrame, probes: DataFrame, columns: list[str], corpus_id: str, probe_id: str,
-                 k: int = 5, carry: str | None = None, max_probes: int = MAX_PROBES) -> DataFrame:
+                 k: int = 5, carry: str | None = None, size: int = BLOCK_PROBES) -> DataFrame:
     """Per probe the k rows of smallest Euclidean distance over the columns, with one carried text column."""
     extra = [carry] if carry else []
 
-    def kernel(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+    def kernel(rows: pd.DataFrame, block: pd.DataFrame, _) -> pd.DataFrame:
         values, ids, out = rows[columns].to_numpy(dtype=float), rows[corpus_id].to_numpy(), []
         for probe, centre in zip(block[probe_id], block[columns].to_numpy(dtype=float)):
             distance = np.round(np.sqrt(((values - centre) ** 2).sum(axis=1)), 9)
@@ -174,9 +230,9 @@ def nearest_rows(corpus: DataFrame, probes: DataFrame, columns: list[str], corpu
         return pd.concat(out)
 
     kinds = dict(corpus.dtypes)[corpus_id], dict(probes.dtypes)[probe_id]
-    partial, _ = probe_scan(
+    partial = probe_scan(
         corpus.select(corpus_id, *columns, *extra), probes.select(probe_id, *columns), kernel,
-        ", ".join([f"{probe_id} {kinds[1]}, {corpus_id} {kinds[0]}, distance double", *[f"{c} string" for c in extra]]), max_probes,
-        _first_k([probe_id, "distance", corpus_id], [True, True, True], k))
+        ", ".join([f"{probe_id} {kinds[1]}, {corpus_id} {kinds[0]}, distance double", *[f"{c} string" for c in extra]]),
+        _first_k([probe_id, "distance", corpus_id], [True, True, True], k), size=size)
     order = W.partitionBy(probe_id).orderBy("distance", corpus_id)
     return partial.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

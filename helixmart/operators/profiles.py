@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from helixmart.session import cut_lineage, scratch_dir
 
-#: Cells of a leaf, levels of the tree at most (65,536 leaves; beyond, leaves grow), and sampled cells per leaf.
-LEAF, MAX_DEPTH, SAMPLE_PER_LEAF = 2048, 16, 32
+#: Cells of a leaf where ranges are counted and where nearest rows are sought, levels of the tree at most (65,536 leaves;
+#: beyond, leaves grow), and sampled cells per leaf.
+LEAF, NEAR_LEAF, MAX_DEPTH, SAMPLE_PER_LEAF = 2048, 512, 16, 32
 #: Cells of a block of bit sets, and queries that stream the blocks together.
 BLOCK_CELLS, QUERIES_AT_ONCE = 4096, 1 << 18
 #: Distances held at once by a task.
@@ -220,7 +221,7 @@ def first_of_cells(rows: DataFrame, columns: list[str], row_id: str, k: int) ->
 
 
 def nearest_of_all(queries: DataFrame, corpus: DataFrame, columns: list[str], corpus_id: str = "sample_id", k: int = 5,
-                   carry: Sequence[str] = (), metric=None, leaf: int = LEAF) -> DataFrame:
+                   carry: Sequence[str] = (), metric=None, leaf: int = NEAR_LEAF) -> DataFrame:
     """The k corpus rows of smallest distance (Euclidean unless a metric is given) for every distinct point of ``queries``:
     the point's columns, distance, corpus id, carried columns and place; ties go to the smaller id. Rows with a missing
     or non-finite coordinate take no part."""

@@ -87,7 +87,7 @@ def test_vector_search_equals_brute_force_also_in_tiles(spark, limit):
     queries, qdf = vectors(spark, 40, 2, start=1000)
     qdf = qdf.withColumnRenamed("id", "query_id")
     got = {}
-    for r in probes.vector_top_k(cdf.repartition(5), qdf, "id", "query_id", k=3, min_score=0.3, max_probes=limit).collect():
+    for r in probes.vector_top_k(cdf.repartition(5), qdf, "id", "query_id", k=3, min_score=0.3, size=limit).collect():
         got.setdefault(r["query_id"], {})[r["place"]] = (r["id"], r["score"])
     for q, v in queries:
         want = sorted(((-round(cosine(v, c), 9), i) for i, c in corpus if round(cosine(v, c), 9) > 0.3))[:3]
@@ -95,7 +95,7 @@ def test_vector_search_equals_brute_force_also_in_tiles(spark, limit):
         assert [m[0] for m in mine] == [i for _, i in want]
         assert len(got.get(q, {})) == len(want)
     best = {r["id"]: (r["query_id"], r["score"]) for r in probes.vector_best(
-        cdf, qdf, "id", "query_id", min_score=None, max_probes=limit).collect()}
+        cdf, qdf, "id", "query_id", min_score=None, size=limit).collect()}
     for i, c in corpus:
         want = min((-round(cosine(c, v), 9), q) for q, v in queries)
         assert best[i][0] == want[1]
@@ -148,7 +148,7 @@ def test_profile_counts_equal_brute_force(spark, limit):
     names = S.MARKER_COLUMNS
     df = spark.createDataFrame(rows, "sample_id string, " + ", ".join(f"{n} double" for n in names))
     queries = df.limit(7).withColumnRenamed("sample_id", "q")
-    got = {r["q"]: r["n"] for r in probes.range_counts(df, queries, names, "q", 2.0, max_probes=limit).collect()}
+    got = {r["q"]: r["n"] for r in probes.range_counts(df, queries, names, "q", 2.0, size=limit).collect()}
     for q in queries.collect():
         assert got[q["q"]] == sum(any(abs(r[i + 1] - q[names[i]]) <= 2 for i in range(4)) for r in rows)
 
@@ -221,3 +221,33 @@ def test_quantiles_of_values_that_nearly_agree(spark):
     s = b.crossJoin(b.agg(F.min("v").alias("low"), F.max("v").alias("high"))).withColumn(
         "s", ranking._part(F.col("v"), F.col("low"), F.col("high")))
     assert s.groupBy("b", "s").count().agg(F.max("count")).first()[0] < 10
+
+
+def test_vector_blocks_leave_out_only_what_cannot_score():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(500, 8))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    for spread in (0.01, 0.3, 3.0):
+        vectors = rng.normal(size=8) + rng.normal(size=(20, 8)) * spread
+        block = probes.VectorBlock(pd.DataFrame({"q": range(20), "v": list(vectors)}), "q", "v")
+        assert (block.ceiling(rows) >= (rows @ block.unit.T).max(axis=1)).all()
+        if spread == 0.01:
+            assert (block.ceiling(rows) < 0.9).mean() > 0.5
+    with_zero = probes.VectorBlock(pd.DataFrame({"q": [1, 2], "v": [[0.0] * 8, [1.0] * 8]}), "q", "v")
+    assert (with_zero.ceiling(rows) >= 1).all()
+
+
+def test_one_plan_for_any_number_of_probes(spark):
+    from compare import plan
+
+    _, corpus = vectors(spark, 50, 1)
+    shapes = set()
+    for n in (3, 3000):
+        _, asked = vectors(spark, n, 2)
+        text = plan(probes.vector_top_k(corpus, asked.withColumnRenamed("id", "query_id"), "id", "query_id"))
+        assert "CoGroup" not in text and "Generate" not in text
+        shapes.add(tuple(line.strip().split(" ")[0] for line in text.splitlines()))
+    assert len(shapes) == 1
