@@ -9,6 +9,7 @@ from helixmart.plans.check_views import rnd
 from helixmart.plans.jobs_features import rounded
 from helixmart.plans.registry import CHECK_VIEWS, job
 from helixmart.session import scratch_dir
+from helixmart.sources import record_log
 from helixmart.sources.adapters import ADAPTERS
 from helixmart.streaming import jobs as stream
 
@@ -104,3 +105,12 @@ def _live_gap_sessions(w):
 
 
 job("l4_stream_gap_sessions", _GAP_SESSIONS)(_live_gap_sessions)
+
+
+def _log_stream(w):
+    folder = scratch_dir(w.spark, "record-log")
+    record_log.append_log(w["event_records"], f"{folder}/log")
+    return stream.drain(E.flatten(record_log.log_records(w.spark, f"{folder}/log")), folder).select("event_id", "event_type", "app_timestamp", "kafka_ingest_timestamp")
+
+
+job("a10_record_log_stream", "SELECT event_id, event_type, app_timestamp, kafka_ingest_timestamp FROM flat_events")(_log_stream)
