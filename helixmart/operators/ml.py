@@ -14,12 +14,11 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from helixmart.functions import constants as C
 from helixmart.operators import stats
+from helixmart.operators.components import leading_components
 from helixmart.operators.lookups import risk_level, scoring_defaults
 from helixmart.operators.ranking import group_quantiles
 from helixmart.session import cut_lineage
@@ -290,39 +289,31 @@ def cluster_markers(z_scored: DataFrame, columns: Sequence[str], k: int = 4) ->
     return model.transform(ready).select("sample_id", *columns, "cluster")
 
 
-MAX_PCA_COLUMNS = 2048
+#: Genes up to which the component analysis over gene columns is exact and in one pass.
+PCA_COLUMNS = 2048
 
 
-def sample_components(matrix: DataFrame, k: int = 2) -> DataFrame:
+def sample_components(matrix: DataFrame, k: int = 2, columns: int = PCA_COLUMNS) -> DataFrame:
     """First k components of the samples over standardised genes.
 
-    The shorter side decides: with few genes, component analysis over gene columns; with
-    few samples, the samples x samples product summed over genes, whose small square
-    is decomposed on the driver. Both sides beyond MAX_PCA_COLUMNS are refused.
+    With few genes, component analysis over gene columns; with many, subspace iteration over blocks of the matrix,
+    whatever the number of samples.
     """
-    sizes = matrix.agg(F.countDistinct("gene_symbol").alias("g"), F.countDistinct("sample_id").alias("s")).first()
-    if min(sizes["g"], sizes["s"]) > MAX_PCA_COLUMNS:
-        raise ValueError("both sides of the matrix are too wide; select genes first")
     moments = matrix.groupBy("gene_symbol").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
     z = matrix.join(moments, "gene_symbol").select(
         "gene_symbol", "sample_id",
         F.when(F.col("s") > 0, (F.col("value") - F.col("m")) / F.col("s")).otherwise(F.lit(0.0)).alias("z"))
-    rows, columns = ("sample_id", "gene_symbol") if sizes["g"] <= MAX_PCA_COLUMNS else ("gene_symbol", "sample_id")
-    names = [r[0] for r in z.select(columns).distinct().orderBy(columns).limit(MAX_PCA_COLUMNS).collect()]
-    index = z.sparkSession.createDataFrame(list(enumerate(names)), f"i int, {columns} string")
-    packed = z.join(F.broadcast(index), columns).groupBy(rows).agg(F.map_from_entries(F.collect_list(F.struct("i", "z"))).alias("c"))
-    wide = packed.select(rows, array_to_vector(F.transform(
+    names = [r[0] for r in moments.select("gene_symbol").orderBy("gene_symbol").limit(columns + 1).collect()]
+    if len(names) > columns:
+        scores, shares = leading_components(cut_lineage(z), "sample_id", "gene_symbol", "z", k)
+        return scores.select("sample_id", *[F.col("pc")[i].alias(f"pc{i + 1}") for i in range(k)],
+                             *[F.lit(float(shares[i])).alias(f"share{i + 1}") for i in range(k)])
+    index = z.sparkSession.createDataFrame(list(enumerate(names)), "i int, gene_symbol string")
+    packed = z.join(F.broadcast(index), "gene_symbol").groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "z"))).alias("c"))
+    wide = packed.select("sample_id", array_to_vector(F.transform(
         F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.coalesce(F.col("c")[i], F.lit(0.0)))).alias("features"))
-    if rows == "sample_id":
-        model = PCA(k=k, inputCol="features", outputCol="pc").fit(wide)
-        shares = [float(x) for x in model.explainedVariance.toArray()]
-        scores = model.transform(wide).withColumn("_pc", vector_to_array("pc"))
-        return scores.select("sample_id", *[F.col("_pc")[i].alias(f"pc{i + 1}") for i in range(k)],
-                             *[F.lit(shares[i]).alias(f"share{i + 1}") for i in range(k)])
-    gram = RowMatrix(wide.select(vector_to_array("features")).rdd.map(lambda r: Vectors.dense(r[0]))).computeGramianMatrix().toArray()
-    values, vectors = np.linalg.eigh(gram)
-    best = np.argsort(values)[::-1][:k]
-    data = [(name, *[float(vectors[j, b] * np.sqrt(max(values[b], 0))) for b in best],
-             *[float(values[b] / values.sum()) for b in best]) for j, name in enumerate(names)]
-    fields = ", ".join([f"pc{i + 1} double" for i in range(k)] + [f"share{i + 1} double" for i in range(k)])
-    return z.sparkSession.createDataFrame(data, f"sample_id string, {fields}")
+    model = PCA(k=k, inputCol="features", outputCol="pc").fit(wide)
+    shares = [float(x) for x in model.explainedVariance.toArray()]
+    scores = model.transform(wide).withColumn("_pc", vector_to_array("pc"))
+    return scores.select("sample_id", *[F.col("_pc")[i].alias(f"pc{i + 1}") for i in range(k)],
+                         *[F.lit(shares[i]).alias(f"share{i + 1}") for i in range(k)])

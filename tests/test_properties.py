@@ -196,8 +196,7 @@ def test_components_agree_between_orientations(spark, monkeypatch):
     rows = [(f"g{g}", f"s{s}", rnd.gauss(0, 1) + (3.0 if s < 4 and g < 5 else 0.0)) for g in range(12) for s in range(9)]
     df = spark.createDataFrame(rows, "gene_symbol string, sample_id string, value double")
     by_gene = {r["sample_id"]: r for r in ml.sample_components(df).collect()}
-    monkeypatch.setattr(ml, "MAX_PCA_COLUMNS", 10)
-    by_sample = {r["sample_id"]: r for r in ml.sample_components(df).collect()}
+    by_sample = {r["sample_id"]: r for r in ml.sample_components(df, columns=10).collect()}
     for s, r in by_gene.items():
         assert abs(r["pc1"]) == pytest.approx(abs(by_sample[s]["pc1"]), abs=1e-6)
         assert r["share1"] == pytest.approx(by_sample[s]["share1"], abs=1e-9)
