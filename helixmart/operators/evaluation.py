@@ -98,4 +98,5 @@ def user_turns(turns: DataFrame) -> DataFrame:
 
 
 def notes_of(notes: DataFrame, user_id: int) -> DataFrame:
-    return notes.where(F.col("user_id") == user_id).orderBy(F.desc("created_at"))
+    """A user's notes, newest first."""
+    return notes.where(F.col("user_id") == user_id).orderBy(F.desc("created_at"), "note_id")

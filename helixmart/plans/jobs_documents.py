@@ -326,6 +326,19 @@ SELECT conv_id, CAST(turn // 4 AS INT) AS part, '[' || string_agg(json_object('r
 job("a17_note_turns", """
 SELECT conv_id, CAST(turn // 4 AS INT) AS part, CAST(turn % 4 AS INT) AS turn_in_part, role, content FROM chat_turns""")(
     lambda w: E.note_turns(E.note_parts(w["chat_turns"], per_part=4)))
+V["chat_notes"] = """
+SELECT conv_id AS note_id, CAST(conv_id % 50 AS INT) AS user_id, DATE '2024-01-01' + CAST(conv_id * 37 % 365 AS INT) AS created_at,
+ count(*) FILTER (role = 'user') AS total_queries FROM chat_turns GROUP BY conv_id"""
+
+
+def chat_notes(w):
+    """One note per chat, with its owner and day."""
+    return w["chat_turns"].groupBy(F.col("conv_id").alias("note_id")).agg(F.count_if(F.col("role") == "user").alias("total_queries")).select(
+        "note_id", (F.col("note_id") % 50).cast("int").alias("user_id"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("note_id") * 37 % 365).cast("int")).alias("created_at"), "total_queries")
+
+
+job("a17_notes_of_user", "SELECT * FROM chat_notes WHERE user_id = 7 ORDER BY created_at DESC, note_id")(lambda w: E.notes_of(chat_notes(w), 7))
 job("d28_user_turns", "SELECT conv_id, count(*) FILTER (role = 'user') AS total_queries FROM chat_turns GROUP BY conv_id")(
     lambda w: E.user_turns(w["chat_turns"]))
 job("d30_feedback_by_day", f"""

@@ -413,12 +413,13 @@ job("f2_first_expression_ids", "SELECT DISTINCT sample_id FROM stg_gene_expressi
     lambda w: w["stg_gene_expression"].select("sample_id").distinct().orderBy("sample_id").limit(20))
 job("f2_first_genomic_ids", "SELECT DISTINCT sample_id FROM mart_risk_features_genomic ORDER BY sample_id LIMIT 20")(
     lambda w: w["genomic_features"].select("sample_id").distinct().orderBy("sample_id").limit(20))
-job("f3_preview_genomic", "SELECT sample_id, sclc_subtype FROM mart_risk_features_genomic ORDER BY sample_id LIMIT 10")(
-    lambda w: w["mart_risk_features_genomic"].select("sample_id", "sclc_subtype").orderBy("sample_id").limit(10))
-job("f3_preview_expression", """
-SELECT sample_id, gene_symbol, expression_value FROM stg_gene_expression ORDER BY sample_id, gene_symbol, expression_value LIMIT 20""")(
-    lambda w: w["stg_gene_expression"].select("sample_id", "gene_symbol", "expression_value").orderBy(
-        "sample_id", "gene_symbol", "expression_value").limit(20))
+# Whole rows: no column is left out, and ties are settled by every column.
+job("f3_preview_genomic", f"SELECT * REPLACE ({replaced(_GENOMIC_DIGITS)}) FROM mart_risk_features_genomic ORDER BY sample_id LIMIT 10")(
+    lambda w: rounded(w["mart_risk_features_genomic"].orderBy("sample_id").limit(10), _GENOMIC_DIGITS))
+_STG = ["sample_id", "gene_symbol", "expression_value", "log2_expression", "expression_level"]
+job("f3_preview_expression", f"""
+SELECT * REPLACE ({replaced({"log2_expression": 9})}) FROM stg_gene_expression ORDER BY {', '.join(f'{c} NULLS FIRST' for c in _STG)} LIMIT 20""")(
+    lambda w: rounded(w["stg_gene_expression"].orderBy(*[F.asc_nulls_first(c) for c in _STG]).limit(20), {"log2_expression": 9}))
 job("f4_top3_per_sample", f"SELECT {', '.join(_REC)} FROM mart_treatment_recommendations WHERE drug_rank <= 3 ORDER BY sample_id, drug_rank LIMIT 30")(
     lambda w: w["mart_treatment_recommendations"].where(F.col("drug_rank") <= 3).select(*_REC)
     .orderBy("sample_id", "drug_rank").limit(30))
