@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from helixmart.functions import constants as C
@@ -87,8 +89,8 @@ def chunk(papers: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OV
     )
 
 
-def chunk_page_rows(pages: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP) -> DataFrame:
-    """The same chunks from one row per page, without ever gathering a paper.
+def chunk_page_rows(pages: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP, hashed: bool = False) -> DataFrame:
+    """The same chunks from one row per page, without ever gathering a paper; ``hashed`` adds the paper's content_hash.
 
     Each page gives the piece it adds to every chunk it touches; a chunk then joins its
     few pieces. A paper with most of all pages is spread over tasks like any other rows.
@@ -111,11 +113,39 @@ def chunk_page_rows(pages: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C
     joined = pieces.groupBy("paper_id", "chunk_index").agg(
         F.sort_array(F.collect_list(F.struct("page_number", "_piece"))).alias("_p"),
         F.max("_high").alias("_end"), F.min("page_number").alias("start_page"), F.max("page_number").alias("end_page"))
-    return joined.select(
+    chunks = joined.select(
         "paper_id", "chunk_index", F.array_join(F.col("_p._piece"), "").alias("chunk_text"),
         (F.col("chunk_index") * step).alias("start_char"), F.col("_end").cast("int").alias("end_char"),
         "start_page", "end_page", F.col("_p.page_number").alias("pages_spanned"),
     ).withColumn("chunk_hash", F.sha2("chunk_text", 256))
+    return chunks.join(content_hashes(pages), "paper_id") if hashed else chunks
+
+
+def content_hashes(pages: DataFrame) -> DataFrame:
+    """(paper_id, content_hash) from one row per page: SHA-256 over the pages in order, each followed by a line break. Pages
+    pass a task one after the other, so a paper is never held as a whole."""
+
+    def digest(batches):
+        paper, state, out = None, None, []
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                for name, text in zip(part["paper_id"].to_pylist(), part["text"].to_pylist(), strict=True):
+                    if state is None or name != paper:
+                        if state is not None:
+                            out.append((paper, state.hexdigest()))
+                        paper, state = name, hashlib.sha256()
+                    state.update(f"{text or ''}\n".encode("utf-8", "surrogatepass"))
+                if len(out) > 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["paper_id", "content_hash"])
+                    out = []
+        if state is not None:
+            out.append((paper, state.hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["paper_id", "content_hash"])
+
+    ordered = pages.select(F.col("paper_id").cast("string").alias("paper_id"), "page_number", "text").repartition("paper_id").sortWithinPartitions(
+        "paper_id", "page_number")
+    return ordered.select("paper_id", "text").mapInArrow(digest, "paper_id string, content_hash string")
 
 
 # -- ledgers ---------------------------------------------------------------------------------

@@ -51,6 +51,8 @@ SELECT paper_id, chunk_index, start_page, end_page, array_to_string(range(start_
         F.col("pages_spanned").cast("array<string>"), ",").alias("pages_spanned")))
 job("i3_hashes", "SELECT paper_id, chunk_index, content_hash, sha256(chunk_text) AS chunk_hash FROM chunks")(
     lambda w: chunks(w).select("paper_id", "chunk_index", "content_hash", "chunk_hash"))
+job("i3_hashes_from_page_rows", "SELECT paper_id, chunk_index, content_hash, sha256(chunk_text) AS chunk_hash FROM chunks")(
+    lambda w: D.chunk_page_rows(D.page_rows(papers(w)), hashed=True).select("paper_id", "chunk_index", "content_hash", "chunk_hash"))
 job("a6_page_rows", """
 SELECT 'PMC' || doc_id AS paper_id, CAST(s // 3000 + 1 AS INT) AS page_number, substring(text, s + 1, 3000) AS text,
  CAST(length(substring(text, s + 1, 3000)) AS INT) AS char_count

@@ -29,7 +29,8 @@ def test_chunks_equal_brute_force(spark, pages):
     full = "".join(p + "\n" for p in pages)
     assert {r["content_hash"] for r in rows} == {hashlib.sha256(full.encode()).hexdigest()}
     assert "".join(r["chunk_text"][: 800] for r in rows[:-1]) + rows[-1]["chunk_text"] == full
-    again = sorted(D.chunk_page_rows(D.page_rows(df)).collect(), key=lambda r: r["chunk_index"])
+    again = sorted(D.chunk_page_rows(D.page_rows(df), hashed=True).collect(), key=lambda r: r["chunk_index"])
+    assert {r["content_hash"] for r in again} == {hashlib.sha256(full.encode()).hexdigest()}
     assert [(r["chunk_index"], r["chunk_text"], r["start_char"], r["end_char"], list(r["pages_spanned"])) for r in again] == want
     assert all(r["chunk_hash"] == hashlib.sha256(r["chunk_text"].encode()).hexdigest() for r in rows)
 
