@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import struct
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from helixmart import schemas
@@ -51,10 +53,21 @@ def read_expression_tsv(spark: SparkSession, path: str, partitions: int | None =
 
 
 def read_wide_csv(spark: SparkSession, path: str, index: str = "line_id") -> DataFrame:
-    """CSV with an unnamed index column and one column per gene, unfolded to long form at once."""
-    wide = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    first, *genes = wide.columns
-    long = wide.withColumnRenamed(first, index).unpivot([index], genes, "column_name", "cell")
+    """CSV with an unnamed index column and one column per gene, to long form. Lines are unfolded as they are read, so the
+    plan has three columns whatever the number of genes. A cell holds no line break; missing cells are NULL."""
+    first = spark.read.text(path).limit(1).first()
+    header = next(csv.reader([first["value"]])) if first else [""]
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(header[1:], pa.string())
+        for batch in batches:
+            for row in csv.reader(batch["value"].to_pylist()):
+                if row and row != header:
+                    cells = (row[1:] + [None] * len(names))[: len(names)]
+                    yield pa.RecordBatch.from_arrays([pa.array([row[0]] * len(names), pa.string()), names, pa.array(cells, pa.string())],
+                                                     [index, "column_name", "cell"])
+
+    long = spark.read.text(path).mapInArrow(unfold, f"{index} string, column_name string, cell string")
     return long.select(index, "column_name", F.col("cell").try_cast("double").alias("value"))
 
 

@@ -103,3 +103,14 @@ def test_writes(spark, tmp_path):
     assert sinks.materialise(df, str(tmp_path / "t"), ["i"]).count() == 2
     files.write_csv(df, str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["i", "s"]
+
+
+def test_wide_csv_of_many_columns(spark, tmp_path):
+    names = [f"G{i} ({i})" for i in range(20_000)]
+    quoted = ",".join(['""', '"A, first (1)"', *names])
+    (tmp_path / "wide.csv").write_text(quoted + "\n" + "\n".join(",".join([f"L{r}", *[str(r + c) for c in range(20_001)]]) for r in range(3)) + "\nshort,7\n\n")
+    long = files.read_wide_csv(spark, str(tmp_path / "wide.csv"))
+    assert long.count() == 4 * 20_001
+    rows = {(r["line_id"], r["column_name"]): r["value"] for r in long.where("column_name IN ('A, first (1)', 'G19999 (19999)')").collect()}
+    assert rows == {("L0", "A, first (1)"): 0.0, ("L1", "A, first (1)"): 1.0, ("L2", "A, first (1)"): 2.0, ("short", "A, first (1)"): 7.0,
+                    ("L0", "G19999 (19999)"): 20000.0, ("L1", "G19999 (19999)"): 20001.0, ("L2", "G19999 (19999)"): 20002.0, ("short", "G19999 (19999)"): None}
