@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +11,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from helixmart.session import scratch_dir
+
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 #: Postings in one chunk of documents, and documents in it (row numbers are 16 bit).
 CHUNK_POSTINGS, CHUNK_ROWS = 400_000, 4096
@@ -21,16 +21,9 @@ CHUNK_POSTINGS, CHUNK_ROWS = 400_000, 4096
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only a local session may do without the setting; it then takes a temporary folder.
+    Only a local session of one process may do without the setting; it then takes a temporary folder.
     """
-    conf = spark.sparkContext.getConf()
-    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="helixmart-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark, 'llm')}/rows"
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -49,6 +42,25 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+#: Word tables that a worker remembers between tasks: name -> what empties it.
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+_IN_USE: list[tuple[str, ...]] = [()]
+
+
+def remembered(name: str, clear: Callable[[], None]) -> None:
+    _REMEMBERED[name] = clear
+
+
+def only(*names: str) -> None:
+    """Workers live on from stage to stage: the first task of a stage with other word tables empties those of the last,
+    so that a worker never holds more than one stage's."""
+    if _IN_USE[0] != names:
+        for name, clear in _REMEMBERED.items():
+            if name not in names:
+                clear()
+        _IN_USE[0] = names
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, computed once per worker; emptied when full, so its memory is bounded."""
 
@@ -62,6 +74,7 @@ class WordHashes(dict):
 
 
 WORDS = WordHashes()
+remembered("words", WORDS.clear)
 
 
 def encoded(text: str | None) -> bytes:
@@ -91,8 +104,10 @@ def window_hashes(a: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
     return mixed(h)
 
 
-def text_batches(batches: Iterable[pa.RecordBatch], columns: list[str]) -> Iterator[tuple]:
-    """Rows of the batches, converted in slices so that few Python strings live at once."""
+def text_batches(batches: Iterable[pa.RecordBatch], columns: list[str], *tables: str) -> Iterator[tuple]:
+    """Rows of the batches, converted in slices so that few Python strings live at once; ``tables`` are the word tables
+    that the task goes on to use."""
+    only(*tables)
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)

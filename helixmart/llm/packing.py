@@ -123,7 +123,7 @@ def _tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         enc, part, sent = encoder(tokenizer), TaskContext.get().partitionId(), {}
         narrow = max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 65536
         out, held = [], 0
-        for doc_id, source, queue, text in text_batches(batches, ["doc_id", "source", "queue", "text"]):
+        for doc_id, source, queue, text in text_batches(batches, ["doc_id", "source", "queue", "text"], "encoders"):
             ids = enc.encode(text) + end
             n = len(ids) // 4
             if narrow:

@@ -211,7 +211,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     def symbols(batches):
         chunks = _Chunks(buckets)
-        for doc_id, tie, text in text_batches(batches, ["doc_id", "tie", "text"]):
+        for doc_id, tie, text in text_batches(batches, ["doc_id", "tie", "text"], "words"):
             names, _ = window_symbols(word_hashes(encoded(text).split()))
             if len(names):
                 yield from chunks.add(doc_id, tie, np.unique(names))
@@ -222,7 +222,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     def windows(batches):
         chunks = _Chunks(buckets)
-        for doc_id, tie, text, flags in text_batches(batches, ["doc_id", "tie", "text", "flags"]):
+        for doc_id, tie, text, flags in text_batches(batches, ["doc_id", "tie", "text", "flags"], "words"):
             h = word_hashes(encoded(text).split())
             at, keys = _of_shared_symbol(h, flags)
             yield from chunks.add(doc_id, tie, keys, (window_hashes(h, WINDOW, 1)[at] >> np.uint64(32)).astype(np.uint32))
@@ -234,7 +234,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def cut(batches):
         for batch in batches:
             out = []
-            for doc_id, text, flags, bits in text_batches([batch], ["doc_id", "text", "flags", "late"]):
+            for doc_id, text, flags, bits in text_batches([batch], ["doc_id", "text", "flags", "late"], "words"):
                 words = encoded(text).split()
                 n, gone = len(words), 0
                 if bits is not None:

@@ -7,6 +7,8 @@ from struct import Struct
 
 from tokenizers import Tokenizer
 
+from helixmart.llm.common import only, remembered
+
 #: Words of ASCII and Latin-1 letters, maybe with a comma or full stop: their normal form and cuts are plain.
 _PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,]?)\Z").match
 _LETTERS = [chr(c) for c in (*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100))]
@@ -65,7 +67,7 @@ class WordEncoder:
     tried on a sample of words.
     """
 
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, limit: int = 400_000):
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         tries = [*_LETTERS, "the", "straße", "École", "ab", "a.", "Über,", "Ab,"]
         short, whole = _Known(self.tokenizer, True, {}), _Known(self.tokenizer, False, {})
@@ -84,10 +86,12 @@ class WordEncoder:
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
+remembered("encoders", _ENCODERS.clear)
 
 
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder for a tokenizer file."""
+    only("encoders")
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
