@@ -19,9 +19,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixmart.llm.common import MULTIPLIERS, encoded, mixed, stored, table, text_batches, window_hashes, word_hashes
+from helixmart.llm.common import MULTIPLIERS, encoded, mixed, remembered, stored, table, text_batches, window_hashes, word_hashes
 
 #: Words of a window, literal words it must have, and words of an item that must be covered (all that its windows hold,
 #: if they hold fewer).
@@ -46,43 +47,65 @@ ANCHOR = 7
 _EDGES = "\"'()[]{}<>.,;:!?…«»“”‘’`*_|"
 
 
-class _Templates(dict):
-    """token -> (name in the template, slot value or None); emptied when full."""
+def _template_of(token: str) -> tuple[str, str | None]:
+    """Name in the template and slot value (None for a literal word); the name is empty for punctuation alone."""
+    bare = token.strip(_EDGES)
+    low = bare.lower()
+    m = _NUMBER(low)
+    if not bare:
+        return "", None
+    if (m and (not m[1] or m[1] in _UNITS)) or low in _NUMBER_WORDS:
+        return "<number>", low
+    if low in _UNITS:
+        return "<unit>", low
+    if bare[0].isupper():
+        return "<name>", low
+    return low, None
 
-    def __missing__(self, token: str):
+
+class _Codes(dict):
+    """token -> 64-bit hash of its name, the last bit telling a slot; 0 for punctuation alone. Emptied when full."""
+
+    def __missing__(self, token: str) -> int:
         if len(self) > 300_000:
             self.clear()
-        bare = token.strip(_EDGES)
-        low = bare.lower()
-        m = _NUMBER(low)
-        if not bare:
-            found = ("", None)
-        elif (m and (not m[1] or m[1] in _UNITS)) or low in _NUMBER_WORDS:
-            found = ("<number>", low)
-        elif low in _UNITS:
-            found = ("<unit>", low)
-        elif bare[0].isupper():
-            found = ("<name>", low)
-        else:
-            found = (low, None)
-        self[token] = found = (encoded(found[0]), found[1])
-        return found
+        name, slot = _template_of(token)
+        code = 0 if not name else (xxhash.xxh3_64_intdigest(encoded(name)) | 3) - (slot is None)
+        if len(token) <= 64:
+            self[token] = code
+        return code
+
+
+_CODES = _Codes()
+remembered("templates", _CODES.clear)
+
 
+class Template:
+    """The codes of a text's words; what stood in the slots is read from the tokens only where it is asked for."""
 
-_TEMPLATES = _Templates()
+    def __init__(self, text: str | None):
+        self.tokens = (text or "").split()
+        codes = np.fromiter(map(_CODES.__getitem__, self.tokens), np.uint64, len(self.tokens))
+        self.at = np.flatnonzero(codes)
+        self.codes = codes[self.at] if len(self.at) < len(codes) else codes
+        self.slots = (self.codes & np.uint64(1)).astype(bool)
 
+    def __len__(self) -> int:
+        return len(self.codes)
 
-def template(text: str | None) -> tuple[list[bytes], list[str | None]]:
-    """Names and slot values of a text's words; tokens of punctuation alone are left out."""
-    pairs = [p for p in map(_TEMPLATES.__getitem__, (text or "").split()) if p[0]]
-    return [p[0] for p in pairs], [p[1] for p in pairs]
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of each window, and which windows have enough literal words."""
+        h = window_hashes(self.codes, width)
+        literal = np.concatenate([[0], np.cumsum(~self.slots)])
+        return h, (literal[width:] - literal[:-width]) >= LITERALS if len(h) else np.empty(0, bool)
 
+    def names(self) -> list[str]:
+        return [_template_of(self.tokens[i])[0] for i in self.at.tolist()]
 
-def _windows(names: list[bytes], slots: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window, and which windows have enough literal words."""
-    h = window_hashes(word_hashes(names), width)
-    literal = np.concatenate([[0], np.cumsum([s is None for s in slots])])
-    return h, (literal[width:] - literal[:-width]) >= LITERALS if len(h) else np.empty(0, bool)
+    def values(self, start: int, width: int) -> list[str]:
+        """Slot values of a window, empty for literal words."""
+        return [_template_of(self.tokens[i])[1] or "" if s else "" for i, s in zip(
+            self.at[start : start + width].tolist(), self.slots[start : start + width].tolist(), strict=True)]
 
 
 _HITS = "key long, doc_id long, tie long, at int, slots array<string>"
@@ -101,6 +124,7 @@ class _Literals(dict):
 
 
 _LITERAL_WORDS = _Literals()
+remembered("literals", _LITERAL_WORDS.clear)
 
 
 def literals(text: str | None) -> list[bytes]:
@@ -121,24 +145,23 @@ def range_hashes(h: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
 def literal_items(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """(key, anchor, length, item_id, item_words) of the items that must be met word for word.
 
-    These are items without any window, with words of a script without spaces, and of a template that an item of
-    smaller id has with other slots (they count as that item). Items of numbers and units alone are left out.
+    These are items without any window (short ones, those of names, numbers and units), with words of a script without
+    spaces, and of a template that an item of smaller id has with other slots (they count as that item).
     """
 
     def cut(batches):
-        for item, text in text_batches(batches, ["item_id", "text"]):
-            names, slots = template(text)
-            words = literals(text)
-            if not words or all(n in (b"<number>", b"<unit>") for n in names):
+        for item, text in text_batches(batches, ["item_id", "text"], "words", "templates", "literals"):
+            t, words = Template(text), literals(text)
+            if not words:
                 continue
             h = word_hashes(words)
-            alone = not _windows(names, slots, width)[1].any() or bool(_IS_UNSPACED(text))
+            alone = not t.windows(width)[1].any() or bool(_IS_UNSPACED(text))
             # Without windows a template tells nothing; such items are one only if their words are.
-            form = b" ".join([b"=", *words] if alone else names).decode("utf-8", "replace")
+            form = b" ".join([b"=", *words]).decode("utf-8", "replace") if alone else " ".join(t.names())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range_hashes(h, np.zeros(1, np.int64), len(h)).view(np.int64)),
                  pa.array(window_hashes(h[:ANCHOR], min(ANCHOR, len(h))).view(np.int64)), pa.array([len(h)], pa.int32()),
-                 pa.array([item], pa.int64()), pa.array([max(len(names), 1)], pa.int32()), pa.array([form]), pa.array([alone])],
+                 pa.array([item], pa.int64()), pa.array([max(len(t), 1)], pa.int32()), pa.array([form]), pa.array([alone])],
                 ["key", "anchor", "length", "item_id", "item_words", "form", "alone"])
 
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -157,7 +180,7 @@ def verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     def cut(batches):
         anchors, keys = shared.value
-        for doc_id, tie, text in text_batches(batches, ["doc_id", "tie", "text"]):
+        for doc_id, tie, text in text_batches(batches, ["doc_id", "tie", "text"], "words", "templates", "literals"):
             h = word_hashes(literals(text))
             at = {n: np.flatnonzero(_marked(anchors, window_hashes(h, n))) for n in {min(ANCHOR, n) for n in lengths}}
             for n in lengths:
@@ -193,16 +216,16 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     hold. Items of one template count as the one of smallest id."""
 
     def cut(batches):
-        for item, text in text_batches(batches, ["item_id", "text"]):
-            names, slots = template(text)
-            h, good = _windows(names, slots, width)
+        for item, text in text_batches(batches, ["item_id", "text"], "words", "templates", "literals"):
+            t = Template(text)
+            h, good = t.windows(width)
             at = np.flatnonzero(good)
             if len(at):
-                form = b" ".join(names).decode("utf-8", "replace")
+                form = " ".join(t.names())
                 reach = len(np.unique(at[:, None] + np.arange(width)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[at].view(np.int64)), pa.array([item] * len(at), pa.int64()), pa.array([len(names)] * len(at), pa.int32()),
-                     pa.array([reach] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array([[s or "" for s in slots[i : i + width]] for i in at.tolist()], pa.list_(pa.string())),
+                    [pa.array(h[at].view(np.int64)), pa.array([item] * len(at), pa.int64()), pa.array([len(t)] * len(at), pa.int32()),
+                     pa.array([reach] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array([t.values(i, width) for i in at.tolist()], pa.list_(pa.string())),
                      pa.array([form] * len(at))], ["key", "item_id", "item_words", "reach", "item_at", "item_slots", "form"])
 
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -252,7 +275,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     """(doc_id, tie, item_id, covered_words, item_words, n_windows, same_slots): one row per document (doc_id, text)
     and benchmark item (item_id, text) found in it; tie is a hash of the text.
 
-    Null and empty texts, and items of numbers and units alone, match nothing; items that only a verbatim copy can tell
+    Null and empty texts match nothing; items that only a verbatim copy can tell
     (``literal_items``) have n_windows 0 unless windows found them too. Items with one template count as the one with
     the smallest id; null item ids are ignored. Repeated rows of
     documents give one row. Empty tables give no rows.
@@ -263,12 +286,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
 
     def cut(batches):
         bits, out = shared.value, []
-        for doc_id, tie, text in text_batches(batches, ["doc_id", "tie", "text"]):
-            names, slots = template(text)
-            h, good = _windows(names, slots, width)
-            good &= _marked(bits, h)
-            for i in np.flatnonzero(good).tolist():
-                out.append((int(h[i].view(np.int64)), doc_id, tie, i, [s or "" for s in slots[i : i + width]]))
+        for doc_id, tie, text in text_batches(batches, ["doc_id", "tie", "text"], "words", "templates", "literals"):
+            t = Template(text)
+            h, good = t.windows(width)
+            some = np.flatnonzero(good)
+            for i in some[_marked(bits, h[some])].tolist():
+                out.append((int(h[i].view(np.int64)), doc_id, tie, i, t.values(i, width)))
             if len(out) > 5000:
                 yield _hit_batch(out)
                 out = []

@@ -54,7 +54,7 @@ def test_repeated_sentences_are_covered_whole(spark):
 
 def test_equal_templates_and_odd_items(spark):
     items = [(5, OTHER), (4, OTHER), (None, OTHER), (6, None), (7, ""), (8, "too short"), (9, "1 2 3 4 5 6 7 8 9 10 11 12 13")]
-    assert set(found(spark, [OTHER, "1 2 3 4 5 6 7 8 9 10 11 12 13"], items)) == {(0, 4)}
+    assert set(found(spark, [OTHER, "1 2 3 4 5 6 7 8 9 10 11 12 13", "1 2 3 4 5 6 7 8 9 10 11 12 14"], items)) == {(0, 4), (1, 9)}
 
 
 def test_every_item_with_words_is_found_verbatim(spark):
@@ -86,9 +86,53 @@ def test_op5_over_the_table(spark, tiny):
     """Whatever holds a whole item word for word is found, and nothing that shares less than 7 words with any."""
     docs = {r.doc_id: (r.text or "") for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
     bench = {r.item_id: r.text for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()}
-    strip = lambda t: [b.decode() for b in D.template(t)[0]]
+    strip = lambda t: D.Template(t).names()
     windows = {tuple(w[i : i + 7]) for w in map(strip, bench.values()) for i in range(len(w) - 6)}
     whole = {d for d, t in docs.items() if any(" ".join(b.split()) in " ".join(t.split()) for b in bench.values())}
     near = {d for d, t in docs.items() for w in [strip(t)] if any(tuple(w[i : i + 7]) in windows for i in range(len(w) - 6))}
     got = {r.doc_id for r in D.op5_decontaminate(spark, tiny).collect()}
     assert whole and whole <= got <= near
+
+
+def brute_windows(text, width):
+    """(position, names, slots) of the windows with enough literal words, by plain loops."""
+    pairs = [p for p in map(D._template_of, (text or "").split()) if p[0]]
+    return [(i, tuple(p[0] for p in pairs[i : i + width]), [p[1] or "" for p in pairs[i : i + width]]) for i in range(len(pairs) - width + 1)
+            if sum(p[1] is None for p in pairs[i : i + width]) >= D.LITERALS]
+
+
+def test_windows_against_plain_loops():
+    rng = random.Random(6)
+    words = ["The", "the", "12", "12%", "kg", "seven", "...", "Anna", "box,", "(room)", "goes", "é", "水"]
+    for n in (0, 3, 7, 60):
+        text = " ".join(rng.choice(words) for _ in range(n))
+        t = D.Template(text)
+        h, good = t.windows(D.WIDTH)
+        at = D.np.flatnonzero(good).tolist()
+        want = brute_windows(text, D.WIDTH)
+        assert [(i, t.values(i, D.WIDTH)) for i in at] == [(i, s) for i, _, s in want]
+        by_hash = {}
+        for i, names, _ in want:
+            assert by_hash.setdefault(int(h[i]), names) == names
+        assert len(by_hash) == len({names for _, names, _ in want})
+
+
+def test_documents_against_plain_search(spark):
+    """Every document meets every item in a second, slow form of the rule: windows by dictionary, then the same places."""
+    rng = random.Random(12)
+    items = [(i, f"{noise(rng, 14)} {rng.randrange(90)} kg of {noise(rng, 3)} for Anna {i}") for i in range(6)]
+    texts = [noise(rng, 30) for _ in range(10)]
+    for i, text in items:
+        changed = " ".join(str(int(w) + 7) if w.isdigit() else w for w in text.split())
+        texts += [f"{noise(rng, 9)} {text} {noise(rng, 5)}", f"{noise(rng, 4)} {changed}", " ".join(text.split()[:9]), " ".join(text.split()[:15])]
+    want = set()
+    for d, text in enumerate(texts):
+        mine = brute_windows(text, D.WIDTH)
+        for item, body in items:
+            own = brute_windows(body, D.WIDTH)
+            hits = [{"at": a, "item_at": b, "slots": s, "item_slots": z} for a, names, s in mine for b, other, z in own if names == other]
+            reach = len({b + i for b, _, _ in own for i in range(D.WIDTH)})
+            if hits and D._agreeing(hits, D.WIDTH)[0] >= min(D.COVERED, reach):
+                want.add((d, item))
+    assert len(want) >= 12
+    assert set(found(spark, texts, items)) == want
