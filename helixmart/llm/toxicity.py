@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixmart.llm.common import table, text_batches
+from helixmart.llm.common import only, remembered, table, text_batches
 
 BITS = 18
 #: Labelled rows of each label that learning takes at most (the smallest by hash of doc_id).
@@ -45,6 +45,7 @@ class Terms(dict):
 
 
 _TERMS: dict[int, Terms] = {}
+remembered("terms", _TERMS.clear)
 
 
 def features(text: str | None, bits: int = BITS) -> np.ndarray:
@@ -60,14 +61,17 @@ class FactorizationMachine:
     """score = sigmoid(bias + sum w_i + sum over pairs <v_i, v_j>), features being present or absent.
 
     Weights learn by FTRL-proximal steps with an L1 penalty: features without evidence keep weight zero, so a
-    long clean text does not add up noise. Only features whose chi-squared statistic with the label reaches
-    ``min_chi2`` take part, for the same reason. Factors learn by AdaGrad with an L2 penalty.
+    long clean text does not add up noise. For the same reason only features take part that tell the labels apart: by
+    themselves, with a chi-squared statistic of ``min_chi2`` or more, or among the rows that hold some other feature, with
+    ``pair_chi2`` or more, so that an interaction is learnt also where neither word means anything alone. Such pairs are
+    sought among the ``pair_features`` most frequent features of no effect of their own; those with one take part anyway.
+    Factors learn by AdaGrad with an L2 penalty.
     """
 
     def __init__(self, size: int, k: int = 4, l1: float = 0.1, l2: float = 0.05, alpha: float = 1.0, eta: float = 0.05,
-                 decay: float = 1e-3, min_rows: int = 3, min_chi2: float = 12.0, seed: int = 7):
+                 decay: float = 1e-3, min_rows: int = 3, min_chi2: float = 12.0, pair_chi2: float = 40.0, pair_features: int = 2048, seed: int = 7):
         self.size, self.k, self.l1, self.l2, self.alpha, self.eta, self.decay = size, k, l1, l2, alpha, eta, decay
-        self.min_rows, self.min_chi2, self.seed = min_rows, min_chi2, seed
+        self.min_rows, self.min_chi2, self.pair_chi2, self.pair_features, self.seed = min_rows, min_chi2, pair_chi2, pair_features, seed
         self.bias, self.w, self.v = 0.0, np.zeros(size), np.zeros((size, k))
 
     def margin(self, x: np.ndarray) -> float:
@@ -89,6 +93,7 @@ class FactorizationMachine:
         gap = count[1] * (total[0] - count[0]) - count[0] * (total[1] - count[1])
         table = np.maximum(seen * (len(rows) - seen), 1) * total[0] * total[1]
         kept = (seen >= self.min_rows) & (len(rows) * gap * gap / table >= self.min_chi2)
+        kept |= self._interacting(rows, labels, np.where(kept, 0, seen))
         rows = [x[kept[x]] for x in rows]
         self.v[kept] = rng.normal(0, 0.01, (int(kept.sum()), self.k))
         z, n, g_v = np.zeros(self.size), np.zeros(self.size), np.full((self.size, self.k), 1e-2)
@@ -120,6 +125,39 @@ class FactorizationMachine:
         return self
 
 
+    def _interacting(self, rows: list[np.ndarray], labels: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """Features that tell the labels apart among the rows with some other feature: Pearson's chi-squared of the 2 x 2
+        table of feature and label, for every ordered pair at once."""
+        out = np.zeros(self.size, bool)
+        common = np.argsort(-seen, kind="stable")[: self.pair_features]
+        common = common[seen[common] >= self.min_rows]
+        place = np.full(self.size, -1)
+        place[common] = np.arange(len(common))
+        both = [np.zeros((len(common), len(common)), np.float32) for _ in (0, 1)]
+        for y in (0, 1):
+            chosen = [x for x, label in zip(rows, labels, strict=True) if int(label) == y]
+            for start in range(0, len(chosen), 1024):
+                part = np.zeros((min(1024, len(chosen) - start), len(common)), np.float32)
+                for i, x in enumerate(chosen[start : start + 1024]):
+                    at = place[x]
+                    part[i, at[at >= 0]] = 1
+                both[y] += part.T @ part
+        # Rows with feature a: n of each label; with a and b: both[y][a, b].
+        n = [np.diag(b).astype(float) for b in both]
+        for a in range(len(common)):
+            pos, neg = n[1][a], n[0][a]
+            with_b = both[1][a] + both[0][a]
+            gap = both[1][a] * (neg - both[0][a]) - both[0][a] * (pos - both[1][a])
+            table = pos * neg * with_b.astype(float) * (pos + neg - with_b)
+            chi2 = np.divide((pos + neg) * gap.astype(float) ** 2, table, out=np.zeros(len(common)), where=table > 0)
+            hit = chi2 >= self.pair_chi2
+            if hit.any():
+                # Both members are needed for their product.
+                out[common[hit]] = True
+                out[common[a]] = True
+        return out
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, bits: int = BITS) -> tuple:
     """Features and labels of at most ``rows`` documents of each label, with weights that restore the labels' shares.
 
@@ -136,7 +174,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     few = F.broadcast(spark.createDataFrame([(r[0], int(r[1])) for r in chosen], "doc_id long, toxic int"))
 
     def read(batches):
-        for doc_id, toxic, tie, text in text_batches(batches, ["doc_id", "toxic", "tie", "text"]):
+        for doc_id, toxic, tie, text in text_batches(batches, ["doc_id", "toxic", "tie", "text"], "terms"):
             yield pa.RecordBatch.from_arrays([pa.array([doc_id]), pa.array([toxic], pa.int32()), pa.array([tie], pa.int64()),
                                               pa.array([features(text, bits).tobytes()])], ["doc_id", "toxic", "tie", "x"])
 
@@ -164,6 +202,7 @@ def score(docs: DataFrame, machine: FactorizationMachine, bits: int = BITS, name
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
+        only("terms")
         bias, ids, w, v = model.value
         own = FactorizationMachine.__new__(FactorizationMachine)
         place = np.full(1 << bits, -1, np.int32)

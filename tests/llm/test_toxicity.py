@@ -75,3 +75,26 @@ def test_held_out_accuracy(spark):
     assert all(r.predicted == int(r.score >= 0.7) for r in got.values())
     hits = sum(p and y for p, y in held)
     assert hits >= 0.8 * sum(y for _, y in held) and hits >= 0.98 * sum(p for p, _ in held)
+
+
+def test_interactions_without_main_effects():
+    """A row is toxic exactly when one of two words is in it: neither word, by itself, says anything."""
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for _ in range(4000):
+        a, b = rng.random(2) < 0.5
+        other = rng.choice(np.arange(10, 60), 5, replace=False)
+        rows.append(np.sort(np.concatenate([np.flatnonzero([a, b]) + 1, other])).astype(np.int32))
+        labels.append(float(a != b))
+    labels = np.array(labels)
+    machine = T.FactorizationMachine(64).fit(rows[:3000], labels[:3000], np.ones(3000), epochs=30)
+    right = [(machine.score(x) >= 0.5) == y for x, y in zip(rows[3000:], labels[3000:], strict=True)]
+    assert np.mean(right) > 0.95
+    assert np.flatnonzero(machine.v.any(axis=1)).tolist() == [1, 2]
+
+
+def test_noise_brings_no_features():
+    rng = np.random.default_rng(6)
+    rows = [np.sort(rng.choice(400, 20, replace=False)).astype(np.int32) for _ in range(3000)]
+    machine = T.FactorizationMachine(400).fit(rows, (rng.random(3000) < 0.3).astype(float), np.ones(3000))
+    assert machine.v.any(axis=1).sum() <= 5
