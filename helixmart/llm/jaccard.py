@@ -10,6 +10,9 @@
    connected already are not looked at, so a group of copies costs links, not pairs. For pools of several blocks,
    the pool's hub is in every block, and the documents outside its largest group then meet all other blocks.
 4. Connected components over the links give each document its group.
+
+Where the number of links of every document is asked for, every pair of blocks of a pool is searched once, and each set
+keeps a count of its partners, weighted by their copies; no pair is written down.
 """
 
 from __future__ import annotations
@@ -91,7 +94,7 @@ def shared_counts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def pack(batches):
         packer = _Packer(buckets, False)
-        for doc_id, tie, text in text_batches(batches, ["doc_id", "tie", "text"]):
+        for doc_id, tie, text in text_batches(batches, ["doc_id", "tie", "text"], "words"):
             s = shingles(text, width)
             yield from packer.add(doc_id, tie, s, len(s), xxhash.xxh3_128_digest(s.tobytes()))
         if packer.docs:
@@ -140,7 +143,7 @@ def short_lists(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def pack(batches):
         packer = _Packer(buckets, True)
-        for digest, n, tokens in text_batches(batches, ["digest", "n", "tokens"]):
+        for digest, n, tokens in text_batches(batches, ["digest", "n", "tokens"], "words"):
             yield from packer.add(0, 0, np.frombuffer(tokens, np.uint64), n, digest)
         if packer.docs:
             yield packer.flush()
@@ -212,6 +215,10 @@ class Block:
         allowed = allowed & (100 * np.minimum(self.sizes, size) >= self.percent * np.maximum(self.sizes, size))
         found = np.flatnonzero((count > 0) & allowed)
         count, want = count[found], needed(size, self.sizes[found], self.percent)
+        if len(found) * len(long) * 16 > (self.starts[long + 1] - self.starts[long]).sum():
+            # So many sets are left that merging the long lists too costs less than probing them.
+            merged = np.concatenate([self.lists[self.starts[t] : self.starts[t + 1]] for t in long.tolist()])
+            return found[count + np.bincount(merged, minlength=self.n)[found] >= want]
         for at in range(0, len(long), 64):
             alive = count + (len(long) - at) >= want
             found, count, want = found[alive], count[alive], want[alive]
@@ -247,6 +254,18 @@ class Block:
         return self.edges
 
 
+    def partners(self, copies: np.ndarray, side: np.ndarray) -> np.ndarray:
+        """For each set the copies of all sets that it links with: within the block where all have one ``side``, else
+        only between the two sides."""
+        found, whole = np.zeros(self.n, np.int64), len(np.unique(side)) < 2
+        place = np.arange(self.n)
+        for a in (place if whole else place[side == 0]).tolist():
+            at = self.search(a, place > a if whole else side == 1)
+            found[a] += copies[at].sum()
+            found[at] += copies[a]
+        return found
+
+
 EDGES = "a binary, b binary"
 
 
@@ -259,8 +278,9 @@ def _sets(t: pa.Table) -> tuple[list[bytes], list[np.ndarray]]:
     return list(seen), [np.frombuffer(x, np.uint64) for x in seen.values()]
 
 
-def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between sets (digest, n, tokens) that connect every two sets which a chain of links connects."""
+def pooled(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(pools, sizes): the pool of each set that shares a short list with another, and each pool's number of blocks and
+    hub. Linked sets are in one pool."""
     lists = stored(short_lists(sets, percent))
     heads = lists.groupBy("token").agg(F.min("digest").alias("a"), F.count("*").alias("k")).where("k > 1").select("token", "a")
     stars = stored(lists.join(heads, "token").where("a != digest").select("a", F.col("digest").alias("b")).distinct())
@@ -268,9 +288,35 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     hubs = stars.groupBy("a").count().join(pools, F.col("a") == F.col("digest")).groupBy("pool").agg(
         F.max(F.struct("count", "a"))["a"].alias("hub"))
     # Both sides grow with the corpus, so these joins shuffle at every size.
-    members = pools.join(sets.hint("merge"), "digest")
-    sizes = stored(members.groupBy("pool").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast(
-        "int").alias("blocks")).join(hubs, "pool"))
+    sizes = pools.join(sets.select("digest", "n").hint("merge"), "digest").groupBy("pool").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    return pools, stored(sizes.join(hubs, "pool"))
+
+
+def link_counts(sets: DataFrame, pools: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(digest, linked): for each of ``sets`` (digest, copies, tokens) the documents of other sets that it links with; sets
+    without any may be missing. Each two blocks of a pool meet in one task."""
+    members = pools.join(sets.hint("merge"), "digest").join(sizes.select("pool", "blocks"), "pool")
+    own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "pool", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "copies", "tokens")
+
+    def count(t):
+        own = [np.frombuffer(x.as_py(), np.uint64) for x in t["tokens"]]
+        side = (t["own"].to_numpy() != t["i"][0].as_py()).astype(int)
+        whole = t["i"][0].as_py() == t["j"][0].as_py()
+        if not whole and len(np.unique(side)) < 2:
+            return pa.table({"digest": pa.array([], pa.binary()), "linked": pa.array([], pa.int64())})
+        found = Block(own, percent).partners(t["copies"].to_numpy(), side)
+        some = np.flatnonzero(found)
+        return pa.table({"digest": t["digest"].take(pa.array(some)), "linked": found[some]})
+
+    return dealt.groupBy("pool", "i", "j").applyInArrow(count, "digest binary, linked long").groupBy("digest").agg(F.sum("linked").alias("linked"))
+
+
+def links(sets: DataFrame, pools: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between sets (digest, n, tokens) that connect every two sets which a chain of links connects."""
+    members = pools.join(sets.select("digest", "n", "tokens").hint("merge"), "digest")
     blocks = F.when((F.col("digest") == F.col("hub")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")))
     dealt = members.join(sizes, "pool").select("pool", F.explode(blocks).alias("block"), "digest", "tokens")
@@ -318,9 +364,10 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return stored(found.union(asking.groupBy(*keys).cogroup(given.groupBy(*keys)).applyInArrow(across, EDGES)))
 
 
-def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, count_links: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, tie (hash of the text), n_shingles, component_id, and
-    whether the row is the one that stays for its group (smallest doc_id, then smallest tie; equal rows alike).
+    whether the row is the one that stays for its group (smallest doc_id, then smallest tie; equal rows alike). With
+    ``count_links`` also n_links, the number of other rows that the row links with, copies included.
 
     Null texts, and texts without words, have the empty set and are linked with nothing. Documents of equal sets
     are linked; a repeated doc_id is a document for each of its rows. Null doc_ids take part, but a group's id is
@@ -329,28 +376,32 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     counts = stored(shared_counts(docs, width))
     nodes = counts.where(f"n > 0 AND shared * 100 >= n * {percent}").groupBy("digest").agg(
-        F.min(F.struct("doc_id", "tie")).alias("r"), F.max("n").alias("n"))
-    chosen = stored(nodes.select(F.col("r.doc_id").alias("_id"), F.col("r.tie").alias("_tie"), "digest", "n"))
+        F.min(F.struct("doc_id", "tie")).alias("r"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    chosen = stored(nodes.select(F.col("r.doc_id").alias("_id"), F.col("r.tie").alias("_tie"), "digest", "n", "copies"))
 
     def sets_of(batches):
-        for digest, n, text in text_batches(batches, ["digest", "n", "text"]):
-            yield pa.RecordBatch.from_arrays([pa.array([digest], pa.binary()), pa.array([n]), pa.array([shingles(text, width).tobytes()], pa.binary())],
-                                             ["digest", "n", "tokens"])
+        for digest, n, copies, text in text_batches(batches, ["digest", "n", "copies", "text"], "words"):
+            yield pa.RecordBatch.from_arrays([pa.array([digest], pa.binary()), pa.array([n]), pa.array([copies]), pa.array([shingles(text, width).tobytes()], pa.binary())],
+                                             ["digest", "n", "copies", "tokens"])
 
     few = docs.where(maybe_in(F.xxhash64("doc_id", "tie"), chosen.select(F.xxhash64("_id", "_tie").alias("k"))))
     met = few.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
-    sets = stored(met.select("digest", "n", "text").mapInArrow(sets_of, "digest binary, n long, tokens binary"))
-    groups = stored(components(links(sets, percent)))
-    labelled = counts.join(groups.withColumnRenamed("node", "digest"), "digest", "left").withColumn(
-        "g", F.when(F.col("n") > 0, F.coalesce("component", "digest")))
-    labelled = stored(labelled.select("doc_id", "tie", "n", "g"))
+    sets = stored(met.select("digest", "n", "copies", "text").mapInArrow(sets_of, "digest binary, n long, copies long, tokens binary"))
+    pools, sizes = pooled(sets, percent)
+    groups = components(links(sets, pools, sizes, percent)).withColumnRenamed("node", "digest")
+    if count_links:
+        linked = chosen.select("digest", "copies").join(link_counts(sets, pools, sizes, percent), "digest", "left")
+        groups = linked.select("digest", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")).join(groups, "digest", "left")
+    more = {"n_links": F.coalesce("n_links", F.lit(0))} if count_links else {}
+    labelled = counts.join(stored(groups), "digest", "left").withColumn("g", F.when(F.col("n") > 0, F.coalesce("component", "digest")))
+    labelled = stored(labelled.select("doc_id", "tie", "n", "g", *[c.alias(n) for n, c in more.items()]))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
     least = labelled.where("g IS NOT NULL").groupBy("g").agg(F.min(order).alias("least"))
     return labelled.join(least, "g", "left").select(
-        "doc_id", "tie", F.col("n").alias("n_shingles"), F.coalesce("least.doc_id", "doc_id").alias("component_id"),
+        "doc_id", "tie", F.col("n").alias("n_shingles"), F.coalesce("least.doc_id", "doc_id").alias("component_id"), *more,
         (F.col("least").isNull() | (F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.tie") == F.col("tie")))).alias("stays"))
 
 
 def op3_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return jaccard_groups(docs).select("doc_id", "n_shingles", "component_id")
+    return jaccard_groups(docs, count_links=True).select("doc_id", "n_shingles", "component_id", "n_links")

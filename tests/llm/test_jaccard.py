@@ -32,6 +32,13 @@ def brute(rows):
     return sorted((doc is None, doc or 0, len(s), str(least.get(g, doc))) for (doc, _), s, g in zip(rows, sets, group, strict=True))
 
 
+def link_numbers(rows):
+    """doc row -> (set size, rows that it links with), by all pairs."""
+    sets = [sets_of(t) for _, t in rows]
+    linked = [sum(a != b and bool(s) and 100 * len(s & z) >= 80 * len(s | z) for b, z in enumerate(sets)) for a, s in enumerate(sets)]
+    return sorted((doc is None, doc or 0, len(s), n) for (doc, _), s, n in zip(rows, sets, linked, strict=True))
+
+
 def got(frame):
     return sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, str(r.component_id)) for r in frame.collect())
 
@@ -68,7 +75,9 @@ def test_against_all_pairs(spark, monkeypatch, seed, block):
     monkeypatch.setattr(J, "BLOCK_DOCS", block)
     rows = corpus(seed) + ODD
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], SCHEMA)
-    assert got(J.jaccard_groups(docs)) == brute(rows)
+    frame = J.jaccard_groups(docs, count_links=True)
+    assert got(frame) == brute(rows)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.n_links) for r in frame.collect()) == link_numbers(rows)
 
 
 def test_limits_are_exact():
