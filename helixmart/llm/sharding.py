@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from helixmart.llm.common import pick, stored, table
 
-#: Bytes of text a shard may hold in the registered query.
-LIMIT_BYTES = 16 << 20
+#: Bytes of text a shard may hold, and in the registered query, where small tables are to be split as well.
+LIMIT_BYTES, QUERY_LIMIT = 16 << 20, 1 << 20
 STEP = 16
 
 
@@ -83,34 +83,23 @@ def _refine(rest: DataFrame, parent: int, limit: int) -> tuple[DataFrame, DataFr
 
 
 def _assign(rows: DataFrame, directory: DataFrame, keep: list[str], limit: int) -> DataFrame:
-    """Meet each row with its shard: one equi-join per depth in use would repeat the rows, so the directory is
-    expanded to whole 16-bit cells of its step instead, and rows look up the cell of each step in turn."""
-    steps = sorted(r[0] for r in directory.select(F.floor((F.greatest("depth", F.lit(1)) - 1) / STEP)).distinct().collect())
-    out, left = None, rows
-    for step in steps:
-        width = (step + 1) * STEP
-        own = directory.where(F.floor((F.greatest("depth", F.lit(1)) - 1) / STEP) == step)
-        cells = own.withColumn("_tail", F.explode(F.expr(f"sequence(0, shiftleft(1, {width} - depth) - 1)")))
-        cells = cells.select("depth", "shard", "bytes", "n", F.expr(
-            f"concat(shard, if(depth < {width}, lpad(bin(_tail), {width} - depth, '0'), ''))").alias("_cell"))
-        met = left.withColumn("_cell", F.substring("_bits", 1, width)).join(cells, "_cell", "left")
-        if step != steps[-1]:
-            met = stored(met)
-            left = met.where("shard IS NULL").select(*rows.columns)
-            met = met.where("shard IS NOT NULL")
-        out = met if out is None else out.unionByName(met)
-    if out is None:
-        out = rows.withColumns({"depth": F.lit(0), "shard": F.lit(""), "bytes": F.lit(0), "n": F.lit(0)})
-    return out.select(*[F.col(f"`{c}`") for c in keep], "shard", F.col("depth").cast("int").alias("depth"), "n_bytes",
+    """Meet each row with its shard. A row asks for its prefix of every depth that the directory uses; shards exclude each
+    other, so one answers. The depths in use are few, and the directory is never listed cell by cell."""
+    depths = sorted(r[0] for r in directory.select("depth").distinct().collect())  # at most 129
+    asked = rows.withColumn("_p", F.explode(F.array(*[
+        F.struct(F.lit(d).alias("depth"), F.substring("_bits", 1, d).alias("shard")) for d in depths]))) if depths else rows.withColumn(
+        "_p", F.struct(F.lit(0).alias("depth"), F.lit("").alias("shard")))
+    met = asked.select(*rows.columns, "_p.depth", "_p.shard").join(directory, ["depth", "shard"])
+    return met.select(*[F.col(f"`{c}`") for c in keep], "shard", F.col("depth").cast("int").alias("depth"), "n_bytes",
                       F.col("bytes").cast("long").alias("shard_bytes"), F.col("n").cast("long").alias("shard_rows"),
                       (F.col("bytes") > limit).alias("oversized"))
 
 
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    return extendible_shards(pick(table(spark, folder, "documents"), "doc_id", "text"))
+    return extendible_shards(pick(table(spark, folder, "documents"), "doc_id", "text"), QUERY_LIMIT)
 
 
-def sharding_sql(limit_bytes: int = LIMIT_BYTES, depth: int = 16) -> str:
+def sharding_sql(limit_bytes: int = QUERY_LIMIT, depth: int = 16) -> str:
     """The same by DuckDB for data that needs at most ``depth`` bits."""
     return f"""
 WITH rows AS (
