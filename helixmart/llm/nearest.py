@@ -87,8 +87,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     Both inputs hold (vec_id, embedding). Rows with a null id, and vectors that are null, empty, all zero or hold
     a null or non-finite component take no part. Vectors of another length than the query's have no inner
-    product with it. Rows with the query's vec_id are its own. Equal rows count once; a vec_id with several
-    vectors is several candidates, and as a query gives rows for its first vector only.
+    product with it. Rows with the query's vec_id are its own. Every row is a candidate, so equal rows are found as
+    often as they stand there; a vec_id asks once, with its first vector.
     """
     schema = "dim int, query_id long, vec_id long, score double"
     shape = ["dim", "vec_id", "embedding"]
@@ -96,11 +96,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     def side(df: DataFrame) -> DataFrame:
         v = df.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"),
                                                   F.col("embedding").cast("array<double>").alias("embedding"))
-        return v.where(usable(F.col("embedding"))).withColumn("dim", F.size("embedding")).select(*shape).distinct()
+        return v.where(usable(F.col("embedding"))).withColumn("dim", F.size("embedding")).select(*shape)
 
     asked = stored(side(queries).groupBy("vec_id").agg(F.min(F.struct("dim", "embedding")).alias("v")).select(
         F.col("v.dim").alias("dim"), "vec_id", F.col("v.embedding").alias("embedding")))
-    given = stored(side(vectors))
+    # Equal rows meet before they are dealt out; of more than k equal ones, k can be among the nearest.
+    counted = side(vectors).groupBy(*shape).agg(F.count("*").alias("n"))
+    given = stored(counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k))))).select(*shape))
     rows, columns = max(1, -(-asked.count() // TILE_QUERIES)), max(1, -(-given.count() // TILE_VECTORS))
     # Every query block meets every candidate block once; a row is copied to the blocks of the other side only.
     q = asked.withColumn("i", F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("int")).withColumn(

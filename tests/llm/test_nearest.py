@@ -10,8 +10,8 @@ SCHEMA = "vec_id long, embedding array<float>, dim string"
 def brute(rows, queries, k):
     out = set()
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
-    good = list({(i, v.tobytes()): (i, v) for i, v in good}.values())
-    for qi, q in good:
+    first = {i: v for i, v in reversed(sorted(good, key=lambda g: (g[0], len(g[1]), g[1].tolist())))}
+    for qi, q in first.items():
         if qi in queries:
             near = [(-np.cumsum(q * v)[-1], i) for i, v in good if i != qi and len(v) == len(q)]
             out |= {(qi, r, i, -s) for r, (s, i) in enumerate(sorted(near)[:k], 1)}
@@ -29,7 +29,7 @@ def test_against_all_products(spark, monkeypatch, n, tile):
     v[n // 2 + 1] *= 1e6
     rows = [(i, x.tolist()) for i, x in enumerate(v)]
     rows += [(None, [1.0] * 12), (100_000, None), (100_020, [0.0] * 12), (100_040, [1.0, None] * 6), (100_060, [float("nan")] * 12),
-             (100_080, [float("inf")] * 12), (100_100, []), (100_120, [1.0, 2.0]), (100_140, [3.0, 4.0]), rows[0]]
+             (100_080, [float("inf")] * 12), (100_100, []), (100_120, [1.0, 2.0]), (100_140, [3.0, 4.0]), rows[0], *[rows[1]] * 9]
     df = spark.createDataFrame([(i, x, "s") for i, x in rows], SCHEMA)
     queries = {i for i, _ in rows if i is not None and i % 20 == 0}
     got = N.nearest(df, df.where("vec_id % 20 = 0"), 7).collect()
