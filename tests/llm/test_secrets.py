@@ -73,3 +73,74 @@ def test_op9_over_the_table(spark, tiny):
 
 def test_empty_table(spark):
     assert S.scan(spark.createDataFrame([], SCHEMA), ["doc_id"]).count() == 0
+
+
+def test_many_matches_take_linear_time(spark):
+    """A text of nothing but codes: spans, and the redacted text, as by hand."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    codes = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(16_000)]
+    text = "é ".join(codes)
+    df = spark.createDataFrame([(1, text), (2, "é" * 3000), (3, ""), (4, "x " * 700 + codes[0])], "doc_id long, text string")
+    begun = time.time()
+    rows = {r.doc_id: r for r in S.scan(df, ["doc_id", "text"]).withColumn("cut", S.redacted(F.col("text"), F.col("spans"))).collect()}
+    assert time.time() - begun < 60
+    assert [(s.start, s.end) for s in rows[1].spans if s.kind == "hex"] == [(42 * i, 42 * i + 40) for i in range(len(codes))]
+    assert rows[1].cut == "é ".join(["[SECRET]"] * len(codes))
+    assert rows[2].cut == "é" * 3000 and rows[3].cut == "" and rows[4].cut == "x " * 700 + "[SECRET]"
+
+
+def test_overlapping_spans_become_one_mark(spark):
+    from pyspark.sql import functions as F
+
+    text = "".join(chr(97 + i % 26) for i in range(5000))
+    r = random.Random(1)
+    spans = sorted((a, a + r.randrange(1, 40)) for a in r.sample(range(4900), 700))
+    df = spark.createDataFrame([(text, [(a, b) for a, b in spans]), (text, [])], "text string, spans array<struct<start:int,end:int>>")
+    out, at = [], 0
+    for a, b in spans:
+        if a >= at:
+            out.append(text[at:a] + "#")
+        at = max(at, b)
+    got = [r[0] for r in df.select(S.redacted(F.col("text"), F.col("spans"), "#")).collect()]
+    assert got == ["".join(out) + text[at:], text]
+
+
+def test_spans_clear_of_others(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(7)
+    rows = []
+    for i in range(60):
+        base = [(a, r.randrange(3), a + r.randrange(1, 30), "b") for a in r.sample(range(2000), r.choice([0, 1, 5, 40]))]
+        tokens = [(a, 3, a + r.randrange(1, 20), "t") for a in r.sample(range(2000), r.choice([0, 3, 300]))]
+        rows.append((i, tokens, base))
+    kind = "array<struct<start:int,no:int,end:int,hit:string>>"
+    df = spark.createDataFrame(rows, f"i int, t {kind}, b {kind}")
+    got = {r.i: [tuple(x) for x in r.c] for r in df.select("i", S.clear_of(F.col("t"), F.col("b")).alias("c")).collect()}
+    for i, tokens, base in rows:
+        assert got[i] == sorted(t for t in tokens if not any(b[0] < t[2] and t[0] < b[2] for b in base))
+
+
+def test_recall_of_random_codes(spark):
+    """Codes are one in ten of a corpus' code-like tokens; the rest are words, numbers and identifiers."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(11)
+    syllables = ["ton", "er", "ing", "li", "che", "the", "an", "keit", "ment", "ver", "sch", "ra", "po", "in"]
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randrange(5, 9))).ljust(16, "e")
+    plain = [word() for _ in range(2500)] + [str(r.randrange(10**15, 10**18)) for _ in range(300)]
+    plain += [f"{word()}_{r.randrange(10000)}" for _ in range(1500)] + [f"{word().title()}{r.randrange(2030)}{word()}" for _ in range(1500)]
+    kinds = {"base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), "HEX": ("0123456789ABCDEF", 20),
+             "alnum": ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 24),
+             "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 40)}
+    codes = [(k, "".join(r.choice(a) for _ in range(n))) for k, (a, n) in kinds.items() for _ in range(80)]
+    rows = [(i, f"see {t} here", "plain") for i, t in enumerate(plain)] + [(10_000 + i, f"see {t} here", k) for i, (k, t) in enumerate(codes)]
+    found = S.scan(spark.createDataFrame(rows, "doc_id long, text string, sort string"), ["sort"]).groupBy("sort").agg(
+        F.avg(F.exists("spans", lambda s: s["kind"] == "random").cast("int")).alias("share")).collect()
+    share = {x.sort: x.share for x in found}
+    assert share.pop("plain") < 0.005
+    assert all(v >= 0.9 for v in share.values()), share
