@@ -93,8 +93,7 @@ class Shard:
             a = dict(np.load(io.BytesIO(f.read())))
         self.hash = MinimalPerfectHash(a["sizes"], np.unpackbits(a["bits"], count=int(a["n_bits"])).astype(bool), a["rest"])
         self.prints, self.offsets, self.counts, self.seed = a["prints"], a["offsets"], a["counts"], int(a["seed"])
-        self.ids, self.nulls, self.width = a["ids"], a["nulls"], int(a["width"])
-        self.file = None
+        self.width, self.file = int(a["width"]), None
 
     def find(self, ids: np.ndarray, nulls: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
         """Slot of each key, -1 where the shard does not hold it."""
@@ -125,7 +124,7 @@ def occurrences(ids: np.ndarray, nulls: np.ndarray) -> np.ndarray:
     return np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
 
 
-def _write_shard(rows: Iterator[tuple], folder: str, path: str, end_id: int) -> tuple[int, int, int]:
+def _write_shard(rows: Iterator[tuple], folder: str, path: str, end_id: int) -> tuple[int, int, int, int | None, int | None]:
     enc, (fs, root), shard = encoder(path), FileSystem.from_uri(folder), TaskContext.get().partitionId()
     fs.create_dir(root, recursive=True)
     width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 65536 else 4
@@ -153,16 +152,16 @@ def _write_shard(rows: Iterator[tuple], folder: str, path: str, end_id: int) ->
     offsets[slot] = np.cumsum(counts) - counts
     index = io.BytesIO()
     np.savez(index, sizes=mph.sizes, bits=np.packbits(mph.bits), n_bits=len(mph.bits), rest=mph.rest, prints=prints,
-             offsets=offsets, counts=lengths, seed=seed, ids=ids, nulls=nulls, width=width)
+             offsets=offsets, counts=lengths, seed=seed, width=width)
     with fs.open_output_stream(f"{part}.idx") as out:
         out.write(index.getvalue())
     fs.move(f"{part}.idx", f"{root}/shard-{shard:06d}.idx")
-    return shard, len(ids), int(counts.sum())
+    return shard, len(ids), int(counts.sum()), None if nulls[0] else int(ids[0]), None if nulls[-1] else int(ids[-1])
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None) -> DataFrame:
     """Write the files of ``docs`` (doc_id, text) below ``folder``; returns the manifest (shard, n_docs, n_tokens,
-    start), one row per shard.
+    first_id, last_id, start), one row per shard: the bounds lead from a key to its shard.
 
     Null and empty texts hold the end id alone; null doc_ids come first. Rows of one doc_id are told apart by
     their place among equal keys of a shard; they are dealt out by their text's hash too, so a repeated doc_id
@@ -172,7 +171,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches):
-        rows = text_batches(batches, ["doc_id", "text"])
+        rows = text_batches(batches, ["doc_id", "text"], "encoders")
         first = next(rows, None)
         if first is not None:
             def again():
@@ -180,44 +179,104 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                 yield from rows
 
             row = _write_shard(again(), folder, tokenizer, end_id)
-            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in row], ["shard", "n_docs", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in row], ["shard", "n_docs", "n_tokens", "first_id", "last_id"])
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
     dealt = keyed.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "tie")
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    manifest = stored(dealt.select("doc_id", "text").mapInArrow(write, "shard long, n_docs long, n_tokens long"))
+    manifest = stored(dealt.select("doc_id", "text").mapInArrow(write, "shard long, n_docs long, n_tokens long, first_id long, last_id long"))
     # One row per shard, so this window is as small as a list of the files.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """Fetch every document of the files through the index: doc_id, start, n_tokens, ids_crc32, shard."""
+class Bounds:
+    """The shards' key ranges, from the manifest: as many entries as files. Null keys come before all others."""
+
+    def __init__(self, manifest: DataFrame):
+        rows = sorted(manifest.collect(), key=lambda r: r["shard"])
+        self.shards = np.array([r["shard"] for r in rows], np.int64)
+        self.starts = {r["shard"]: r["start"] for r in rows}
+        # Keys as floats would lose bits: a null sorts below through a key of its own.
+        self.first = np.array([(r["first_id"] is not None, r["first_id"] or 0) for r in rows], self.KEY)
+        self.last = np.array([(r["last_id"] is not None, r["last_id"] or 0) for r in rows], self.KEY)
+
+    KEY = np.dtype([("known", "?"), ("id", "<i8")])
+
+    def spans(self, ids: np.ndarray, nulls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last (exclusive) place of the shards that can hold each key, by bisection."""
+        keys = np.empty(len(ids), self.KEY)
+        keys["known"], keys["id"] = ~nulls, np.where(nulls, 0, ids)
+        return np.searchsorted(self.last, keys, "left"), np.searchsorted(self.first, keys, "right")
+
+
+class TokenFiles:
+    """Keyed access over all shards: the bounds name the shard, its minimal perfect hash the place."""
+
+    def __init__(self, manifest: DataFrame, folder: str):
+        self.bounds, self.folder, self.opened = Bounds(manifest), folder, {}
+
+    def get(self, doc_id: int | None) -> list[np.ndarray]:
+        """The ids of every document with this key; none if there is no such key."""
+        low, high = self.bounds.spans(np.array([doc_id or 0]), np.array([doc_id is None]))
+        found = []
+        for shard in self.bounds.shards[low[0] : high[0]].tolist():
+            if shard not in self.opened:
+                self.opened[shard] = Shard(self.folder, shard)
+            occurrence = 0
+            while (ids := self.opened[shard].get(doc_id, occurrence)) is not None:
+                found.append(ids)
+                occurrence += 1
+        return found
+
+
+def read_token_files(manifest: DataFrame, folder: str, keys: DataFrame) -> DataFrame:
+    """Fetch the documents of all ``keys`` (doc_id) through the index: doc_id, start, n_tokens, ids_crc32, shard. A key that
+    several documents share gives a row for each; a key without document gives none."""
+    bounds = Bounds(manifest)
+
+    def locate(batches):
+        for batch in batches:
+            ids = batch["doc_id"].fill_null(0).to_numpy(zero_copy_only=False)
+            nulls = batch["doc_id"].is_null().to_numpy(zero_copy_only=False)
+            low, high = bounds.spans(ids, nulls)
+            n = np.maximum(high - low, 0)
+            at = np.repeat(np.arange(len(ids)), n)
+            place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + low[at]
+            yield pa.RecordBatch.from_arrays([pa.array(bounds.shards[place]), batch["doc_id"].take(pa.array(at))], ["shard", "doc_id"])
 
     def read(batches):
+        s, now = None, -1
         for batch in batches:
-            for shard, start in zip(batch["shard"].to_pylist(), batch["start"].to_pylist(), strict=True):
-                s = Shard(folder, shard)
-                slots = s.find(s.ids, s.nulls, occurrences(s.ids, s.nulls))
-                if (slots < 0).any():
-                    raise ValueError(f"shard {shard}: the index misses a key")
-                for at in range(0, len(slots), 4096):
-                    part = slots[at : at + 4096]
-                    crc = [zlib.crc32(s.read(i).tobytes()) for i in part.tolist()]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(s.ids[at : at + 4096], pa.int64(), mask=s.nulls[at : at + 4096]),
-                         pa.array(start + s.offsets[part], pa.int64()), pa.array(s.counts[part], pa.int64()),
-                         pa.array(crc, pa.int64()), pa.array([shard] * len(part), pa.int64())],
-                        ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
-
-    # A file per task; the number of files is known from the write.
-    dealt = manifest.select("shard", "start").repartition(int(
-        manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
+            shards = batch["shard"].to_numpy()
+            for shard in np.unique(shards).tolist():
+                if shard != now:
+                    s, now = Shard(folder, shard), shard
+                own = batch["doc_id"].filter(pa.array(shards == shard))
+                ids, nulls = own.fill_null(0).to_numpy(zero_copy_only=False), own.is_null().to_numpy(zero_copy_only=False)
+                left, occurrence = np.arange(len(ids)), 0
+                while len(left):
+                    slots = s.find(ids[left], nulls[left], np.full(len(left), occurrence))
+                    left, slots, occurrence = left[slots >= 0], slots[slots >= 0], occurrence + 1
+                    # In the order of the file, so reads run forward.
+                    order = np.argsort(s.offsets[slots])
+                    left, slots = left[order], slots[order]
+                    for at in range(0, len(left), 4096):
+                        part, rows = slots[at : at + 4096], left[at : at + 4096]
+                        crc = [zlib.crc32(s.read(i).tobytes()) for i in part.tolist()]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(ids[rows], pa.int64(), mask=nulls[rows]), pa.array(bounds.starts[shard] + s.offsets[part], pa.int64()),
+                             pa.array(s.counts[part], pa.int64()), pa.array(crc, pa.int64()), pa.array([shard] * len(part), pa.int64())],
+                            ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
+
+    asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(locate, "shard long, doc_id long")
+    # A task takes a few shards, one after the other.
+    dealt = asked.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard", "doc_id")
     return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
 
 
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Write the ids of all documents and read them back through the index."""
+    """Write the ids of all documents and look every doc_id of the table up in the files."""
     target = shared_dir(spark)
     docs = pick(table(spark, folder, "documents"), "doc_id", "text")
-    return read_token_files(write_token_files(docs, target, public_tokenizers.path(TOKENIZER)), target)
+    return read_token_files(write_token_files(docs, target, public_tokenizers.path(TOKENIZER)), target, docs.select("doc_id"))

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from helixmart.llm.common import shared_dir
 from helixmart.llm.packing import Mixture, op2_packing, pack
-from helixmart.llm.token_files import MinimalPerfectHash, Shard, op10_token_files, read_token_files, write_token_files
+from helixmart.llm.token_files import MinimalPerfectHash, TokenFiles, op10_token_files, read_token_files, write_token_files
 from helixmart.llm.tokens import WordEncoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -51,21 +51,34 @@ def test_files_round_trip(spark):
     docs = spark.createDataFrame(ROWS, SCHEMA)
     folder = shared_dir(spark)
     manifest = write_token_files(docs, folder, PATH, shards=3)
-    got = sorted(read_token_files(manifest, folder).collect(), key=lambda r: r.start)
+    keys = docs.select("doc_id").union(spark.createDataFrame([(77,), (-5,)], "doc_id long"))
+    got = sorted(read_token_files(manifest, folder, keys).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == [None, 1, 2, 3, 3, 3, 9]
     assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
     want = Counter((i, zlib.crc32(np.append(ids_of(t), 2).astype("<u4").tobytes())) for i, t, _ in ROWS)
     assert Counter((r.doc_id, r.ids_crc32) for r in got) == want
-    shards = [Shard(folder, r.shard) for r in manifest.collect()]
-    found = [s.get(9) for s in shards if s.get(9) is not None]
-    assert len(found) == 1 and found[0].tolist() == [*ids_of(ROWS[-1][1]).tolist(), 2]
-    assert all(s.get(12345) is None for s in shards)
+    files = TokenFiles(manifest, folder)
+    for key in (None, 1, 2, 3, 9):
+        want = sorted([*ids_of(t).tolist(), 2] for i, t, _ in ROWS if i == key)
+        assert sorted(ids.tolist() for ids in files.get(key)) == want
+    assert files.get(12345) == files.get(-7) == files.get(4) == []
+
+
+def test_a_key_opens_only_the_shards_of_its_range(spark):
+    docs = spark.createDataFrame([(i * 3, f"text {i}", "s") for i in range(400)], SCHEMA)
+    folder = shared_dir(spark)
+    manifest = write_token_files(docs.selectExpr("*", "1 AS shard", "2 AS start"), folder, PATH, shards=8)
+    files = TokenFiles(manifest, folder)
+    assert manifest.count() > 4
+    assert [ids.tolist() for ids in files.get(300)] == [[*ids_of("text 100").tolist(), 2]]
+    assert files.get(301) == [] and len(files.opened) == 1
 
 
 def test_files_of_an_empty_table(spark):
     folder = shared_dir(spark)
     manifest = write_token_files(spark.createDataFrame([], SCHEMA), folder, PATH)
-    assert read_token_files(manifest, folder).count() == 0
+    assert read_token_files(manifest, folder, spark.createDataFrame([(1,)], "doc_id long")).count() == 0
+    assert TokenFiles(manifest, folder).get(1) == []
 
 
 def test_op10_over_the_table(spark, tiny):
