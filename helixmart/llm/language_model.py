@@ -31,7 +31,7 @@ ORDER, STRENGTH = 3, 100.0
 #: Additive constant of the shortest estimate.
 ADD = 0.1
 #: Tokens of a chunk, and tokens whose n-grams one shard takes on average.
-CHUNK_TOKENS, SHARD_KEYS = 1 << 20, 1 << 20
+CHUNK_TOKENS, SHARD_KEYS = 9 << 17, 1 << 20
 #: Bits of the codes by level: the path of an n-gram has 42 bits within its shard; single words have all 64.
 FIELDS = {1: (64,), 2: (22, 20), 3: (16, 13, 13)}
 PATH_BITS, SHARD_BITS = 42, 21
@@ -39,14 +39,14 @@ PATH_BITS, SHARD_BITS = 42, 21
 STEPS = 4096
 START, END = 0, 1
 
-_ZSTD = pa.Codec("zstd", compression_level=1)
+_ZSTD, _ZSTD_STORED = pa.Codec("zstd", compression_level=1), pa.Codec("zstd", compression_level=3)
 
 
-def packed(arrays: list[np.ndarray]) -> bytes:
+def packed(arrays: list[np.ndarray], codec: pa.Codec = _ZSTD) -> bytes:
     """Arrays as byte planes, compressed: planes of sorted differences and of small numbers are mostly zeros."""
     head = np.array([len(arrays), *[v for a in arrays for v in (len(a), a.itemsize)]], "<u4").tobytes()
     raw = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays)
-    return head + _ZSTD.compress(raw, asbytes=True) if raw else head
+    return head + codec.compress(raw, asbytes=True) if raw else head
 
 
 def unpacked(data: bytes) -> list[np.ndarray]:
@@ -107,7 +107,7 @@ class _Chunk:
         order = np.argsort(-np.bincount(stream, minlength=len(hashes) + 2)[2:], kind="stable")
         rank = np.empty(len(order) + 2, np.uint32)
         rank[:2], rank[order + 2] = (START, END), np.arange(2, len(order) + 2)
-        data = packed([rank[stream], hashes[order], _narrow(np.array(lengths)), np.array(fronts, "<u1"), np.array(train, "<u1")])
+        data = packed([rank[stream], hashes[order], _narrow(np.array(lengths)), np.array(fronts, "<u1"), np.array(train, "<u1")], _ZSTD_STORED)
         own = np.array(lengths) - np.array(fronts)
         return pa.RecordBatch.from_arrays(
             [pa.array([number], pa.int64()), pa.array([int(own[np.array(train, bool)].sum())], pa.int64()), pa.array([len(stream)], pa.int64()),
