@@ -28,7 +28,6 @@ from helixmart.llm.common import stored, table
 #: Costs of the edits, and of leaving a text that breaks off.
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
 _WHITE = " \t\n\x0b\x0c\r"
-_MUST_GO = str.maketrans("bd", "--")
 #: Grammar ``(s?(ua)+)?``: states are start, after s, after u, after a; what follows each, and the role put in there.
 _AFTER = ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
 _PUT = (2, 2, 3, 2)
@@ -101,7 +100,7 @@ _RUN_NAMES = ["conv_id", "none", "part", "signs", "edge", "firsts", "head", "tai
 _RUN = ("conv_id long, none boolean, part int, signs string, edge boolean, firsts array<struct<at: int, said: binary>>, head string, tail string, "
         "illegal long, turns long, first_turn long, last_turn long")
 _RUN_TYPES = [pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.struct([("at", pa.int32()), ("said", pa.binary())])),
-              pa.string(), pa.string(), *[pa.int64()] * 5][:12]
+              pa.string(), pa.string(), *[pa.int64()] * 4]
 
 
 def _batches(rows: Iterator[tuple], names: list[str], types: list, size: int = 4096) -> Iterator[pa.RecordBatch]:
