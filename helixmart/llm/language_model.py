@@ -32,9 +32,9 @@ ORDER, STRENGTH = 3, 100.0
 ADD = 0.1
 #: Tokens of a chunk, and tokens whose n-grams one shard takes on average.
 CHUNK_TOKENS, SHARD_KEYS = 9 << 17, 1 << 20
-#: Bits of the codes by level: the path of an n-gram has 42 bits within its shard; single words have all 64.
-FIELDS = {1: (64,), 2: (22, 20), 3: (16, 13, 13)}
-PATH_BITS, SHARD_BITS = 42, 21
+#: Bits of the codes by level: the path of an n-gram has 38 bits within its shard; single words have all 64.
+FIELDS = {1: (64,), 2: (20, 18), 3: (14, 12, 12)}
+PATH_BITS, SHARD_BITS = 38, 25
 #: Quantised numbers: log10 in steps of 1/4096; 0 means "never seen".
 STEPS = 4096
 START, END = 0, 1
@@ -267,7 +267,7 @@ def scores(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, chun
     token from exact counts, score the interpolated n-gram probability. Null and empty texts hold the end alone. Rows of
     equal or null doc_id stay rows of their own; an empty table gives no rows, and without training rows every word is
     equally unknown. Columns beyond those named are ignored. Frequencies of n-grams are quantised to 1/4096 of a decade;
-    paths have 42 bits within a shard, so two n-grams of one shard are taken for one with a chance of 2**-42 a pair.
+    paths have 38 bits within a shard, so two n-grams of one shard are taken for one with a chance of 2**-38 a pair.
     """
     spark = docs.sparkSession
     chunks = stored(chunked(docs, order, chunk_tokens))
