@@ -100,12 +100,17 @@ def build_observed(w: Warehouse, target: str) -> DataFrame:
 
     A landed table or view is observed where a mart first reads it, a mart where it is written, so nothing is scanned
     again for its checks. Returns (check_name, key, value), as many rows as there are checks.
+
+    The build runs in a session of its own: one that has observed metrics cannot be sent with a task any more, which
+    evaluators of Spark ML do.
     """
     observed: dict[str, Observation] = {}
+    own = Warehouse(w.spark.newSession(), w.folder)
     for name in quality.observed_checks():
         if name not in MATERIALISED:
-            w.replace(name, _watched(w[name], name, observed))
-    build(w, target, observed=observed)
+            own.replace(name, _watched(own[name], name, observed))
+    for name, path in build(own, target, observed=observed).items():
+        w.use_stored(name, w.spark.read.parquet(path))
     rows = []
     for name, checks in quality.observed_checks().items():
         found = observed[name].get
