@@ -25,8 +25,10 @@ from helixmart.session import cut_lineage, scratch_dir
 #: Cells of a leaf where ranges are counted and where nearest rows are sought, levels of the tree at most (65,536 leaves;
 #: beyond, leaves grow), and sampled cells per leaf.
 LEAF, NEAR_LEAF, MAX_DEPTH, SAMPLE_PER_LEAF = 2048, 512, 16, 32
-#: Cells of a block of bit sets, and queries that stream the blocks together.
-BLOCK_CELLS, QUERIES_AT_ONCE = 4096, 1 << 18
+#: Cells of a block of bit sets, queries that stream the blocks together, and pairs of a query and a leaf held meanwhile.
+BLOCK_CELLS, QUERIES_AT_ONCE, TESTS_AT_ONCE = 4096, 1 << 18, 1 << 24
+#: Queries whose joined bit sets are held at once, 512 bytes each for a side of the dimensions.
+JOINED_AT_ONCE = 1 << 15
 #: Distances held at once by a task.
 PAIRS_AT_ONCE = 2_000_000
 
@@ -108,23 +110,25 @@ class LeafBoxes:
                 at, node = np.repeat(at, 2), np.stack([2 * node, 2 * node + 1], axis=1).reshape(-1)
         return at, node - (1 << self.depth)
 
-    def decided(self, points: np.ndarray, reach: np.ndarray, any_of: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows of the nodes that lie in range of each point as a whole, and (point, leaf) of the leaves left to test."""
-        found = np.zeros(len(points), np.int64)
-        at, node = np.arange(len(points)), np.ones(len(points), np.int64)
+    def border(self, points: np.ndarray, reach: np.ndarray, any_of: bool, found: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Adds to ``found`` the rows of the nodes that lie in range of each point as a whole; yields the leaves left to test
+        in ascending order, each with its points. Goes down one branch at a time, so a point is held once per level."""
         slack = 1e-9 * (1 + np.abs(points).max(initial=0))
-        for level in range(self.depth + 1):
+        waiting = [(1, 0, np.arange(len(points), dtype=np.int32))]
+        while waiting:
+            node, level, at = waiting.pop()
+            if not len(at) or not self.rows[node]:
+                continue
             p, low, high = points[at], self.low[node], self.high[node]
             inside = np.maximum(np.abs(p - low), np.abs(high - p)) <= reach - slack
             outside = np.maximum(np.maximum(low - p, p - high), 0) > reach + slack
             inside, outside = (inside.any(axis=1), outside.all(axis=1)) if any_of else (inside.all(axis=1), outside.any(axis=1))
-            some = self.rows[node] > 0
-            np.add.at(found, at[inside & some], self.rows[node[inside & some]])
-            left = some & ~inside & ~outside
-            at, node = at[left], node[left]
+            found[at[inside]] += self.rows[node]
+            at = at[~inside & ~outside]
             if level < self.depth:
-                at, node = np.repeat(at, 2), np.stack([2 * node, 2 * node + 1], axis=1).reshape(-1)
-        return found, at, node - (1 << self.depth)
+                waiting += [(2 * node + 1, level + 1, at), (2 * node, level + 1, at)]
+            elif len(at):
+                yield node - (1 << self.depth), at
 
 
 class Euclidean:
@@ -316,29 +320,51 @@ def _read_blocks(folder: str, first: int, last: int, width: int) -> Iterator[tup
             yield leaf.as_py(), np.frombuffer(points.as_py(), "<f8").reshape(-1, width), np.frombuffer(counts.as_py(), "<i8")
 
 
-def _in_ranges(q: np.ndarray, points: np.ndarray, counts: np.ndarray, reach: np.ndarray, any_of: bool) -> np.ndarray:
-    """For each query the summed counts of the points within ``reach`` in any, or in every dimension."""
-    n, words, out = len(points), -(-len(points) // 64), np.zeros(len(q), np.int64)
-    spans, sets = [], []
+def _sides(q: np.ndarray) -> list[tuple[range, np.ndarray, np.ndarray]]:
+    """The dimensions in two parts (one, where there are only two): the part's different values, and those of each query."""
+    width = q.shape[1]
+    cuts = [0, width // 2, width] if width > 2 else [0, width]
+    parts = [range(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [(part, *np.unique(q[:, part.start : part.stop], axis=0, return_inverse=True)) for part in parts]
+
+
+def _in_ranges(sides: list, some: np.ndarray, points: np.ndarray, counts: np.ndarray, reach: np.ndarray, any_of: bool) -> np.ndarray:
+    """For each query of ``some`` the summed counts of the points within ``reach`` in any, or in every dimension. Ranges of
+    a side are joined once for all queries of equal values there."""
+    n, words, out = len(points), -(-len(points) // 64), np.zeros(len(some), np.int64)
+    ranked, sets = [], []
     for j in range(points.shape[1]):
         order = np.argsort(points[:, j], kind="stable")
-        ranked = points[order, j]
-        spans.append((np.searchsorted(ranked, q[:, j] - reach[j], "left"), np.searchsorted(ranked, q[:, j] + reach[j], "right")))
+        ranked.append(points[order, j])
         prefix = np.zeros((n + 1, words), np.uint64)
         prefix[np.arange(1, n + 1), order >> 6] = np.uint64(1) << (order & 63).astype(np.uint64)
         sets.append(np.bitwise_or.accumulate(prefix, axis=0))
     planes = []
     for bit in range(int(counts.max()).bit_length()):
-        some = np.zeros(words * 64, bool)
-        some[:n] = (counts >> bit) & 1
-        planes.append(np.packbits(some, bitorder="little").view("<u8"))
-    for start in range(0, len(q), 4096):
-        at, joined = slice(start, start + 4096), None
-        for (lo, hi), prefix in zip(spans, sets, strict=True):
-            bits = prefix[hi[at]] ^ prefix[lo[at]]
-            joined = bits if joined is None else joined | bits if any_of else joined & bits
-        for bit, plane in enumerate(planes):
-            out[at] += np.bitwise_count(joined & plane).sum(axis=1, dtype=np.int64) << bit
+        held = np.zeros(words * 64, bool)
+        held[:n] = (counts >> bit) & 1
+        planes.append(np.packbits(held, bitorder="little").view("<u8"))
+    joint = np.bitwise_or if any_of else np.bitwise_and
+    for first in range(0, len(some), JOINED_AT_ONCE):
+        part, met = some[first : first + JOINED_AT_ONCE], []
+        for dims, values, code in sides:
+            mine = code[part]
+            used = np.zeros(len(values), bool)
+            used[mine] = True
+            v, bits = values[used], None
+            for i, j in enumerate(dims):
+                lo, hi = np.searchsorted(ranked[j], v[:, i] - reach[j], "left"), np.searchsorted(ranked[j], v[:, i] + reach[j], "right")
+                own = sets[j][hi]
+                own ^= sets[j][lo]
+                bits = own if bits is None else joint(bits, own, out=bits)
+            met.append((bits, (np.cumsum(used) - 1)[mine]))
+        for start in range(0, len(part), 4096):
+            at, joined = slice(start, start + 4096), None
+            for bits, place in met:
+                own = bits[place[at]]
+                joined = own if joined is None else joint(joined, own, out=joined)
+            for bit, plane in enumerate(planes):
+                out[first + start : first + start + len(joined)] += np.bitwise_count(joined & plane).sum(axis=1, dtype=np.int64) << bit
     return out
 
 
@@ -363,14 +389,21 @@ def counts_of_all(queries: DataFrame, corpus: DataFrame, reach: dict[str, float]
         def answer():
             q = np.concatenate(waiting)
             waiting.clear()
-            n, at, leaves = shared.value.decided(q, width, any_of)
-            order = np.argsort(leaves, kind="stable")
-            at, leaves = at[order], leaves[order]
-            if len(leaves):
-                for there, points, counts in _read_blocks(folder, int(leaves[0]), int(leaves[-1]), len(columns)):
-                    some = at[slice(*np.searchsorted(leaves, [there, there + 1]))]
-                    if len(some):
-                        n[some] += _in_ranges(q[some], points, counts, width, any_of)
+            n, asked, sides = np.zeros(len(q), np.int64), {}, _sides(q)
+
+            def test():
+                if asked:
+                    for there, points, counts in _read_blocks(folder, min(asked), max(asked), len(columns)):
+                        if there in asked:
+                            some = asked[there]
+                            n[some] += _in_ranges(sides, some, points, counts, width, any_of)
+                asked.clear()
+
+            for there, some in shared.value.border(q, width, any_of, n):
+                asked[there] = some
+                if sum(map(len, asked.values())) >= TESTS_AT_ONCE:
+                    test()
+            test()
             return pa.RecordBatch.from_arrays([*[pa.array(q[:, i]) for i in range(len(columns))], pa.array(n)], [*columns, "n"])
 
         for batch in batches:
@@ -380,4 +413,6 @@ def counts_of_all(queries: DataFrame, corpus: DataFrame, reach: dict[str, float]
         if sum(map(len, waiting)):
             yield answer()
 
-    return wanted.repartitionByRange("leaf", *columns).select(*columns).mapInArrow(count, ", ".join([*[f"{c} double" for c in columns], "n long"]))
+    # A row is little to send and much to count, so the number of tasks must not come from the bytes. Each makes the bit
+    # sets for itself, so there are not many more tasks than cores.
+    return wanted.repartitionByRange(2 * cells.sparkSession.sparkContext.defaultParallelism, "leaf", *columns).select(*columns).mapInArrow(count, ", ".join([*[f"{c} double" for c in columns], "n long"]))

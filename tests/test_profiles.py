@@ -78,3 +78,24 @@ def test_tree_cuts_dense_regions(spark):
     tree = P.KdTree.build(points, 5)
     sizes = np.bincount(tree.leaf(points), minlength=32)
     assert sizes.max() <= 2 * len(points) / 32
+
+
+def test_undecided_leaves_are_never_held_for_all_points():
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    points, reach = r.uniform(0, 16, (20_000, 4)), np.full(4, 2.0)
+    tree = P.KdTree.build(points, 9)
+    leaf = tree.leaf(points)
+    rows = [{"leaf": i, "low": points[leaf == i].min(axis=0), "high": points[leaf == i].max(axis=0), "n": int((leaf == i).sum())} for i in np.unique(leaf)]
+    boxes = P.LeafBoxes(rows, 9, 4)
+    found, asked, seen = np.zeros(len(points), np.int64), np.zeros(len(points), np.int64), []
+    tracemalloc.start()
+    for there, at in boxes.border(points, reach, True, found):
+        seen.append(there)
+        asked[at] += boxes.rows[there + (1 << 9)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == sorted(set(seen)) and asked.sum() > 100 * len(points) * 20 and peak < 32e6
+    near = np.array([(np.abs(points - q) <= 2).any(axis=1).sum() for q in points[:50]])
+    assert (found[:50] <= near).all() and (near <= found[:50] + asked[:50]).all()
