@@ -21,9 +21,11 @@ from helixmart.operators import stats
 from helixmart.operators.components import leading_components
 from helixmart.operators.lookups import risk_level, scoring_defaults
 from helixmart.operators.ranking import group_quantiles
-from helixmart.session import cut_lineage
+from helixmart.session import cut_lineage, task_count
 
 SEED = 42
+#: Rows of a part of a training set: fewer are not worth a task, more are cut further.
+ROWS_AT_LEAST, ROWS_AT_MOST = 4_000, 50_000
 
 
 # -- preparation -------------------------------------------------------------------------------
@@ -80,7 +82,15 @@ def select_features(df: DataFrame, label: str, keep: int = 9, forced: str = "age
 
 
 def _weighted(df: DataFrame, label: str) -> DataFrame:
-    return df.join(stats.class_weights(df, label), label)
+    # One row per class; a shuffle by class would put all rows into as many tasks as there are classes.
+    return df.join(F.broadcast(stats.class_weights(df, label)), label)
+
+
+def _even(df: DataFrame, identity: str, rows: int) -> DataFrame:
+    """The ``rows`` rows in even, ordered parts: training goes over them hundreds of times, in as many tasks as there are
+    parts. A few bytes a row would make adaptive execution put them all into one."""
+    parts = max(min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_AT_LEAST)), -(-rows // ROWS_AT_MOST), 1)
+    return df.repartition(parts, identity).sortWithinPartitions(identity)
 
 
 def _split(df: DataFrame, label: str, identity: str, share: float = 0.2) -> tuple[DataFrame, DataFrame]:
@@ -88,7 +98,7 @@ def _split(df: DataFrame, label: str, identity: str, share: float = 0.2) -> tupl
     class_weight, from its own classes alone."""
     whole = cut_lineage(stats.stratified_split(df, label, identity, share))
     train, test = whole.where("split = 'train'").drop("split"), whole.where("split = 'test'").drop("split")
-    return cut_lineage(_weighted(train, label)), test
+    return cut_lineage(_even(_weighted(train, label), identity, train.count())), cut_lineage(_even(test, identity, test.count()))
 
 
 # -- models ------------------------------------------------------------------------------------
@@ -119,7 +129,7 @@ def _accuracy(scored: DataFrame, label: str) -> float:
 def cross_validated(pipeline: Pipeline, train: DataFrame, label: str, class_label: str, identity: str,
                     folds: int = 5) -> tuple[float, float]:
     """Mean and deviation of accuracy over stratified folds, whose models are fitted side by side."""
-    with_folds = cut_lineage(stats.stratified_folds(train, class_label, identity, folds))
+    with_folds = cut_lineage(_even(stats.stratified_folds(train, class_label, identity, folds), identity, train.count()))
     search = CrossValidator(
         estimator=pipeline, estimatorParamMaps=ParamGridBuilder().build(), numFolds=folds, foldCol="fold", parallelism=folds,
         evaluator=MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="accuracy"))
@@ -179,6 +189,11 @@ def _session() -> SparkSession:
 
 # -- scoring -----------------------------------------------------------------------------------
 
+def spread(rows: DataFrame, identity: str = "sample_id") -> DataFrame:
+    """Every tree of a forest is walked for each row, so the number of tasks must not come from the bytes of a row."""
+    return rows.repartition(task_count(rows.sparkSession), identity)
+
+
 def score_risk(model: PipelineModel, patients: DataFrame, features: Sequence[str] = tuple(C.RISK_FEATURES),
                profile: str = "warehouse") -> DataFrame:
     """Score 0-100, level, confidence and class for every patient; missing flags count as 0."""

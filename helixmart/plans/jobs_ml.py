@@ -36,13 +36,13 @@ def _selected(w):
 def _risk_scores(w):
     clinical = w["mart_risk_features_clinical"]
     model, _ = ml.train_risk(clinical)
-    return ml.score_risk(model, clinical.select("sample_id", *C.RISK_FEATURES))
+    return ml.score_risk(model, ml.spread(clinical.select("sample_id", *C.RISK_FEATURES)))
 
 
 def _subtype_scores(w):
     genomic = w["mart_risk_features_genomic"]
     model, _ = ml.train_subtype(genomic)
-    return ml.score_subtype(model, genomic.select("sample_id", *C.SUBTYPE_FEATURES))
+    return ml.score_subtype(model, ml.spread(genomic.select("sample_id", *C.SUBTYPE_FEATURES)))
 
 
 job("k3_imputed_and_scaled")(_scaled)

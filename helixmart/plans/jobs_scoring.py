@@ -35,14 +35,14 @@ def _called(table: str, function: str, features: list[str], keep: str = "*") ->
 def risk_scored(w):
     """Patients with risk_score, risk_level, confidence and class by the SQL function."""
     scoring.register_risk(w.spark, bundle(w, "risk"))
-    clinical(w).createOrReplaceTempView("scored_patients")
+    ml.spread(clinical(w)).createOrReplaceTempView("scored_patients")
     return w.spark.sql(_called("scored_patients", "predict_risk", C.RISK_FEATURES)).select("*", "scored.*").drop("scored")
 
 
 def subtype_scored(w):
     """Samples with predicted_subtype, confidence and probabilities by the SQL function."""
     scoring.register_subtype(w.spark, bundle(w, "subtype"))
-    w["mart_risk_features_genomic"].createOrReplaceTempView("scored_samples")
+    ml.spread(w["mart_risk_features_genomic"]).createOrReplaceTempView("scored_samples")
     return w.spark.sql(_called("scored_samples", "predict_subtype", C.SUBTYPE_FEATURES)).select("*", "scored.*").drop("scored")
 
 

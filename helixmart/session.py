@@ -46,6 +46,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks for steps that compute much on few bytes, which adaptive execution would put into one task."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for files that tasks share: below ``spark.checkpoint.dir`` where it is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -114,3 +114,14 @@ def test_weights_come_from_the_train_part(spark):
     n = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
     assert {(r["y"], round(r["class_weight"], 9)) for r in train.collect()} == {(y, round(80 / (2 * c), 9)) for y, c in n.items()}
     assert "class_weight" not in test.columns
+
+
+def test_training_rows_lie_in_even_parts(spark):
+    rows = spark.range(60_000).select(
+        F.concat(F.lit("s"), "id").alias("sample_id"), F.when(F.col("id") % 50 == 0, "rare").otherwise("common").alias("y"), F.rand(1).alias("v"))
+    train, test = ml._split(rows, "y", "sample_id")
+    assert train.count() == 48_000 and test.count() == 12_000
+    wanted = min(spark.sparkContext.defaultParallelism, 12)
+    sizes = train.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert len(sizes) == wanted and max(sizes) < 1.2 * 48_000 / wanted
+    assert ml.spread(rows.limit(10)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
