@@ -25,6 +25,8 @@ from helixmart.llm.tokens import encoder
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
+#: Words that a worker remembers in each generation, beside shards of its own and of other tasks in the executor.
+WORDS = 150_000
 #: Slots per key and level of the hash, and levels before the rest is listed.
 GAMMA, LEVELS = 2.0, 24
 
@@ -125,7 +127,7 @@ def occurrences(ids: np.ndarray, nulls: np.ndarray) -> np.ndarray:
 
 
 def _write_shard(rows: Iterator[tuple], folder: str, path: str, end_id: int) -> tuple[int, int, int, int | None, int | None]:
-    enc, (fs, root), shard = encoder(path), FileSystem.from_uri(folder), TaskContext.get().partitionId()
+    enc, (fs, root), shard = encoder(path, WORDS), FileSystem.from_uri(folder), TaskContext.get().partitionId()
     fs.create_dir(root, recursive=True)
     width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 65536 else 4
     end = end_id.to_bytes(4, "little")

@@ -89,9 +89,9 @@ _ENCODERS: dict[str, WordEncoder] = {}
 remembered("encoders", _ENCODERS.clear)
 
 
-def encoder(path: str) -> WordEncoder:
-    """The worker's encoder for a tokenizer file."""
+def encoder(path: str, limit: int = 400_000) -> WordEncoder:
+    """The worker's encoder for a tokenizer file, with the memory that its first caller asks for."""
     only("encoders")
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = WordEncoder(path, limit)
     return _ENCODERS[path]

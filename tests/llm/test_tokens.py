@@ -150,3 +150,17 @@ def test_windows_hold_the_target_mixture():
                 assert all(abs(shares[w][q] - 2048 * weights[q]) <= 4 * 64 for q in totals), (w, shares[w])
         else:
             assert all(abs(shares[w][q] - 2048 / 3) < 300 for w in range(3, 8) for q in (0, 1, 2))
+
+
+def test_token_files_remember_fewer_words(monkeypatch):
+    from helixmart.llm import token_files, tokens
+
+    path = public_tokenizers.path(token_files.TOKENIZER)
+    monkeypatch.setattr(tokens, "_ENCODERS", {})
+    enc = tokens.encoder(path, 50)
+    text = " ".join(f"word{i % 170}" for i in range(1000))
+    assert enc.encode(text) == tokens.WordEncoder(path).encode(text)
+    for i in range(300):
+        enc.encode(f"a{i} b{i}")
+        assert len(enc.known) <= 53 or i == 0
+    assert tokens.WordEncoder(path).limit > token_files.WORDS
