@@ -299,6 +299,8 @@ def leaderboard(rows: DataFrame) -> DataFrame:
 
 def cluster_markers(z_scored: DataFrame, columns: Sequence[str], k: int = 4) -> DataFrame:
     """Samples grouped by their standardised markers."""
+    # Training goes over the rows again and again; without files each pass would make the markers anew from the expression.
+    z_scored = cut_lineage(z_scored)
     ready = VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip").transform(z_scored)
     model = KMeans(k=k, seed=SEED, featuresCol="features", predictionCol="cluster").fit(ready)
     return model.transform(ready).select("sample_id", *columns, "cluster")

@@ -10,6 +10,7 @@ from helixmart.plans.check_views import rnd
 from helixmart.plans.jobs_features import rounded
 from helixmart.plans.jobs_stats import labels, matrix, targets
 from helixmart.plans.registry import job
+from helixmart.session import cut_lineage
 
 _CANDIDATES = C.RISK_CANDIDATES[1:]
 _UNION = " UNION ALL ".join(
@@ -77,4 +78,5 @@ job("k17_sample_components")(lambda w: ml.sample_components(matrix(w)))
 job("k18_classifier_comparison")(
     lambda w: ml.compare_classifiers(labels(w).select("sample_id", "z_label", *S.MARKERS), "z_label", S.MARKERS))
 job("k19_marker_clusters")(
-    lambda w: ml.cluster_markers(S.z_scores(S.marker_matrix(w["core_biomarkers"]), S.MARKERS), [f"z_{m}" for m in S.MARKERS]))
+    # Moments and rows read the markers from files, so the expression is shuffled once.
+    lambda w: ml.cluster_markers(S.z_scores(cut_lineage(S.marker_matrix(w["core_biomarkers"])), S.MARKERS), [f"z_{m}" for m in S.MARKERS]))

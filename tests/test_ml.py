@@ -125,3 +125,16 @@ def test_training_rows_lie_in_even_parts(spark):
     sizes = train.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
     assert len(sizes) == wanted and max(sizes) < 1.2 * 48_000 / wanted
     assert ml.spread(rows.limit(10)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_clusters_make_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def marked(x):
+        seen.add(1)
+        return x
+
+    rows = spark.range(200, numPartitions=2).select(F.col("id").cast("string").alias("sample_id"), marked((F.col("id") % 7).cast("double")).alias("z"))
+    assert ml.cluster_markers(rows, ["z"], 3).count() == 200
+    assert seen.value <= 400  # a checkpoint computes its rows twice at most
