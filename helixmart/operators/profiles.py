@@ -29,8 +29,8 @@ LEAF, NEAR_LEAF, MAX_DEPTH, SAMPLE_PER_LEAF = 2048, 512, 16, 32
 BLOCK_CELLS, QUERIES_AT_ONCE, TESTS_AT_ONCE = 4096, 1 << 18, 1 << 24
 #: Queries whose joined bit sets are held at once, 512 bytes each for a side of the dimensions.
 JOINED_AT_ONCE = 1 << 15
-#: Distances held at once by a task.
-PAIRS_AT_ONCE = 2_000_000
+#: Distances, and nodes of points, held at once by a task.
+PAIRS_AT_ONCE, NODES_AT_ONCE = 2_000_000, 1 << 17
 
 
 def _finite(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -100,15 +100,22 @@ class LeafBoxes:
             node = np.where(away(right) < away(left), right, left)
         return best
 
-    def reached(self, points: np.ndarray, radius: np.ndarray, metric) -> tuple[np.ndarray, np.ndarray]:
-        """(point, leaf) of the leaves with rows that may lie within each point's radius."""
-        at, node = np.arange(len(points)), np.ones(len(points), np.int64)
-        for level in range(self.depth + 1):
+    def reached(self, points: np.ndarray, radius: np.ndarray, metric) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(point, leaf) of the leaves with rows that may lie within each point's radius, piece by piece: at most
+        NODES_AT_ONCE nodes are tested together, and half a piece waits per cut and level."""
+        waiting = [(0, np.arange(len(points)), np.ones(len(points), np.int64))]
+        while waiting:
+            level, at, node = waiting.pop()
+            if len(at) > NODES_AT_ONCE:
+                half = len(at) // 2
+                waiting += [(level, at[half:], node[half:]), (level, at[:half], node[:half])]
+                continue
             near = (self.rows[node] > 0) & (metric.nearest(points[at], self.low[node], self.high[node]) <= radius[at])
             at, node = at[near], node[near]
-            if level < self.depth:
-                at, node = np.repeat(at, 2), np.stack([2 * node, 2 * node + 1], axis=1).reshape(-1)
-        return at, node - (1 << self.depth)
+            if level < self.depth and len(at):
+                waiting.append((level + 1, np.repeat(at, 2), np.stack([2 * node, 2 * node + 1], axis=1).reshape(-1)))
+            elif len(at):
+                yield at, node - (1 << self.depth)
 
     def border(self, points: np.ndarray, reach: np.ndarray, any_of: bool, found: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Adds to ``found`` the rows of the nodes that lie in range of each point as a whole; yields the leaves left to test
@@ -268,10 +275,11 @@ def nearest_of_all(queries: DataFrame, corpus: DataFrame, columns: list[str], co
             short = np.isinf(far)
             if short.any():
                 far[short] = boxes.sure_reach(p[short], k, metric)
-            at, there = boxes.reached(p, far, metric)
-            new = there != batch["leaf"].to_numpy(zero_copy_only=False)[at]
-            at, there = at[new], there[new]
-            yield pa.RecordBatch.from_arrays([*[pa.array(p[at, i]) for i in range(len(columns))], pa.array(there.astype(np.int32))], [*columns, "leaf"])
+            own_leaf = batch["leaf"].to_numpy(zero_copy_only=False)
+            for at, there in boxes.reached(p, far, metric):
+                new = there != own_leaf[at]
+                at, there = at[new], there[new]
+                yield pa.RecordBatch.from_arrays([*[pa.array(p[at, i]) for i in range(len(columns))], pa.array(there.astype(np.int32))], [*columns, "leaf"])
 
     further = asked.select(*columns, "leaf", "_far", "_n").mapInArrow(others, ", ".join([*[f"{c} double" for c in columns], "leaf int"]))
     order = W.partitionBy(*columns).orderBy("distance", corpus_id)

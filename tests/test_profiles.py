@@ -99,3 +99,25 @@ def test_undecided_leaves_are_never_held_for_all_points():
     assert seen == sorted(set(seen)) and asked.sum() > 100 * len(points) * 20 and peak < 32e6
     near = np.array([(np.abs(points - q) <= 2).any(axis=1).sum() for q in points[:50]])
     assert (found[:50] <= near).all() and (near <= found[:50] + asked[:50]).all()
+
+
+def test_reached_leaves_come_in_pieces():
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    corpus, points, radius, metric = r.uniform(0, 16, (20_000, 4)), r.uniform(0, 16, (10_000, 4)), r.uniform(2, 12, 10_000), P.Euclidean()
+    tree = P.KdTree.build(corpus, 9)
+    leaf = tree.leaf(corpus)
+    rows = [{"leaf": i, "low": corpus[leaf == i].min(axis=0), "high": corpus[leaf == i].max(axis=0), "n": int((leaf == i).sum())} for i in np.unique(leaf)]
+    boxes, n, some = P.LeafBoxes(rows, 9, 4), 0, set()
+    tracemalloc.start()
+    for at, there in boxes.reached(points, radius, metric):
+        n += len(at)
+        few = at < 20
+        some |= set(zip(at[few].tolist(), there[few].tolist(), strict=True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 1_000_000 and peak < 64e6
+    low, high = boxes.low[1 << 9 :], boxes.high[1 << 9 :]
+    wanted = {(i, j) for i in range(20) for j in np.flatnonzero(metric.nearest(np.repeat(points[i : i + 1], 512, axis=0), low, high) <= radius[i]).tolist()}
+    assert some == wanted
