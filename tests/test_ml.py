@@ -138,3 +138,14 @@ def test_clusters_make_their_rows_once(spark):
     rows = spark.range(200, numPartitions=2).select(F.col("id").cast("string").alias("sample_id"), marked((F.col("id") % 7).cast("double")).alias("z"))
     assert ml.cluster_markers(rows, ["z"], 3).count() == 200
     assert seen.value <= 400  # a checkpoint computes its rows twice at most
+
+
+def test_deep_forest_keeps_the_nodes_of_its_rows(spark):
+    forest = ml.classifiers(trees=4)["random_forest"]
+    assert forest.getCacheNodeIds() and forest.getMaxDepth() == 15
+    rows = spark.range(3_000, numPartitions=3).select(F.rand(1).alias("a"), F.rand(2).alias("b")).withColumn(
+        "label", F.floor(F.col("a") * F.col("b") * 7) % 3 * 1.0).withColumn("class_weight", F.col("label") + 1)
+    ready = ml.VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
+    walked = forest.copy().setCacheNodeIds(False)
+    trees = [[t.toDebugString.split("\n", 1)[1] for t in f.fit(ready).trees] for f in (forest, walked)]
+    assert trees[0] == trees[1] and max(map(len, trees[0])) > 1_000
