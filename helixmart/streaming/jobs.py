@@ -55,8 +55,9 @@ def live_gap_sessions(records: DataFrame, gap: int = E.SESSION_GAP_SECONDS, dela
     """Sessions per visitor by more than ``gap`` seconds of silence, each sent once when the watermark rules out that it
     goes on. Needs the RocksDB state store (``with_state_store``)."""
     flat = deduplicated(E.flatten(records).where(F.col("app_timestamp").isNotNull()), delay)
-    seen = flat.select(E.visitor().alias("visitor"), "app_timestamp")
-    return seen.groupBy("visitor").transformWithStateInPandas(SilenceSessions(gap), SCHEMA, "append", "EventTime")
+    seen = flat.select(E.visitor().alias("visitor"), "app_timestamp", F.unix_micros("app_timestamp").alias("at"))
+    closed = seen.groupBy("visitor").transformWithState(SilenceSessions(gap), SCHEMA, "append", "EventTime")
+    return closed.select("visitor", "session_no", F.timestamp_micros("started").alias("started_at"), F.timestamp_micros("ended").alias("ended_at"), "n_events")
 
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"

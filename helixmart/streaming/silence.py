@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-SCHEMA = "visitor string, session_no long, started_at timestamp, ended_at timestamp, n_events long"
+#: Moments as microseconds.
+SCHEMA = "visitor string, session_no long, started long, ended long, n_events long"
+#: Events of a visitor that are taken together.
+EVENTS_AT_ONCE = 10_000
 
 
 def joined(spans: np.ndarray, gap: int) -> np.ndarray:
@@ -24,6 +28,9 @@ class SilenceSessions(StatefulProcessor):
 
     Events may come in any order within the watermark and may unite sessions. A session closes when the watermark is more
     than ``gap`` past its end: whatever could prolong it would be late. Closed sessions are numbered in order of time.
+
+    Most visitors have few events, so the calls to the state store are what takes time: the open sessions lie in one value,
+    with the number of those closed, and the timer follows from them and need not be looked up.
     """
 
     def __init__(self, gap_seconds: int):
@@ -31,40 +38,39 @@ class SilenceSessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "started long, ended long, n long")
-        self.closed = handle.getValueState("closed", "n long")
+        self.state = handle.getValueState("sessions", "closed long, open binary")
 
-    def _timer(self, spans: np.ndarray) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if len(spans):
-            self.handle.registerTimer(int(spans[:, 1].min() + self.gap) // 1000 + 1)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        spans = np.array([tuple(s) for s in self.open.get()], np.int64).reshape(-1, 3)
-        for part in rows:
-            at = part["app_timestamp"].to_numpy().astype("datetime64[us]").astype(np.int64)
-            spans = joined(np.concatenate([spans, np.stack([at, at, np.ones_like(at)], axis=1)]), self.gap)
-        self.open.put([tuple(map(int, s)) for s in spans])
-        self._timer(spans)
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def _known(self) -> tuple[int, np.ndarray]:
+        closed, spans = self.state.get() or (0, b"")
+        return closed, np.frombuffer(spans, "<i8").reshape(-1, 3)
+
+    def _timer(self, spans: np.ndarray) -> int | None:
+        return int(spans[:, 1].min() + self.gap) // 1000 + 1 if len(spans) else None
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        closed, before = self._known()
+        spans = before
+        while at := [row["at"] for row in islice(rows, EVENTS_AT_ONCE)]:
+            moments = np.array(at, np.int64)
+            spans = joined(np.concatenate([spans, np.stack([moments, moments, np.ones_like(moments)], axis=1)]), self.gap)
+        self.state.update((closed, spans.astype("<i8").tobytes()))
+        old, new = self._timer(before), self._timer(spans)
+        if old != new:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(new)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        spans = np.array([tuple(s) for s in self.open.get()], np.int64).reshape(-1, 3)
+        closed, spans = self._known()
         over = now - spans[:, 1] > self.gap
         ready, spans = spans[over], spans[~over]
+        self.state.update((closed + len(ready), spans.tobytes()))
         if len(spans):
-            self.open.put([tuple(map(int, s)) for s in spans])
-        else:
-            self.open.clear()
-        self._timer(spans)
-        before = int(self.closed.get()[0]) if self.closed.exists() else 0
-        if len(ready):
-            self.closed.update((before + len(ready),))
-            yield pd.DataFrame({
-                "visitor": [key[0]] * len(ready), "session_no": np.arange(before + 1, before + len(ready) + 1),
-                "started_at": ready[:, 0].astype("datetime64[us]"), "ended_at": ready[:, 1].astype("datetime64[us]"), "n_events": ready[:, 2]})
+            self.handle.registerTimer(self._timer(spans))
+        for number, (start, end, n) in enumerate(ready.tolist(), closed + 1):
+            yield Row(visitor=key[0], session_no=number, started=start, ended=end, n_events=n)
 
     def close(self) -> None:
         pass

@@ -97,6 +97,46 @@ def test_sessions_by_silence_over_batches(spark, tmp_path):
     assert ("anonymous", 2, "01 03:30", "01 03:30", 1) in rows and len(rows) == 5
 
 
+def test_sessions_take_few_calls_of_the_state_store():
+    from helixmart.streaming.silence import SilenceSessions
+
+    calls, value, minute = [], [None], 60_000_000
+
+    class Store:
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return value[0]
+
+        def update(self, new):
+            calls.append("update")
+            value[0] = new
+
+        def registerTimer(self, at):
+            calls.append(("register", at))
+
+        def deleteTimer(self, at):
+            calls.append(("delete", at))
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 100 * 60_000
+
+    sessions = SilenceSessions(30 * 60)
+    sessions.init(Store())
+    send = lambda *minutes: list(sessions.handleInputRows(("v",), iter([{"at": m * minute} for m in minutes]), None))
+    assert send(0, 95, 5) == [] and calls == ["get", "update", ("register", 35 * 60_000 + 1)]
+    calls.clear()
+    send(20)  # prolongs the first session, so its timer moves
+    assert calls == ["get", "update", ("delete", 35 * 60_000 + 1), ("register", 50 * 60_000 + 1)]
+    calls.clear()
+    out = list(sessions.handleExpiredTimer(("v",), Now(), None))
+    assert [tuple(r) for r in out] == [("v", 1, 0, 20 * minute, 3)]
+    assert calls == ["get", "update", ("register", 125 * 60_000 + 1)]
+
+
 def test_open_windows_and_replay(spark, tmp_path):
     source, folder = str(tmp_path / "in"), str(tmp_path / "run")
     keys = ["window_start", "window_end", "event_type", "status"]
