@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from helixmart.functions import constants as C, markers as M
 from helixmart.functions.rules import band, flag, one_hot, round_half_up, share, zero
-from helixmart.operators.ranking import group_quantiles
+from helixmart.operators.ranking import quantiles_of_many_groups
 
 
 def biomarkers(expression: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def gene_moments(expression: DataFrame) -> DataFrame:
 
 def gene_summary(expression: DataFrame) -> DataFrame:
     """Moments and the exact median per sample."""
-    middle = group_quantiles(expression, ["sample_id"], "expression_value", {"median_gene_expression": 0.5})
+    middle = quantiles_of_many_groups(expression, ["sample_id"], "expression_value", {"median_gene_expression": 0.5})
     return gene_moments(expression).join(middle, "sample_id", "left")
 
 

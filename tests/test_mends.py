@@ -45,3 +45,18 @@ def test_repeated_patients_are_not_multiplied(spark):
     df = spark.createDataFrame(rows, "sample_id string, age long, tmb double, is_male int, risk_score double, mutation_count long")
     got = sorted((r["sample_id"], r["similar_patients_found"]) for r in similarity.risk_analysis(df, df).collect())
     assert got == [("a", 1), ("a", 2), ("a", 2), ("b", 0)]
+
+
+def test_small_groups_are_sorted_after_one_shuffle(spark):
+    from helixmart.operators import marts
+    from helixmart.operators.ranking import quantiles_of_many_groups
+
+    rows = [("large", float(i * i % 31)) for i in range(40)] + [("small", 0.1), ("small", 0.7), ("one", 5.0), ("odd", float("nan")), (None, 1.0), ("odd", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = {"q1": 0.1, "m": 0.5, "q9": 0.9}
+    wanted = {tuple(r) for r in group_quantiles(df, ["k"], "v", probs).collect()}
+    for gathered in (0, 10, 100):
+        assert {tuple(r) for r in quantiles_of_many_groups(df, ["k"], "v", probs, gathered).select("k", *probs).collect()} == wanted
+    expression = spark.createDataFrame([("a", "G", 1.0), ("a", "H", 4.0)], "sample_id string, gene_symbol string, expression_value double")
+    plan = marts.gene_summary(expression)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and marts.gene_summary(expression).first()["median_gene_expression"] == 2.5
