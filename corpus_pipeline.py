@@ -18,6 +18,9 @@ from helixmart.llm.jaccard import jaccard_groups
 from helixmart.llm.packing import TOKENIZER, pack
 from helixmart.llm.secrets import redacted, scan
 
+#: Words a generation that a packing worker remembers: its executor has grown in the stages before.
+PACKING_WORDS = 100_000
+
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows of the (doc_id, tie) in ``gone``; tie is the hash of a row's text."""
@@ -65,7 +68,7 @@ def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the kept documents in sequences of 2048 tokens with the mixture of all sources."""
-    return pack(docs.select("doc_id", "source", "text"), public_tokenizers.path(TOKENIZER))
+    return pack(docs.select("doc_id", "source", "text"), public_tokenizers.path(TOKENIZER), words=PACKING_WORDS)
 
 
 STAGES = [

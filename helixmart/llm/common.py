@@ -59,6 +59,7 @@ def only(*names: str) -> None:
             if name not in names:
                 clear()
         _IN_USE[0] = names
+        pa.default_memory_pool().release_unused()
 
 
 class WordHashes(dict):

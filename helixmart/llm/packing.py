@@ -113,14 +113,14 @@ class Mixture:
         return r.astype(np.int64)
 
 
-def _tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, words: int) -> DataFrame:
     """Ids of every document with its place in its partition's part of the queue."""
     end = end_id.to_bytes(4, "little")
     fields = ["part", "queue", "local", "n", "doc_id", "source", "ids"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
     def encode(batches):
-        enc, part, sent = encoder(tokenizer), TaskContext.get().partitionId(), {}
+        enc, part, sent = encoder(tokenizer, words), TaskContext.get().partitionId(), {}
         narrow = max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 65536
         out, held = [], 0
         for doc_id, source, queue, text in text_batches(batches, ["doc_id", "source", "queue", "text"], "encoders"):
@@ -141,21 +141,21 @@ def _tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = None, window: int = WINDOW,
-         quantum: int = QUANTUM, end_id: int = END_ID) -> DataFrame:
+         quantum: int = QUANTUM, end_id: int = END_ID, words: int = 400_000) -> DataFrame:
     """One row per piece of a document (doc_id, source, text): see PIECES.
 
     ``targets`` gives token shares of named sources; without it, every source has the share of its tokens in all,
     so each window has the mixture of the whole table. Sources without a target keep their own proportions within
     what is left. No token is dropped or repeated: when a queue is empty, its share goes to the others.
     Null and empty texts consist of the end id; null sources count as one source; repeated rows are packed each;
-    an empty table gives no pieces.
+    an empty table gives no pieces. A worker remembers the ids of ``words`` words a generation.
     """
     targets = targets or {}
     named = {name: i for i, name in enumerate(sorted(targets))}
     queue = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(QUEUES)) + len(named)
     for name, i in named.items():
         queue = F.when(F.col("source") == name, F.lit(i)).otherwise(queue)
-    ids = stored(_tokenised(docs.select("doc_id", "source", queue.cast("int").alias("queue"), "text"), tokenizer, end_id))
+    ids = stored(_tokenised(docs.select("doc_id", "source", queue.cast("int").alias("queue"), "text"), tokenizer, end_id, words))
     # One row per input partition and queue; at most QUEUES totals reach the driver.
     parts = stored(ids.groupBy("part", "queue").agg(F.sum("n").alias("n")))
     totals = {r[0]: int(r[1]) for r in parts.groupBy("queue").agg(F.sum("n")).collect()}

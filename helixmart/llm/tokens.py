@@ -90,8 +90,8 @@ remembered("encoders", _ENCODERS.clear)
 
 
 def encoder(path: str, limit: int = 400_000) -> WordEncoder:
-    """The worker's encoder for a tokenizer file, with the memory that its first caller asks for."""
+    """The worker's encoder for a tokenizer file, with the memory that the caller asks for."""
     only("encoders")
-    if path not in _ENCODERS:
+    if path not in _ENCODERS or _ENCODERS[path].limit != limit:
         _ENCODERS[path] = WordEncoder(path, limit)
     return _ENCODERS[path]

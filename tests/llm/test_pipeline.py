@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline as C
 from helixmart.llm import toxicity as T
+from helixmart.llm.packing import pack
 from test_decontaminate import D
 from test_jaccard import sets_of
 from test_secrets import brute as base_spans
@@ -94,3 +95,12 @@ def test_repeated_odd_rows(spark, tiny):
         assert docs.schema.simpleString() == docs.limit(0).schema.simpleString() and docs.columns[-2:] == ["extra", "tie"]
         assert stage(spark, docs.limit(0), tiny).count() == 0
     assert docs.count() == 4
+
+
+def test_packing_remembers_few_words_and_packs_the_same(spark, tiny, steps, monkeypatch):
+    asked = []
+    monkeypatch.setattr(C, "pack", lambda docs, path, words=400_000: asked.append(words) or pack(docs, path, words=20))
+    few = C.pack_sequences(spark, steps[4], tiny)
+    assert asked[0] <= 100_000
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted(map(tuple, few.collect()), key=key) == sorted(map(tuple, steps[5].collect()), key=key)

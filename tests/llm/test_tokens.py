@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
+from helixmart.llm import tokens
 from helixmart.llm.common import shared_dir
 from helixmart.llm.packing import Mixture, op2_packing, pack
 from helixmart.llm.token_files import MinimalPerfectHash, TokenFiles, op10_token_files, read_token_files, write_token_files
@@ -164,3 +165,9 @@ def test_token_files_remember_fewer_words(monkeypatch):
         enc.encode(f"a{i} b{i}")
         assert len(enc.known) <= 53 or i == 0
     assert tokens.WordEncoder(path).limit > token_files.WORDS
+
+
+def test_an_encoder_has_the_memory_that_its_caller_asks_for():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    wide = tokens.encoder(path, 400_000)
+    assert tokens.encoder(path, 400_000) is wide and tokens.encoder(path, 20).limit == 20
