@@ -14,6 +14,7 @@ from helixmart.functions import constants as C, markers as M
 from helixmart.operators import lookups
 from helixmart.operators.probes import nearest_rows, range_counts
 from helixmart.operators.profiles import WithinRanges, counts_of_all, nearest_of_all
+from helixmart.session import cut_lineage
 
 AGE_WIDTH, TMB_WIDTH, MUTATION_WIDTH = 10, 5, 100
 
@@ -114,14 +115,23 @@ def profile_agreement(hits: DataFrame, query_id: str = "query_subtype") -> DataF
     )
 
 
+def _read_once(samples: DataFrame, genomic: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides, computed once: cells, points and results are all taken from them."""
+    stored = cut_lineage(samples)
+    return stored, stored if genomic is samples else cut_lineage(genomic.select("sample_id", "sclc_subtype", *MARKER_COLUMNS))
+
+
 def similar_profiles_of_all(samples: DataFrame, genomic: DataFrame) -> DataFrame:
     """For every sample the number of samples with any of the four markers within two units of its own."""
+    samples, genomic = _read_once(samples, genomic)
     counts = counts_of_all(samples, genomic, dict.fromkeys(MARKER_COLUMNS, 2.0), any_of=True)
     return _met(samples, counts, MARKER_COLUMNS).select(*samples.columns, F.col("n").alias("samples_found"))
 
 
 def nearest_profiles_of_all(samples: DataFrame, genomic: DataFrame, k: int = 5) -> DataFrame:
     """The k closest samples of a known subtype for every sample, one row each."""
+    needed = samples.select("sample_id", "sclc_subtype", *MARKER_COLUMNS) if genomic is samples else samples.select("sample_id", *MARKER_COLUMNS)
+    samples, genomic = _read_once(needed, needed if genomic is samples else genomic)
     known = genomic.where(F.col("sclc_subtype").isNotNull() & (F.col("sclc_subtype") != "MIXED"))
     found = nearest_of_all(samples, known, MARKER_COLUMNS, "sample_id", k, ["sclc_subtype"]).withColumnsRenamed(
         {"sample_id": "neighbour_id", "sclc_subtype": "neighbour_subtype"})
@@ -131,6 +141,7 @@ def nearest_profiles_of_all(samples: DataFrame, genomic: DataFrame, k: int = 5)
 def agreement_of_all(samples: DataFrame, genomic: DataFrame, predicted: str, k: int = 5) -> DataFrame:
     """The rows of ``samples`` with n_similar, n_matching, closest_id and the subtypes of their closest samples, of which
     those equal to the column ``predicted`` match. At most k neighbours are gathered per profile."""
+    samples, genomic = _read_once(samples, genomic)
     known = genomic.where(F.col("sclc_subtype").isNotNull() & (F.col("sclc_subtype") != "MIXED"))
     found = nearest_of_all(samples, known, MARKER_COLUMNS, "sample_id", k, ["sclc_subtype"])
     near = found.groupBy(*MARKER_COLUMNS).agg(F.sort_array(F.collect_list(F.struct("place", "sample_id", "sclc_subtype"))).alias("_near"))

@@ -60,3 +60,8 @@ def test_small_groups_are_sorted_after_one_shuffle(spark):
     expression = spark.createDataFrame([("a", "G", 1.0), ("a", "H", 4.0)], "sample_id string, gene_symbol string, expression_value double")
     plan = marts.gene_summary(expression)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" in plan and marts.gene_summary(expression).first()["median_gene_expression"] == 2.5
+
+
+def test_profiles_are_computed_once(spark, tiny):
+    for name in ("c14_nearest_profiles_of_all", "c14_agreement_of_all", "c13_similar_profiles_of_all"):
+        assert "parquet" not in queries()[name](spark, tiny)._jdf.queryExecution().optimizedPlan().toString(), name
