@@ -53,6 +53,18 @@ def nearest_by_burden(queries: DataFrame, patients: DataFrame, k: int = 5) -> Da
                     ["mutation_count", "target_survival_months", "target_event"])
 
 
+def with_burden_neighbours(queries: DataFrame, patients: DataFrame, k: int = 5) -> DataFrame:
+    """The query rows, each with the number of its up to five similar patients by burden and their ids in order; none where
+    age or burden is unknown. Neighbours are gathered per point, so no row is multiplied by them."""
+    reach = {"age": AGE_WIDTH, "tmb": TMB_WIDTH}
+    names = list(reach)
+    found = nearest_of_all(queries, patients, names, "sample_id", k, metric=WithinRanges(list(reach.values()), [False, True]))
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("place", "sample_id"))), lambda x: x["sample_id"])
+    near = found.groupBy(*names).agg(F.count("*").alias("n"), F.array_join(ids, ",").alias("closest"))
+    met = queries.join(near, [queries[c].cast("double") == near[c] for c in names], "left")
+    return met.select(*[queries[c] for c in queries.columns], F.coalesce("n", F.lit(0)).cast("bigint").alias("similar_patients_found"), "closest")
+
+
 def nearest_by_age_and_burden(queries: DataFrame, patients: DataFrame, k: int = 8) -> DataFrame:
     """Up to eight patients, mutation count within 100 too, by age plus burden difference."""
     return _nearest(queries, patients, {"age": AGE_WIDTH, "tmb": TMB_WIDTH, "mutation_count": MUTATION_WIDTH}, ["age", "tmb"], k,

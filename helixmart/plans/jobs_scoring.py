@@ -55,13 +55,10 @@ job("m4_subtype_analysis_scored")(
 
 def risk_with_evidence(w):
     """Score, level, five nearest patients, literature text and prompt, one row per patient."""
-    near = F.sort_array(F.collect_list(F.struct("place", "neighbour_id")))
-    neighbours = S.nearest_by_burden(clinical(w), clinical(w)).groupBy("sample_id").agg(
-        F.count("*").alias("n"), F.array_join(F.transform(near, lambda x: x["neighbour_id"]), ",").alias("closest"))
     found = D.evidence_summary(D.evidence(chunks(w), terms=_TERMS)).select(F.struct("n_papers", "summary").alias("e"))
     return (
-        risk_scored(w).join(neighbours, "sample_id", "left").withColumn("e", found.scalar())
-        .select("sample_id", "risk_score", "risk_level", F.coalesce("n", F.lit(0)).cast("bigint").alias("similar_patients_found"), "closest",
+        S.with_burden_neighbours(risk_scored(w), clinical(w)).withColumn("e", found.scalar())
+        .select("sample_id", "risk_score", "risk_level", "similar_patients_found", "closest",
                 D.search_phrase(F.col("risk_score")).alias("search_terms"), "e.n_papers", "e.summary", S.risk_prompt(F.col("risk_score")).alias("prompt"))
     )
 

@@ -62,6 +62,15 @@ def test_small_groups_are_sorted_after_one_shuffle(spark):
     assert "collect_list" in plan and marts.gene_summary(expression).first()["median_gene_expression"] == 2.5
 
 
+def test_patients_of_one_id_keep_their_own_neighbours(spark):
+    rows = [(f"p{i}", 50 + i % 2 * 30, i / 8.0) for i in range(12)] + [("twice", 50, 0.0), ("twice", 80, 0.0), ("none", None, 1.0)]
+    patients = spark.createDataFrame(rows, "sample_id string, age int, tmb double")
+    found = similarity.with_burden_neighbours(patients, patients)
+    got = {(r["sample_id"], r["age"]): (r["similar_patients_found"], r["closest"]) for r in found.collect()}
+    assert len(got) == len(rows) and got["none", None] == (0, None)
+    assert got["twice", 50] == (5, "p0,twice,p2,p4,p6") and got["twice", 80] == (5, "twice,p1,p3,p5,p7")
+
+
 def test_profiles_are_computed_once(spark, tiny):
     for name in ("c14_nearest_profiles_of_all", "c14_agreement_of_all", "c13_similar_profiles_of_all"):
         assert "parquet" not in queries()[name](spark, tiny)._jdf.queryExecution().optimizedPlan().toString(), name
