@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from helixmart.functions import constants as C, markers as M
 from helixmart.functions.rules import band, flag, one_hot, round_half_up, share, zero
-from helixmart.operators.ranking import quantiles_of_many_groups
+from helixmart.operators.ranking import GATHERED, by_group_size, group_quantiles, quantile_of_sorted
 
 
 def biomarkers(expression: DataFrame) -> DataFrame:
@@ -37,10 +37,18 @@ def gene_moments(expression: DataFrame) -> DataFrame:
     )
 
 
-def gene_summary(expression: DataFrame) -> DataFrame:
-    """Moments and the exact median per sample."""
-    middle = quantiles_of_many_groups(expression, ["sample_id"], "expression_value", {"median_gene_expression": 0.5})
-    return gene_moments(expression).join(middle, "sample_id", "left")
+def gene_summary(expression: DataFrame, gathered: int = GATHERED) -> DataFrame:
+    """Moments and the exact median per sample. A sample of at most ``gathered`` rows gets all of them in one grouping."""
+    small, large = by_group_size(expression, ["sample_id"], gathered)
+    value = F.col("expression_value").cast("double")
+    together = small.groupBy("sample_id").agg(
+        F.size(F.collect_set("gene_symbol")).cast("bigint").alias("total_genes_expressed"),
+        F.avg("expression_value").alias("mean_gene_expression"),
+        F.stddev_samp("expression_value").alias("stddev_gene_expression"),
+        F.sort_array(F.collect_list(F.when(F.abs(value) < float("inf"), value))).alias("_s"),
+    ).withColumn("median_gene_expression", quantile_of_sorted(F.col("_s"), 0.5)).drop("_s")
+    middle = group_quantiles(large, ["sample_id"], "expression_value", {"median_gene_expression": 0.5})
+    return together.unionByName(gene_moments(large).join(middle, "sample_id", "left"))
 
 
 def risk_features_clinical(staged: DataFrame) -> DataFrame:

@@ -89,27 +89,35 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
 
 
 #: Rows of a group that one task may gather: 800 kB of doubles.
-_GATHERED = 100_000
+GATHERED = 100_000
+
+
+def by_group_size(df: DataFrame, keys: Sequence[str], gathered: int = GATHERED) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups that one task may gather, and rows of larger groups."""
+    keys = list(keys)
+    # As many rows as there are groups of more than ``gathered`` rows.
+    large = F.broadcast(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > gathered).select(*keys))
+    return df.join(large, keys, "left_anti"), df.join(large, keys, "left_semi")
+
+
+def quantile_of_sorted(values: Column, p: float) -> Column:
+    """Linear-interpolated quantile of a sorted array; NULL for an empty one."""
+    at = (F.size(values) - 1) * F.lit(float(p))
+    low, high = (F.element_at(values, place.cast("int") + 1) for place in (F.floor(at), F.ceil(at)))
+    return F.when(F.size(values) > 0, low + (high - low) * (at - F.floor(at)))
 
 
 def quantiles_of_many_groups(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-                             gathered: int = _GATHERED) -> DataFrame:
+                             gathered: int = GATHERED) -> DataFrame:
     """``group_quantiles`` where most groups are small: those of at most ``gathered`` rows are sorted as a whole, after one
     shuffle; larger ones take the radix selection. Same results."""
     keys = list(keys)
     rows = df.where(F.abs(F.col(value).cast("double")) < float("inf")).dropna(subset=keys).select(
         *keys, F.col(value).cast("double").alias("_v"))
-    # As many rows as there are groups of more than ``gathered`` rows.
-    large = F.broadcast(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > gathered).select(*keys))
-    small = rows.join(large, keys, "left_anti").groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_s"))
-
-    def quantile(p: float) -> Column:
-        at = (F.size("_s") - 1) * F.lit(float(p))
-        low, high = (F.element_at("_s", place.cast("int") + 1) for place in (F.floor(at), F.ceil(at)))
-        return low + (high - low) * (at - F.floor(at))
-
-    return small.select(*keys, *[quantile(p).alias(name) for name, p in probs.items()]).unionByName(
-        group_quantiles(rows.join(large, keys, "left_semi"), keys, "_v", probs))
+    small, large = by_group_size(rows, keys, gathered)
+    small = small.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_s"))
+    return small.select(*keys, *[quantile_of_sorted(F.col("_s"), p).alias(name) for name, p in probs.items()]).unionByName(
+        group_quantiles(large, keys, "_v", probs))
 
 
 def hashed_rank(df: DataFrame, group: str, identity: Column, rank_name: str = "hash_rank") -> DataFrame:

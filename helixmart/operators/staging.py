@@ -36,18 +36,31 @@ def clinical(raw: DataFrame, corrected: bool = False) -> DataFrame:
     )
 
 
-def gene_expression(raw: DataFrame) -> DataFrame:
+def gene_rows(raw: DataFrame) -> DataFrame:
+    """Cleaned keys and value, which is all that the marts read."""
     value = to_double(F.col("expression_value"))
     kept = F.col("gene_symbol").isNotNull() & F.col("sample_id").isNotNull() & value.isNotNull()
     return raw.where(kept).select(
         norm_key(F.col("gene_symbol")).alias("gene_symbol"),
         norm_key(F.col("sample_id")).alias("sample_id"),
         value.alias("expression_value"),
+    )
+
+
+def graded(rows: DataFrame) -> DataFrame:
+    """``gene_rows`` with logarithm and level."""
+    value = F.col("expression_value")
+    return rows.select(
+        "gene_symbol", "sample_id", "expression_value",
         F.when(value > 0, F.log2(value)).alias("log2_expression"),
         band(value, C.EXPRESSION_BANDS).alias("expression_level"),
     )
 
 
+def gene_expression(raw: DataFrame) -> DataFrame:
+    return graded(gene_rows(raw))
+
+
 def experiments(raw: DataFrame) -> DataFrame:
     log_ic50 = to_double(F.col("log_ic50"))
     kept = F.col("experiment_id").isNotNull() & F.col("nsc").isNotNull() & F.col("cell_line").isNotNull()

@@ -75,10 +75,14 @@ def build(w: Warehouse, target: str, names: Iterable[str] = MATERIALISED, observ
     """Write the table models below ``target`` in dependency order; views stay lazy.
 
     Later models read the stored form of the earlier ones, so each is computed once
-    and a lost executor costs one model at most.
+    and a lost executor costs one model at most. The genomic mart reads the expression rows
+    several times, so these are joined and cleaned once and stored beside the marts.
     """
     written = {}
-    for name in [n for n in _MODELS if n in set(names)]:
+    names = set(names)
+    if "mart_risk_features_genomic" in names:
+        _store_genes(w, f"{target.rstrip('/')}/stg_gene_expression")
+    for name in [n for n in _MODELS if n in names]:
         path = f"{target.rstrip('/')}/{name}"
         frame = _watched(w[name], name, observed) if observed is not None else w[name]
         frame.write.mode("overwrite").parquet(path)
@@ -87,6 +91,14 @@ def build(w: Warehouse, target: str, names: Iterable[str] = MATERIALISED, observ
     return written
 
 
+def _store_genes(w: Warehouse, path: str) -> None:
+    """Store the expression rows, those of a sample mostly together, so that later groupings shuffle little more than a row
+    per sample. A rebalance, not a repartition: adaptive execution cuts the rows of a large sample into several tasks."""
+    rows = w["stg_gene_expression"].select("gene_symbol", "sample_id", "expression_value")
+    rows.hint("rebalance", "sample_id").write.mode("overwrite").parquet(path)
+    w.replace("stg_gene_expression", staging.graded(w.spark.read.parquet(path)))
+
+
 def _watched(frame: DataFrame, name: str, observed: dict[str, Observation]) -> DataFrame:
     checks = quality.observed_checks().get(name)
     if checks is None:
@@ -95,17 +107,26 @@ def _watched(frame: DataFrame, name: str, observed: dict[str, Observation]) -> D
     return frame.observe(observed[name], *[column.alias(f"m{i}") for i, column in enumerate(checks.values())])
 
 
+def _same_settings(spark: SparkSession) -> SparkSession:
+    """A new session with the settings that ``spark`` has by now, such as its number of shuffle partitions."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    return own
+
+
 def build_observed(w: Warehouse, target: str) -> DataFrame:
     """``build`` all marts; the checks of ``quality.observed_checks`` ride on the scans and writes that this takes anyway.
 
     A landed table or view is observed where a mart first reads it, a mart where it is written, so nothing is scanned
     again for its checks. Returns (check_name, key, value), as many rows as there are checks.
 
-    The build runs in a session of its own: one that has observed metrics cannot be sent with a task any more, which
-    evaluators of Spark ML do.
+    The build runs in a session of its own, with the settings of the given one: a session that has observed metrics cannot
+    be sent with a task any more, which evaluators of Spark ML do.
     """
     observed: dict[str, Observation] = {}
-    own = Warehouse(w.spark.newSession(), w.folder)
+    own = Warehouse(_same_settings(w.spark), w.folder)
     for name in quality.observed_checks():
         if name not in MATERIALISED:
             own.replace(name, _watched(own[name], name, observed))
