@@ -17,7 +17,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from helixmart.functions import constants as C
-from helixmart.operators import stats
+from helixmart.operators import binned, stats
 from helixmart.operators.components import leading_components
 from helixmart.operators.lookups import risk_level, scoring_defaults
 from helixmart.operators.ranking import group_quantiles
@@ -255,17 +255,38 @@ def _labelled(labelled: DataFrame, label: str, features: Sequence[str]) -> tuple
     return *_split(ready, label, "sample_id", 0.25), indexer.labels
 
 
+def _prepared(parts: Sequence[tuple[DataFrame, DataFrame]], features: Sequence[str], keep: Sequence[str] = ()) -> list[tuple[DataFrame, DataFrame]]:
+    """Train and held rows of each fit as the preparation of its train part makes them; all models of a fit read the same files."""
+    out = []
+    for train, held in parts:
+        ready = Pipeline(stages=preparation(features)).fit(train)
+        held = held.withColumn("class_weight", F.lit(0.0))
+        out.append(tuple(cut_lineage(ready.transform(part).select("label", "class_weight", "features", *keep)) for part in (train, held)))
+    return out
+
+
+def _scores(parts: Sequence[tuple[DataFrame, DataFrame]], estimator, features: int, classes: int) -> list[tuple[float, float]]:
+    """Accuracy on the train and the held rows of each fit."""
+    if found := binned.fit_cells(parts, estimator, features, classes):
+        return [(m.train_accuracy, m.held_accuracy) for m in found]
+    models = [(estimator.fit(train), train, held) for train, held in parts]
+    return [(_accuracy(m.transform(train), "label"), _accuracy(m.transform(held), "label")) for m, train, held in models]
+
+
 def compare_classifiers(labelled: DataFrame, label: str, features: Sequence[str], trees: int = 300, rounds: int = 200,
                         folds: int = 0, names: Sequence[str] | None = None) -> DataFrame:
     """Accuracy of logistic regression, forest and boosted trees; best first, ties by the usual rules."""
     models = classifiers(trees, rounds)
-    train, test, _ = _labelled(labelled, label, features)
-    rows = []
+    train, test, labels = _labelled(labelled, label, features)
+    parts = [(train, test)]
+    if folds:
+        dealt = cut_lineage(_even(stats.stratified_folds(train, label, "sample_id", folds), "sample_id", train.count()))
+        parts += [(dealt.where(F.col("fold") != i), dealt.where(F.col("fold") == i)) for i in range(folds)]
+    parts, rows = _prepared(parts, features), []
     for name in names or models:
-        pipeline = Pipeline(stages=[*preparation(features), models[name]])
-        model = pipeline.fit(train)
-        cv = cross_validated(pipeline, train, "label", label, "sample_id", folds) if folds else (None, None)
-        rows.append((name, _accuracy(model.transform(train), "label"), _accuracy(model.transform(test), "label"), *cv))
+        whole, *rest = _scores(parts, models[name], len(features), len(labels))
+        held = [score for _, score in rest]
+        rows.append((name, *whole, *((float(np.mean(held)), float(np.std(held))) if folds else (None, None))))
     return leaderboard(labelled.sparkSession.createDataFrame(
         rows, "model string, train_accuracy double, test_accuracy double, cv_mean double, cv_std double"))
 
@@ -274,9 +295,12 @@ def best_predictions(labelled: DataFrame, label: str, features: Sequence[str], b
     """(sample_id, actual, predicted) of the test part by the first model of ``board``."""
     best = board.first()["model"]
     train, test, labels = _labelled(labelled, label, features)
-    model = Pipeline(stages=[*preparation(features), classifiers(trees, rounds)[best]]).fit(train)
+    estimator, parts = classifiers(trees, rounds)[best], _prepared([(train, test)], features, ["sample_id", label])
+    found = binned.fit_cells(parts, estimator, len(features), len(labels))
+    train, test = parts[0]
+    scored = found[0].predict(test) if found else estimator.fit(train).transform(test)
     names = F.array(*[F.lit(n) for n in labels])
-    return model.transform(test).select(
+    return scored.select(
         "sample_id", F.col(label).alias("actual"), F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"))
 
 
