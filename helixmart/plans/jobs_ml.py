@@ -58,24 +58,34 @@ job("f13_subtype_importance")(
     lambda w: ml.importance(ml.train_subtype(w["mart_risk_features_genomic"])[0], C.SUBTYPE_FEATURES))
 
 
-def _cross_validated(w):
-    """All three models, each with five folds."""
-    return ml.compare_classifiers(labels(w).select("sample_id", "z_label", *S.MARKERS), "z_label", S.MARKERS, folds=5)
+def _marked(w):
+    """Labelled markers, made once: the split of each comparison and model reads them again."""
+    return cut_lineage(labels(w).select("sample_id", "z_label", *S.MARKERS))
 
 
-def _best_model(w, board):
-    return ml.best_predictions(labels(w).select("sample_id", "z_label", *S.MARKERS), "z_label", S.MARKERS, board)
+def _cross_validated(marked):
+    """Models whose five folds fit in minutes; boosted trees take hundreds of rounds for each class and fold."""
+    return ml.compare_classifiers(marked, "z_label", S.MARKERS, folds=5)
 
 
-job("k18_cross_validated")(_cross_validated)
-job("k18_best_model_report")(lambda w: ml.report_rows(_best_model(w, _cross_validated(w))))
+def _best_model(marked, board):
+    return ml.best_predictions(marked, "z_label", S.MARKERS, board)
+
+
+def _best_report(w):
+    marked = _marked(w)
+    return ml.report_rows(_best_model(marked, _cross_validated(marked)))
+
+
+job("k18_cross_validated")(lambda w: _cross_validated(_marked(w)))
+job("k18_best_model_report")(_best_report)
 # What SQL can tell about any model's report: every test sample is there once, under its own class.
 job("k18_best_model_support", """
 SELECT z_label AS label, CAST(round(count(*) * 0.25::DOUBLE) AS BIGINT) AS support FROM labels_by_rule GROUP BY z_label""")(
-    lambda w: ml.stats.confusion(_best_model(w, ml.metric_board(w.spark, "logistic")), "actual", "predicted").groupBy(F.col("actual").alias("label")).agg(F.sum("n").alias("support")))
+    lambda w: ml.stats.confusion(_best_model(_marked(w), ml.metric_board(w.spark, "logistic")), "actual", "predicted").groupBy(F.col("actual").alias("label")).agg(F.sum("n").alias("support")))
 job("k17_sample_components")(lambda w: ml.sample_components(matrix(w)))
 job("k18_classifier_comparison")(
-    lambda w: ml.compare_classifiers(labels(w).select("sample_id", "z_label", *S.MARKERS), "z_label", S.MARKERS))
+    lambda w: ml.compare_classifiers(_marked(w), "z_label", S.MARKERS))
 job("k19_marker_clusters")(
     # Moments and rows read the markers from files, so the expression is shuffled once.
     lambda w: ml.cluster_markers(S.z_scores(cut_lineage(S.marker_matrix(w["core_biomarkers"])), S.MARKERS), [f"z_{m}" for m in S.MARKERS]))
