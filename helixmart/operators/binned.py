@@ -21,8 +21,8 @@ from helixmart.session import cut_lineage, task_count
 #: Cells of a training set that a task holds: all that four features of 32 bins can have.
 MAX_CELLS = 32 ** 4
 EPSILON = np.finfo(float).eps
-#: Rows of a batch of votes.
-BATCH = 50_000
+#: Rows of a batch of votes, and of a task that goes over all fits.
+BATCH, ROWS = 50_000, 50_000
 
 
 # -- growing trees -----------------------------------------------------------------------------
@@ -263,14 +263,15 @@ class CellModel:
         return _celled(rows, self.cuts, self.features, self.bins).mapInArrow(look_up, schema).drop("fit")
 
 
-def _rows(parts: Sequence[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """The train and held rows (label, class_weight, features) of all fits in one table."""
+def all_rows(parts: Sequence[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """The train and held rows (label, class_weight, features) of all fits in one table, in as many tasks as the cluster has room
+    for: the parts of each fit together would be many small ones."""
     rows = None
     for fit, pair in enumerate(parts):
         for part, held in zip(pair, (False, True), strict=True):
             one = part.select(F.lit(fit).alias("fit"), F.lit(held).alias("held"), "label", "class_weight", vector_to_array("features").alias("x"))
             rows = one if rows is None else rows.unionByName(one)
-    return rows
+    return rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS)))
 
 
 def fit_cells(parts: Sequence[tuple[DataFrame, DataFrame]], estimator, k: int, classes: int) -> list[CellModel] | None:
@@ -284,7 +285,7 @@ def fit_cells(parts: Sequence[tuple[DataFrame, DataFrame]], estimator, k: int, c
     bins = trees.getMaxBins()
     if bins ** k > 2 ** 62:
         return None
-    rows = _rows(parts)
+    rows = all_rows(parts)
     spark = rows.sparkSession
     cuts = _thresholds(rows, k, bins, forest)
     table = cut_lineage(_celled(rows, cuts, k, bins).groupBy("fit", "cell", F.col("label").cast("int").alias("label")).agg(

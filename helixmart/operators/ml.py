@@ -17,7 +17,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from helixmart.functions import constants as C
-from helixmart.operators import binned, stats
+from helixmart.operators import binned, linear, stats
 from helixmart.operators.components import leading_components
 from helixmart.operators.lookups import risk_level, scoring_defaults
 from helixmart.operators.ranking import group_quantiles
@@ -265,9 +265,14 @@ def _prepared(parts: Sequence[tuple[DataFrame, DataFrame]], features: Sequence[s
     return out
 
 
+def _fitted(parts: Sequence[tuple[DataFrame, DataFrame]], estimator, features: int, classes: int) -> list | None:
+    """Models of all fits together, where there is a way for the estimator."""
+    return linear.fit_linear(binned.all_rows(parts), estimator, features, classes) or binned.fit_cells(parts, estimator, features, classes)
+
+
 def _scores(parts: Sequence[tuple[DataFrame, DataFrame]], estimator, features: int, classes: int) -> list[tuple[float, float]]:
     """Accuracy on the train and the held rows of each fit."""
-    if found := binned.fit_cells(parts, estimator, features, classes):
+    if found := _fitted(parts, estimator, features, classes):
         return [(m.train_accuracy, m.held_accuracy) for m in found]
     models = [(estimator.fit(train), train, held) for train, held in parts]
     return [(_accuracy(m.transform(train), "label"), _accuracy(m.transform(held), "label")) for m, train, held in models]
@@ -296,7 +301,7 @@ def best_predictions(labelled: DataFrame, label: str, features: Sequence[str], b
     best = board.first()["model"]
     train, test, labels = _labelled(labelled, label, features)
     estimator, parts = classifiers(trees, rounds)[best], _prepared([(train, test)], features, ["sample_id", label])
-    found = binned.fit_cells(parts, estimator, len(features), len(labels))
+    found = _fitted(parts, estimator, len(features), len(labels))
     train, test = parts[0]
     scored = found[0].predict(test) if found else estimator.fit(train).transform(test)
     names = F.array(*[F.lit(n) for n in labels])

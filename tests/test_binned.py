@@ -42,7 +42,7 @@ def test_boosted_cells_are_spark_s_boosted_rows(spark, parts):
 def test_a_tree_over_cells_is_spark_s_tree(spark, parts):
     train, _ = parts
     wanted = DecisionTreeClassifier(maxDepth=7, minInstancesPerNode=2, weightCol="class_weight", seed=42).fit(train)
-    rows = binned._rows([(train, train.limit(0))])
+    rows = binned.all_rows([(train, train.limit(0))])
     cuts = binned._thresholds(rows, 3, 32, True)
     seen = binned._celled(rows, cuts, 3, 32).groupBy("cell", "label").agg(F.count("*").alias("n"), F.sum("class_weight").alias("w")).toPandas()
     cells, place = np.unique(seen["cell"], return_inverse=True)
